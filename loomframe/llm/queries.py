@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, packing, quality, rans, tokencount, urls
+from . import bytebpe, packing, pii, quality, rans, tokencount, urls
 from .shared import table
 
 
@@ -18,6 +18,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_url_filter, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
