@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, packing, pii, quality, rans, tokencount, urls
+from . import bytebpe, neardup, packing, pii, quality, rans, tokencount, urls
 from .shared import table
 
 
@@ -38,8 +38,12 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.write_and_read(table(spark, sf_dir, "documents"))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.mark(table(spark, sf_dir, "documents"), size=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files)}
+    return {f.__name__: f for f in (op1_packing, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
