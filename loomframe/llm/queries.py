@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bytebpe, langid, neardup, packing, pii, quality, rans, tokencount, urls
+from . import ann, bytebpe, langid, neardup, packing, pii, quality, rans, tokencount, urls
 from .shared import table
 
 
@@ -14,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_language_id, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_packing, op2_neighbours, op3_language_id, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:

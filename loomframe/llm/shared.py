@@ -39,4 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let Spark drop the shuffle files of finished rounds.
+
+    Spark removes shuffle files when the driver's garbage collector finds that no plan refers to them; loops would otherwise
+    keep those of every round until the driver happens to run short of memory.
+    """
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(df.written_path)
+        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        jvm.System.gc()
