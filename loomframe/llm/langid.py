@@ -28,6 +28,8 @@ BUCKETS = 1 << 14
 WIDTH = 8
 PER_LANG = 1000
 EPOCHS = 12
+#: Fewest batches that training takes; small tables get more epochs.
+STEPS = 400
 RATE = 40.0
 REJECT = 0.002
 MOST_CUT = 0.6
@@ -103,6 +105,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     aside, own = order[: len(y) // 5], order[len(y) // 5 :]
     table = (rng.standard_normal((BUCKETS, WIDTH)) * 0.3).astype(np.float32)
     layer, bias = (rng.standard_normal((WIDTH, len(langs))) * 0.3).astype(np.float32), np.zeros(len(langs), np.float32)
+    epochs = max(epochs, -(-STEPS * batch // max(1, len(own))))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in range(0, len(own), batch):

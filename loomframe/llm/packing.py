@@ -2,7 +2,8 @@
 
 1. Tokenize each text once; cut it at multiples of the sequence length. All pieces but a document's last are full.
 2. Count pieces by length (at most `max_len` rows, whatever the corpus) and place lengths longest first: each goes to
-   the pack pattern with the most room, and pattern counts are split instead of looking at single documents.
+   the pack pattern with the most room, and pattern counts are split instead of looking at single documents. Where none has
+   room, new packs take as many pieces of that length as they hold.
 3. Number the pieces of each length (rank) and look the rank up among the pattern slots of that length.
 
 Step 2 runs on the driver over at most `max_len` numbers. Ranks are numbered within (length, hash chunk) with an offset
@@ -66,22 +67,27 @@ def pack_histogram(histogram: dict[int, int], max_len: int = MAX_LEN) -> tuple[l
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
+            copies = 1
             if open_packs and -open_packs[0][0] >= length:
                 room, _, count, chain = heapq.heappop(open_packs)
                 room = -room
-            else:
-                room, count, chain = max_len, left, ()
-            used = min(left, count)
+            else:  # new packs, each with as many of this length as it holds, so that a length shared by very many is not spread
+                copies = min(left, max_len // length)
+                room, count, chain = max_len, left // copies, ()
+            used = min(left // copies, count)
             order += 1
             if count > used:
                 heapq.heappush(open_packs, (-room, order, count - used, chain))
             order += 1
-            grown = (length, max_len - room, chain)
-            if room > length:
-                heapq.heappush(open_packs, (length - room, order, used, grown))
+            grown = chain
+            for _ in range(copies):
+                grown = (length, max_len - room, grown)
+                room -= length
+            if room:
+                heapq.heappush(open_packs, (-room, order, used, grown))
             else:
                 done.append((used, grown))
-            left -= used
+            left -= used * copies
     done += [(count, chain) for _, _, count, chain in sorted(open_packs)]
     next_rank: dict[int, int] = {}
     slots, sequence = [], 0
