@@ -50,7 +50,7 @@ SHORT = 64
 class Ranks:
     """A vocabulary: ranks of byte strings, which are the ids; remembers the ids of at most `most` pieces."""
 
-    def __init__(self, path: str, pattern: str, most: int = 600_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         with open(path, "rb") as lines:
             self.rank = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
         self.token = {r: t for t, r in self.rank.items()}

@@ -3,7 +3,8 @@
 `Transducer` is a deterministic transducer over the bytes of a word. A state holds what later bytes can still depend on:
 the longest end of the word so far that begins some token, and for the positions in it the last token and the tokens so
 far. Every transition is annotated with the tokens it adds (which may be below zero), and every state with what the
-word's last byte adds. States and transitions are compiled as they are first needed and then kept.
+word's last byte adds. States and transitions are compiled as they are first needed and then kept, until there are `STATES`;
+then compilation starts afresh, so a worker's memory is bounded.
 
 A text is cut into chunks at any character. A chunk's map says what it does to whatever state it is entered in: it ends
 the word that was open with its `head`, adds `count` and leaves `tail` open; a chunk without white space only lengthens
@@ -30,6 +31,7 @@ from .wordbpe import PIECES, UNUSUAL, _byte_letters, default_path
 LIMIT = 2048
 #: Characters in a chunk.
 CHUNK = 1 << 16
+STATES = 80_000
 NEVER = 1 << 60
 
 
@@ -57,6 +59,9 @@ class Transducer:
         self.starts = {t[:k] for t in self.tokens for k in range(1, len(t))}
         self.spines: tuple[dict, dict] = {}, {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self._afresh()
+
+    def _afresh(self) -> None:
         self.state: dict[tuple, int] = {}
         self.info: list[tuple[str, tuple, tuple]] = []
         self.next: list[dict[int, tuple[int, int]]] = []
@@ -130,6 +135,9 @@ class Transducer:
         return found
 
     def count(self, word: bytes) -> int:
+        if len(self.info) > STATES:
+            self._afresh()
+            self.pairs.clear()
         state = total = 0
         step = self.step
         for byte in word[:-1]:
@@ -149,7 +157,7 @@ class ChunkMap:
 
 
 class Counter:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()

@@ -63,7 +63,7 @@ class _Chunks(dict):
 
 
 class WordBpe:
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 120_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
