@@ -4,13 +4,13 @@
 2. A text has two small collections of band keys, LEFT and RIGHT, `BANDS` keys each, of `ROWS` minhashes. A table of the
    tensored scheme is a pair (left key i, right key j): BANDS**2 tables from 2 * BANDS * ROWS minhashes, instead of
    BANDS**2 * 2 * ROWS. A text is paired up only over keys of either collection that at least one other text has.
-3. Within a bucket (i, j, left key, right key) texts are not all paired: each is paired with the bucket's first text, and with
-   all texts of its sub-bucket of about `SUB` texts, dealt by a hash that differs from bucket to bucket. Small buckets are
-   one sub-bucket. Buckets whose texts do not end up in one component are solved exactly: see 5.
-4. Candidate pairs across components are compared on their full sets; links are closed to components after the first
-   round (pairs with a bucket's first text), so that pairs which are already connected are not compared again.
-5. Texts of large buckets with several components are joined by prefix filtering: two sets that are similar enough share one
-   of the (1 - t) n + 1 rarest shingles of either. This is exact, whatever the bucket's size.
+3. A bucket is a (table, left key, right key). Each of its texts is compared with the bucket's first text on the full sets, and
+   links are closed to components.
+4. Texts of buckets that still hold several components are compared in full: such buckets that have texts in common are one group,
+   a group's texts are dealt into blocks of about `BLOCK` shingles, and a task compares all texts of two blocks by multiplying
+   their incidence matrices. Only one link for each two components leaves a task, so no list of pairs is ever made.
+   A group's largest component is not compared with itself. Nothing is capped: every pair that shares a bucket is either in
+   one component or has been compared.
 
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
@@ -29,7 +29,8 @@ from .shared import bounded_batches, written
 
 ROWS = 3
 BANDS = 12
-SUB = 16
+#: Shingles in a block of texts that are compared with all texts of another one.
+BLOCK = 96_000
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -160,18 +161,17 @@ def buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
     return pairs.select(F.xxhash64("l.k", "l.key", "r.k", "r.key").alias("bucket"), "id", "n")
 
 
-def candidates(reps: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(a, b, first): distinct pairs a < b to compare; `first` where a is a bucket's first text. `large` is set in buckets of several sub-buckets."""
+def shared_buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
+    """bucket, id and n for every text in a bucket of several, with the bucket's size `c` and its first text `f`."""
     rows = buckets(reps, bands)
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("_c"), F.min(F.struct("id", "n")).alias("_f")).where("_c > 1")
-    placed = rows.join(groups, "bucket")
-    fits = lambda m, n: F.least(m, n) * 100 >= F.greatest(m, n) * SIMILARITY
-    stars = placed.where((F.col("id") != F.col("_f.id")) & fits(F.col("n"), F.col("_f.n"))).select(F.col("_f.id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("first"))
-    parts = F.ceil(F.col("_c") / F.lit(float(SUB))).cast("int")
-    sub = placed.where("_c > 2").withColumn("_s", F.pmod(F.xxhash64("bucket", "id"), parts)).groupBy("bucket", "_s").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m")).where(F.size("m") > 1)
-    inner = sub.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("y"))
-    inner = inner.where(fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(False).alias("first"))
-    return stars.union(inner).groupBy("a", "b").agg(F.max("first").alias("first"))
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("f")).where("c > 1")
+    return rows.join(groups, "bucket")
+
+
+def stars(placed: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of a bucket's first text and another one of it whose sizes allow for a link."""
+    fits = F.least("n", "f.n") * 100 >= F.greatest("n", "f.n") * SIMILARITY
+    return placed.where((F.col("id") != F.col("f.id")) & fits).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -209,31 +209,84 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def _cross(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs whose ends are not yet in one component."""
-    ca, cb = comp.select(F.col("id").alias("a"), F.col("component").alias("_ca")), comp.select(F.col("id").alias("b"), F.col("component").alias("_cb"))
-    return pairs.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+def open_groups(placed: DataFrame, comp: DataFrame, name: str = "groups") -> DataFrame:
+    """id, g and p for texts of buckets that hold several components: texts with one such bucket in common have one g; p is the component."""
+    rows = placed.where("c > 2").join(comp, "id", "left").select("bucket", "id", "f", F.coalesce("component", "id").alias("p"))
+    split = rows.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("bucket")
+    inside = written(rows.join(split, "bucket").select("id", "p", F.col("f.id").alias("first")).distinct(), name)
+    groups = components(inside.select(F.col("id").alias("a"), F.col("first").alias("b")), name)
+    return inside.select("id", "p").distinct().join(groups.select("id", F.col("component").alias("g")), "id")
 
 
-def unresolved(reps: DataFrame, comp: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Ids in buckets of more than one sub-bucket whose texts are in several components."""
-    rows = buckets(reps, bands).join(comp, "id", "left").withColumn("_p", F.coalesce("component", "id"))
-    open_ = rows.groupBy("bucket").agg(F.count("*").alias("_c"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi")).where((F.col("_c") > SUB) & (F.col("_lo") < F.col("_hi"))).select("bucket")
-    return rows.join(open_, "bucket").select("id").distinct()
+def blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """g, lo, hi and the texts `m` of two blocks (lo = hi: of one) for all block pairs of a group in which components can meet.
 
+    A block has about `BLOCK` shingles. The texts of a group's largest component have blocks of their own, which are not paired
+    with each other.
+    """
+    texts = sets.join(groups, "id").select("g", "p", "id", F.size("shingles").alias("n"), "shingles")
+    parts = texts.groupBy("g", "p").agg(F.sum("n").alias("s"))
+    sizes = parts.groupBy("g").agg(F.max_by("p", F.struct("s", "p")).alias("main"), F.max("s").alias("s_main"), F.sum("s").alias("s_all"))
+    n_main, n_rest = (F.greatest(F.ceil(x / F.lit(float(BLOCK))), F.lit(1)).cast("int") for x in (F.col("s_main"), F.col("s_all") - F.col("s_main")))
+    dealt = texts.join(sizes.select("g", "main", n_main.alias("k"), n_rest.alias("r")), "g")
+    is_main = F.col("p") == F.col("main")
+    block = F.when(is_main, F.pmod(F.xxhash64("id"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("id"), "r")).cast("int")
+    other = F.when(is_main, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
+    sent = dealt.select("g", "p", "id", "shingles", block.alias("b"), F.explode(other).alias("o"))
+    return sent.groupBy("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list(F.struct("id", "p", "b", "shingles")).alias("m"))
+
+
+def _side(members: pa.StructArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All shingles of the members `at`, and to which of them each belongs."""
+    lists = members.field(3).take(pa.array(at))
+    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
+    """Sizes of the intersections of all sets on one side with all on the other."""
+    shared = np.intersect1d(a[0], b[0])
+    out = np.zeros(rows, np.float32)
+    sides = []
+    for tokens, owner in (a, b):
+        k = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
+        good = shared[k] == tokens if len(shared) else np.zeros(len(tokens), bool)
+        order = np.argsort(k[good], kind="stable")
+        sides.append((k[good][order], owner[good][order]))
+    for start in range(0, len(shared), 2048):
+        dense = []
+        for (k, owner), n in zip(sides, rows, strict=True):
+            lo, hi = np.searchsorted(k, (start, start + 2048))
+            x = np.zeros((n, min(2048, len(shared) - start)), np.float32)
+            x[owner[lo:hi], k[lo:hi] - start] = 1
+            dense.append(x)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def block_links(paired: DataFrame) -> DataFrame:
+    """(a, b): for each two components with a link between the two blocks, one such link."""
 
-def prefix_pairs(sets: DataFrame, comp: DataFrame) -> DataFrame:
-    """Exact candidates among the given sets: pairs across components that share one of the rarest shingles of either."""
-    each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
-    counts = each.groupBy("s").agg(F.count("*").alias("c"))
-    ranked = each.join(counts, "s").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("o"))
-    # Similar sets have at least t * n shingles in common, so one of them is among the first n - ceil(t n) + 1 of either.
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILARITY) / F.lit(100)) + 1
-    first = ranked.select("id", "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("x")).where("x.c > 1").select("id", "n", F.col("x.s").alias("s"))
-    placed = first.join(comp, "id", "left").withColumn("p", F.coalesce("component", "id")).drop("component")
-    a, b = placed.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "n", "s", "p")]), placed.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "n", "s", "p")])
-    near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * SIMILARITY) & (F.col("p_a") != F.col("p_b"))
-    return a.join(b, (F.col("s_a") == F.col("s_b")) & (F.col("id_a") < F.col("id_b")) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    def run(batches):
+        for batch in batches:
+            found: list[list[int]] = [[], []]
+            for row in range(batch.num_rows):
+                lo, hi, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values
+                ids, comp, block = (members.field(i).to_numpy() for i in range(3))
+                n = members.field(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+                if not len(left) or not len(right) or len(np.unique(comp)) < 2:
+                    continue
+                common = _common(_side(members, left), _side(members, right), (len(left), len(right))).astype(np.int64)
+                near = common * 100 >= (n[left][:, None] + n[right][None, :] - common) * SIMILARITY
+                i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
+                x, y = left[i], right[j]
+                key = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])])
+                _, one = np.unique(key, axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+                found[0] += np.minimum(ids[x[one]], ids[y[one]]).tolist()
+                found[1] += np.maximum(ids[x[one]], ids[y[one]]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+
+    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -241,20 +294,16 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     signed = written(signatures(docs, size, rows, bands), "signed")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(real.groupBy("text_hash", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")).withColumnRenamed("n_shingles", "n"), "reps")
-    pairs = written(candidates(reps, bands), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    placed = written(shared_buckets(reps, bands), "buckets")
+    ids = placed.select(F.col("id").alias("doc_id")).distinct()
     sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"), "sets")
-    links = written(confirm(pairs.where("first"), sets), "links")
+    links = written(confirm(stars(placed), sets), "links")
     comp = components(links)
-    second = written(confirm(_cross(pairs.where("NOT first"), comp), sets), "links")
-    if not second.isEmpty():
-        links = links.union(second)
-        comp = components(links)
-    left = written(unresolved(reps, comp, bands), "open")
-    if not left.isEmpty():
-        third = written(confirm(prefix_pairs(sets.join(left, "id", "left_semi"), comp), sets), "links")
-        if not third.isEmpty():
-            comp = components(links.union(third))
+    groups = written(open_groups(placed, comp), "open")
+    if not groups.isEmpty():
+        more = written(block_links(blocks(sets, groups)), "links")
+        if not more.isEmpty():
+            comp = components(links.union(more))
     member = reps.select("text_hash", F.col("n").alias("n_shingles"), "id").join(comp, "id", "left").select("text_hash", "n_shingles", F.coalesce("component", "id").alias("_component"))
     named = signed.select("doc_id", "text_hash", "n_shingles").join(member, ["text_hash", "n_shingles"], "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
