@@ -27,7 +27,7 @@ def dimensions(column_metrics: DataFrame, correlation_pairs: DataFrame | None =
         rows.append(links.agg((F.sum(F.col("n_fk") - F.col("n_orphans")) / F.nullif(F.sum(F.col("n_fk") + F.col("n_null")), F.lit(0))).alias("s")).select(F.lit("referential").alias("dimension"), "s"))
     if rules is not None:
         rows.append(rules.agg((F.sum("n_passing") / F.nullif(F.sum("n_rows"), F.lit(0))).alias("s")).select(F.lit("business_rules").alias("dimension"), "s"))
-    scored = reduce(DataFrame.unionByName, rows).select("dimension", round_half_up(F.greatest(F.lit(0.0), F.col("s")) * 100, 1).alias("score"))
+    scored = reduce(DataFrame.unionByName, rows).select("dimension", round_half_up(F.when(F.col("s") < 0, 0.0).otherwise(F.col("s")) * 100, 1).alias("score"))
     return scored.unionByName(scored.agg(round_half_up(F.avg("score"), 1).alias("score")).select(F.lit("overall").alias("dimension"), "score"))
 
 

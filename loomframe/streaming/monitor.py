@@ -15,9 +15,9 @@ LIMIT = 20
 WINDOW_S = 60
 
 
-def density(df: DataFrame, key: str, ts: str, seconds: int = WINDOW_S) -> Column:
+def density(key: str, ts: str, seconds: int = WINDOW_S) -> Column:
     """Requests of a visitor in the window that ends at each one."""
-    return F.count("*").over(Window.partitionBy(key).orderBy(F.unix_seconds(F.col(ts))).rangeBetween(-seconds, 0))
+    return F.count("*").over(Window.partitionBy(key).orderBy(F.unix_seconds(F.col(ts).cast("timestamp"))).rangeBetween(-seconds, 0))
 
 
 def _admit(times: list[float], recent: list[float], limit: int, seconds: float) -> tuple[list[bool], list[float]]:
