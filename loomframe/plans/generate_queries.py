@@ -78,7 +78,7 @@ def generate_orders(spark, sf):
 def generate_orders_quality(spark, sf):
     """Learn orders, generate as many, and score how faithful the result is."""
     original, learnt = _learnt(spark, sf)
-    made = generate.generate(spark, ORDERS, original.count(), 42, learnt)
+    made = generate.generate(spark, ORDERS, original.count(), 42, learnt).drop(*[f"_f_{s.name}" for s in ORDERS]).persist()  # five checks read it
     ks = [validate.ks_statistic(made.select(profile.numeric_view(F.col(c), k).alias(c)), original.select(profile.numeric_view(F.col(c), k).alias(c)), c).select(F.lit(c).alias("column"), F.col("d").alias("ks_d")) for c, k in (("o_totalprice", "float"), ("o_orderdate", "datetime"))]
     tvd = [validate.total_variation(made, original, c).select(F.lit(c).alias("column"), "tvd") for c in ("o_orderstatus", "o_orderpriority")]
     metrics = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*ks, *tvd])
