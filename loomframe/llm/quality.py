@@ -47,37 +47,33 @@ def _line_hash(line: Column) -> Column:
     return F.substring(F.md5(F.regexp_replace(F.lower(_stripped(line)), "[0-9]", "0").cast("binary")), 1, 16)
 
 
-def _repeat_words(w: Column) -> Column:
-    """How many words stand in a three-word window that the text has at least twice.
+def with_repeat_words(df: DataFrame) -> DataFrame:
+    """Add n_repeat_words: how many words of _q_w stand in a three-word window that the text has at least twice.
 
     Windows are sorted by a key of hash and position; only neighbours with equal hashes are compared word by word. Should windows
-    with one hash differ in words (or the text be too long for the key), windows are sorted by their words instead.
+    with one hash differ in words (or the text be too long for the key), windows are sorted by their words instead. Every step is
+    a projection of its own, so that no array is worked out twice.
     """
     low = (1 << POSITION_BITS) - 1
+    w, names = F.col("_q_w"), df.columns
     windows = F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
-    keys = F.sort_array(F.transform(windows, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
-
-    def alike(x, y):
-        return F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(y), POSITION_BITS) == 0, F.lit(False))
+    keys = F.transform(windows, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    alike = lambda x, y: F.shiftrightunsigned(x.bitwiseXOR(y), POSITION_BITS) == F.lit(0).cast("long")
 
     def equal(x, y):
         i, j = x.bitwiseAND(F.lit(low)).cast("int"), y.bitwiseAND(F.lit(low)).cast("int")
         return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
 
-    def covered(positions):
-        return F.size(F.array_union(F.array_union(positions, F.transform(positions, lambda p: p + 1)), F.transform(positions, lambda p: p + 2)))
-
-    # One-argument lambdas keep the array of keys from being worked out again for every element.
-    by_key = F.transform(F.array(keys), lambda k: F.filter(k, lambda x, i: alike(x, F.get(k, i - 1)) | alike(x, F.get(k, i + 1))))
-    by_key = F.get(by_key, F.lit(0))
-    clash = F.get(F.transform(F.array(by_key), lambda k: F.exists(F.transform(k, lambda x, i: alike(x, F.get(k, i + 1)) & ~equal(x, F.get(k, i + 1))), lambda b: F.coalesce(b, F.lit(False)))), F.lit(0))
-    plain = F.transform(
-        F.array(F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("p"))))),
-        lambda k: F.filter(k, lambda x, i: _same(x, F.get(k, i - 1)) | _same(x, F.get(k, i + 1))),
-    )
-    plain = F.transform(F.get(plain, F.lit(0)), lambda x: x["p"])
-    positions = F.when((F.size(w) > low) | clash, plain).otherwise(F.transform(by_key, lambda x: x.bitwiseAND(F.lit(low))))
-    return F.when(F.size(w) < 4, F.lit(0)).otherwise(covered(positions)).cast("long")
+    step = df.select(*names, F.sort_array(keys).alias("_q_k"))
+    step = step.select(*names, F.filter("_q_k", lambda x, i: alike(x, F.get("_q_k", i + 1)) | alike(x, F.get("_q_k", i - 1))).alias("_q_k"))
+    clash = F.exists(F.transform("_q_k", lambda x, i: alike(x, F.get("_q_k", i + 1)) & ~equal(x, F.get("_q_k", i + 1))), lambda b: F.coalesce(b, F.lit(False)))
+    step = step.select(*names, "_q_k", ((F.size(w) > low) | ((F.size("_q_k") > 0) & clash)).alias("_q_plain"))
+    rows = F.array_sort(F.transform(windows, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.cast("long").alias("p"))))
+    step = step.select(*names, "_q_k", F.when(F.col("_q_plain"), rows).alias("_q_rows"))
+    plain = F.transform(F.filter("_q_rows", lambda x, i: _same(x, F.get("_q_rows", i - 1)) | _same(x, F.get("_q_rows", i + 1))), lambda x: x["p"])
+    step = step.select(*names, F.when(F.col("_q_rows").isNotNull(), plain).otherwise(F.transform("_q_k", lambda x: x.bitwiseAND(F.lit(low)))).alias("_q_at"))
+    each = F.flatten(F.array("_q_at", F.transform("_q_at", lambda p: p + 1), F.transform("_q_at", lambda p: p + 2)))
+    return step.select(*names, F.size(F.array_distinct(each)).cast("long").alias("n_repeat_words"))
 
 
 def _same(x: Column, y: Column) -> Column:
@@ -90,13 +86,13 @@ def measures(docs: DataFrame) -> DataFrame:
     read = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_q_host"), text.alias("_q_text"))
     read = read.select("doc_id", "_q_host", "_q_text", words(F.col("_q_text")).alias("_q_w"), F.filter(F.split("_q_text", "\n"), lambda x: F.length(_stripped(x)) > 0).alias("_q_l"))
     return (
-        read.select(
+        with_repeat_words(read).select(
             "doc_id", "_q_host",
             F.size("_q_w").cast("long").alias("n_words"),
             F.length(F.array_join("_q_w", "")).cast("long").alias("word_chars"),
             (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
             (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long").alias("n_dup_lines"),
-            _repeat_words(F.col("_q_w")).alias("n_repeat_words"),
+            "n_repeat_words",
             F.transform("_q_l", lambda x: F.struct(_line_hash(x).alias("h"), F.size(words(x)).alias("n"))).alias("_q_lines"),
         )
         .withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
@@ -145,8 +141,9 @@ def clean(docs: DataFrame) -> DataFrame:
         "_q_row", text.alias("_q_text"), words(text).alias("_q_w"),
         F.when(F.size("_q_cut") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_q_cut"), _line_hash(x))), "\n")).alias("_q_left"),
     )
-    n, left = F.size("_q_w"), F.size(words(F.col("_q_left")))
-    good = (n >= 50) & (_repeat_words(F.col("_q_w")) * 100 <= n * 50) & ((left == n) | ((left >= LEAST_WORDS) & (left >= F.lit(LEAST_LEFT) * n)))
+    parts = with_repeat_words(parts).select("_q_row", "_q_left", "n_repeat_words", F.size("_q_w").alias("_q_n"), F.size(words(F.col("_q_left"))).alias("_q_m"))
+    n, left = F.col("_q_n"), F.col("_q_m")
+    good = (n >= 50) & (F.col("n_repeat_words") * 100 <= n * 50) & ((left == n) | ((left >= LEAST_WORDS) & (left >= F.lit(LEAST_LEFT) * n)))
     kept = parts.where(good)
     now = {"text": F.col("_q_left"), "n_chars": F.length("_q_left").cast("long")}
     return kept.select(*[now.get(c, F.col(f"_q_row.`{c}`")).alias(c) for c in names])
