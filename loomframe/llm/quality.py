@@ -144,9 +144,10 @@ def clean(docs: DataFrame) -> DataFrame:
     parts = with_repeat_words(parts).select("_q_row", "_q_left", "n_repeat_words", F.size("_q_w").alias("_q_n"), F.size(words(F.col("_q_left"))).alias("_q_m"))
     n, left = F.col("_q_n"), F.col("_q_m")
     good = (n >= 50) & (F.col("n_repeat_words") * 100 <= n * 50) & ((left == n) | ((left >= LEAST_WORDS) & (left >= F.lit(LEAST_LEFT) * n)))
-    kept = parts.where(good)
     now = {"text": F.col("_q_left"), "n_chars": F.length("_q_left").cast("long")}
-    return kept.select(*[now.get(c, F.col(f"_q_row.`{c}`")).alias(c) for c in names])
+    row = F.struct(*[now.get(c, F.col(f"_q_row.`{c}`")).alias(c) for c in names])
+    # Written, as Spark would push a filter on the verdict below its steps and repeat them.
+    return written(parts.select(row.alias("_q_row"), good.alias("_q_good")), "judged").where("_q_good").select(*[F.col(f"_q_row.`{c}`").alias(c) for c in names])
 
 
 def sql() -> str:
