@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,9 +54,11 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         raise ReadError("the file is empty")
     if any("\0" in x for x in first):
         raise ReadError("the file is binary")
-    sep = sniff_delimiter(first)
-    raw = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("enforceSchema", True).csv(path)
-    names, bad = header_names(raw.columns), "_corrupt_record"
+    filled = [x for x in first if x.strip()]
+    if not filled:
+        raise ReadError("the file has no columns")
+    sep = sniff_delimiter(filled)
+    names, bad = header_names(next(csv.reader(filled[:1], delimiter=sep))), "_corrupt_record"
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField(bad, T.StringType())])
     rows = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(schema).csv(path)
     some = F.coalesce(*[F.when(F.trim(F.col(f"`{n}`")) != "", F.lit(1)) for n in names])
