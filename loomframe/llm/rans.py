@@ -40,6 +40,8 @@ STRIDE = 512
 #: A segment is closed once it has this many tokens.
 SEGMENT = 1 << 21
 END_ID = 1
+#: Words that a worker remembers; more than elsewhere, as this operator also has the coding to do.
+WORDS = 260_000
 LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _P = np.uint64(PRECISION)
@@ -181,7 +183,7 @@ def token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        encode, part, number = encoder(path).encode, TaskContext.get().partitionId(), 0
+        encode, part, number = encoder(path, WORDS).encode, TaskContext.get().partitionId(), 0
         ids, sizes, parts, total = [], [], [], 0
 
         def close():

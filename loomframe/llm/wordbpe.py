@@ -81,6 +81,6 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordBpe:
+def encoder(path: str, most: int = 120_000) -> WordBpe:
     """One encoder in each Python worker, kept between tasks."""
-    return WordBpe(path)
+    return WordBpe(path, most)
