@@ -2,10 +2,10 @@
 
 DataFrame functions only. The measures of a text (words, repeated words, repeated lines, symbols) come from its own arrays.
 Then lines are compared across documents: normalised lines (lower case, outer white space off, digits as 0) are hashed, and
-for each host (the `source` column) the documents that have a line are counted. Copies and near copies of one document must
-not make its lines look like boilerplate, so a document counts by its signature, the smallest of its line hashes: nearly equal
-documents mostly share it. A line is removed where more than `MIN_DOCS` signatures and more than `SHARE` of the host's
-documents have it. A document is depleted, and rejected, if removed lines leave it under `LEAST_WORDS` words or under
+for each host (the `source` column) the documents that have a line are counted. Copies of one document must not make its
+lines look like boilerplate, so documents with the same set of line hashes count once; documents that differ in any line count
+each, however many lines they share. A line is removed where more than `MIN_DOCS` different documents and more than `SHARE` of
+the host's documents have it. A document is depleted, and rejected, if removed lines leave it under `LEAST_WORDS` words or under
 `LEAST_LEFT` of its words.
 
 A host has at most 1 / SHARE times its mean number of lines per document of such lines, so the lists of them are short; they are
@@ -103,7 +103,7 @@ def frequent_lines(lines: DataFrame) -> DataFrame:
     """_q_host and _q_cut, the hashes of its lines above the limits, from rows of _q_host and _q_lines."""
     hosts = lines.groupBy("_q_host").agg(F.count("*").alias("_q_docs"))
     signed = lines.select("_q_host", F.array_distinct(F.transform("_q_lines", lambda x: x["h"])).alias("_q_h"))
-    each = signed.select("_q_host", F.array_min("_q_h").alias("_q_sign"), F.explode("_q_h").alias("_q_h"))
+    each = signed.select("_q_host", F.md5(F.array_join(F.sort_array("_q_h"), "").cast("binary")).alias("_q_sign"), F.explode("_q_h").alias("_q_h"))
     counted = each.groupBy("_q_host", "_q_h", "_q_sign").agg(F.lit(1).alias("_q_1")).groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).where(F.col("_q_n") > MIN_DOCS)
     return counted.join(hosts, "_q_host").where(F.col("_q_n") > F.lit(SHARE) * F.col("_q_docs")).groupBy("_q_host").agg(F.collect_list("_q_h").alias("_q_cut"))
 
