@@ -39,8 +39,8 @@ PATTERNS = {
     "card_short": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
     "phone_local": r"(?<![0-9+])(?<![0-9][\x20./-])0[0-9](?:[\x20./-]?[0-9]){6,13}+(?![\x20./-]?[0-9])",
 }
-#: Cheap tests that a text must pass before the pattern is tried.
-_NEEDS = {"email": "@", "phone": "+", "ip": "[0-9]\\.[0-9]++\\.", "card": "[0-9]{2}[0-9\\x20-]{14}", "iban": "[A-Z]{2}[0-9]{2}", "card_short": "[0-9]{2}[0-9\\x20-]{11}", "phone_local": "(?<![0-9])0[0-9]"}
+#: Cheap tests that a text must pass before the pattern is tried; every match implies its test.
+_NEEDS = {"email": "@", "phone": "+", "ip": "[0-9]\\.[0-9]++\\.", "card": "[0-9](?:[\\x20-]?[0-9]){15}", "iban": "[A-Z]{2}[0-9]{2}", "card_short": "[0-9](?:[\\x20-]?[0-9]){12}", "phone_local": "(?<![0-9])0[0-9]"}
 _WORDS = {
     "card_short": "card|visa|amex|credit|debit|karte|carte|tarjeta",
     "phone_local": "phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
