@@ -4,12 +4,13 @@ Graph. Rows with equal vectors are one node. Nodes start with neighbours from `T
 dealt into parts of about `PART` nodes. Then, `ROUNDS` times or until few edges change, every node's list (its `K` neighbours and up
 to `REVERSE` of the nodes that have it as a neighbour) is gathered by a join with the vectors; nodes that stand in one list, being
 neighbours of a neighbour, are compared, and each node keeps its `K` nearest. Pairs compared in an earlier round are not compared again.
-While the graph is built, vectors are carried as one signed byte for each component.
+Graph and search carry vectors in single precision, so no row affects another's precision, and measure them in double precision.
 
 Search. A query starts at the nearest `ENTRIES` of `PIVOTS` sampled nodes (a fixed number, so a bounded size) and, if its own vector
 is a node, at that one. In each round all nodes of its beam that were not looked at are expanded: a join gives their neighbours, a
 second one their vectors, and the `BEAM` nearest stay. It ends when no beam has anything to expand; every round is written to the
-shared folder. The beam's nearest `RERANK` nodes are measured again on the original vectors in double precision.
+shared folder. The beam's nearest `RERANK` nodes, and all that tie with the last of them, are measured
+again on the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is not the table's most
 frequent one, nor rows with a null id. Of rows with one id the smallest vector counts. Ties in distance go to the smaller id. Empty
@@ -59,20 +60,20 @@ def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equally long binary values as an int8 matrix."""
+    """Rows of equally long binary values as a float32 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.zeros((0, 0), np.int8)
+        return np.zeros((0, 0), np.float32)
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.int8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+    return np.frombuffer(column.buffers()[2], np.float32, offsets[-1] // 4)[offsets[0] // 4 :].reshape(len(column), -1)
 
 
-def quantised(nodes: DataFrame, scale: float) -> DataFrame:
-    """id and code: one signed byte for each component."""
+def coded(nodes: DataFrame, scale: float) -> DataFrame:
+    """id and code: the components in single precision."""
 
     def run(batches):
         for b in batches:
-            codes = [np.clip(np.rint(np.asarray(v) * scale), -127, 127).astype(np.int8).tobytes() for v in b.column(1).to_pylist()]
+            codes = [(np.asarray(v) * scale).astype(np.float32).tobytes() for v in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
 
     return nodes.select("id", "vector").mapInArrow(run, "id long, code binary")
@@ -95,7 +96,8 @@ def _compare(lists: DataFrame) -> DataFrame:
                 fresh = new[order]
                 if len(order) < 2 or not fresh.any():
                     continue
-                x = codes[order].astype(np.float32)
+                x = codes[order].astype(np.float64)
+                x -= x[0]  # lists are local; a common offset would cost digits
                 norm = np.einsum("ij,ij->i", x, x)
                 d = norm[:, None] + norm[None, :] - 2 * (x @ x.T)
                 np.fill_diagonal(d, np.inf)
@@ -109,10 +111,10 @@ def _compare(lists: DataFrame) -> DataFrame:
                 i, j = np.nonzero(np.isfinite(d))
                 for column_, value in zip(out, (u[order[i]], u[order[near[i, j]]], d[i, j]), strict=True):
                     column_.append(value)
-            kinds = ((0, pa.int64(), np.int64), (1, pa.int64(), np.int64), (2, pa.float32(), np.float32))
+            kinds = ((0, pa.int64(), np.int64), (1, pa.int64(), np.int64), (2, pa.float64(), np.float64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *out[k]]), kind) for k, kind, t in kinds], names=["v", "u", "d"])
 
-    return lists.select("m").mapInArrow(run, "v long, u long, d float")
+    return lists.select("m").mapInArrow(run, "v long, u long, d double")
 
 
 def _nearest(edges: DataFrame, k: int, by: str = "v", other: str = "u") -> DataFrame:
@@ -135,7 +137,7 @@ def _first_edges(codes: DataFrame, n: int, dim: int, k: int, seed: int) -> DataF
     placed = codes.select("id", "code").mapInArrow(run, "t int, bucket long, id long, code binary")
     counts = placed.groupBy("t", "bucket").agg(F.count("*").alias("_c"))
     part = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("_c") / F.lit(float(PART))))
-    member = F.struct(F.col("id").alias("u"), F.lit(True).alias("new"), F.lit(float("inf")).cast("float").alias("most"), "code")
+    member = F.struct(F.col("id").alias("u"), F.lit(True).alias("new"), F.lit(float("inf")).alias("most"), "code")
     lists = placed.join(counts, ["t", "bucket"]).groupBy("t", "bucket", part.alias("_p")).agg(F.collect_list(member).alias("m"))
     found = _compare(lists).groupBy("v", "u").agg(F.min("d").alias("d"))
     return _nearest(found, k).withColumn("new", F.lit(True))
@@ -147,7 +149,7 @@ def build(codes: DataFrame, n: int, dim: int, k: int = K, reverse: int = REVERSE
     for _ in range(rounds):
         back = _nearest(edges, reverse, "u", "v").select(F.col("u").alias("v"), F.col("v").alias("u"), "new")
         full = edges.groupBy("v").agg(F.count("*").alias("_c"), F.max("d").alias("_d")).where(F.col("_c") >= k).select(F.col("v").alias("u"), F.col("_d"))
-        known = codes.withColumnRenamed("id", "u").join(full, "u", "left").select("u", F.coalesce("_d", F.lit(float("inf")).cast("float")).alias("most"), "code")
+        known = codes.withColumnRenamed("id", "u").join(full, "u", "left").select("u", F.coalesce("_d", F.lit(float("inf"))).alias("most"), "code")
         members = edges.select("v", "u", "new").union(back).join(known, "u")
         lists = members.groupBy("v").agg(F.collect_list(F.struct("u", "new", "most", "code")).alias("m"))  # at most k + reverse
         proposed = _compare(lists).select("v", "u", "d", F.lit(True).alias("new"))
@@ -167,21 +169,21 @@ def adjacency(edges: DataFrame, reverse: int = REVERSE) -> DataFrame:
     return edges.select(F.col("v").alias("node"), "u").union(back).groupBy("node").agg(F.collect_set("u").alias("to"))
 
 
-_STATE = "q long, qcode binary, beam array<struct<d:float,id:long,done:boolean>>, todo array<long>"
-_BEAM = pa.list_(pa.struct([("d", pa.float32()), ("id", pa.int64()), ("done", pa.bool_())]))
+_STATE = "q long, qcode binary, beam array<struct<d:double,id:long,done:boolean>>, todo array<long>"
+_BEAM = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("done", pa.bool_())]))
 
 
 def _distances(codes: np.ndarray, code: bytes) -> np.ndarray:
-    x = codes.astype(np.float32) - np.frombuffer(code, np.int8).astype(np.float32)
+    x = codes.astype(np.float64) - np.frombuffer(code, np.float32)
     return np.einsum("ij,ij->i", x, x)
 
 
 def _batch(q: list, codes: list, beams: list) -> pa.RecordBatch:
     """beams: (d, id, done) sorted by d; everything not done is to be expanded now and so done afterwards."""
     todo = [i[~done].tolist() for _, i, done in beams]
-    flat = [np.concatenate([np.zeros(0, t), *[b[k] for b in beams]]) for k, t in enumerate((np.float32, np.int64, bool))]
+    flat = [np.concatenate([np.zeros(0, t), *[b[k] for b in beams]]) for k, t in enumerate((np.float64, np.int64, bool))]
     ends = np.cumsum([0, *[len(b[0]) for b in beams]])
-    fields = [pa.array(flat[0], pa.float32()), pa.array(flat[1], pa.int64()), pa.array(np.ones(len(flat[2]), bool))]
+    fields = [pa.array(flat[0], pa.float64()), pa.array(flat[1], pa.int64()), pa.array(np.ones(len(flat[2]), bool))]
     beam = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BEAM.value_type)))
     return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(codes, pa.binary()), beam, pa.array(todo, pa.list_(pa.int64()))], names=["q", "qcode", "beam", "todo"])
 
@@ -199,7 +201,7 @@ def search(queries: DataFrame, codes: DataFrame, links: DataFrame, beam: int = B
                 near = np.lexsort((ids, d))[:entries]
                 i, dd = ids[near], d[near]
                 if own is not None:
-                    dd, i = np.r_[0, dd[i != own]].astype(np.float32), np.r_[own, i[i != own]]
+                    dd, i = np.r_[0, dd[i != own]].astype(np.float64), np.r_[own, i[i != own]]
                 beams.append((dd, i, np.zeros(len(i), bool)))
             yield _batch(b.column(0).to_pylist(), b.column(1).to_pylist(), beams)
 
@@ -212,7 +214,7 @@ def search(queries: DataFrame, codes: DataFrame, links: DataFrame, beam: int = B
                 if found is not None and len(found):
                     new = found.field(0).to_numpy()
                     at = np.flatnonzero(~np.isin(new, i))
-                    i, d = np.r_[i, new[at]], np.r_[d, _distances(_matrix(found.field(1))[at], code)].astype(np.float32)
+                    i, d = np.r_[i, new[at]], np.r_[d, _distances(_matrix(found.field(1))[at], code)]
                     done = np.r_[done, np.zeros(len(at), bool)]
                 near = np.lexsort((i, d))[:beam]
                 beams.append((d[near], i[near], done[near]))
@@ -249,13 +251,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     nodes = written(nodes_of(vectors, k + 1), "nodes")
     facts = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("top"), F.max(F.size("vector")).alias("dim")).first()
     n, dim = facts["n"], facts["dim"] or 1
-    codes = written(quantised(nodes, 127 / (facts["top"] or 1.0)), "codes")
+    top = facts["top"] or 1.0
+    codes = written(coded(nodes, 1.0 if 1e-15 < top < 1e15 else 1 / top), "codes")  # squares stay finite
     edges = build(codes, n, dim)
     links = written(adjacency(edges), "links")
     asked = written(vectors.where(is_query).join(nodes.select("vector", "id"), "vector").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "asked")
     queries = asked.select("q").distinct().join(codes.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "q").withColumn("own", F.col("q"))
     beams = search(queries, codes, links)
-    near = beams.select("q", F.explode(F.slice("beam", 1, RERANK)).alias("b")).select("q", F.col("b.id").alias("id"))
+    near = beams.select("q", F.explode(F.filter("beam", lambda x, i: (i < RERANK) | (x["d"] <= F.get("beam", F.lit(RERANK - 1))["d"]))).alias("b")).select("q", F.col("b.id").alias("id"))
     own = nodes.select("id", "vector")
     pairs = near.join(own.select(F.col("id").alias("q"), F.col("vector").alias("x")), "q").join(own.select("id", F.col("vector").alias("y")), "id")
     scored = _exact(pairs).join(nodes.select("id", "members"), "id").select("q", "score", F.explode("members").alias("vec_id"))
