@@ -162,7 +162,7 @@ p AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i+1], w[i+2]) AS c FROM p),
 c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i+1, i+2]) AS k FROM g WHERE c > 1) GROUP BY r),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, l, count(*) AS c FROM l GROUP BY r, l) GROUP BY r),
-sg AS (SELECT r, min(h) AS s FROM l GROUP BY r),
+sg AS (SELECT r, md5(string_agg(h, '' ORDER BY h)) AS s FROM (SELECT DISTINCT r, h FROM l) GROUP BY r),
 cnt AS (SELECT l.host, l.h, count(DISTINCT sg.s) AS n FROM l JOIN sg USING (r) GROUP BY l.host, l.h),
 hs AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 cut AS (SELECT cnt.host, cnt.h FROM cnt JOIN hs USING (host) WHERE cnt.n > {MIN_DOCS} AND cnt.n > {SHARE}::DOUBLE * hs.n),
