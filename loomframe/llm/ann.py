@@ -1,24 +1,29 @@
 """Approximate nearest neighbours: NN-descent builds a neighbour graph by iterative joins, queries search it greedily.
 
 Graph. Rows with equal vectors are one node. Nodes start with neighbours from `TABLES` random-hyperplane tables, whose buckets are
-dealt into parts of about `PART` nodes. Then, `ROUNDS` times or until few edges change, every node's list (its `K` neighbours and up
-to `REVERSE` of the nodes that have it as a neighbour) is gathered by a join with the vectors; nodes that stand in one list, being
-neighbours of a neighbour, are compared, and each node keeps its `K` nearest. Pairs compared in an earlier round are not compared again.
+dealt into parts of about `PART` nodes. Then, `ROUNDS` times or until few edges change, every node's neighbours and the nodes that
+have it as a neighbour are gathered by a join with the vectors; nodes that stand in one list, being neighbours of a neighbour, are
+compared, and each node keeps its `K` nearest. A list passes on each member's `K` nearest in it, which loses nothing, as a member keeps
+no more. All nodes that have a node as a neighbour take part: where they are more than `REVERSE`, they are dealt into several lists
+of that node. Pairs compared in an earlier round are not compared again.
 Graph and search carry vectors in single precision, so no row affects another's precision, and measure them in double precision.
 
 Search. A query starts at the nearest `ENTRIES` of `PIVOTS` sampled nodes (a fixed number, so a bounded size) and, if its own vector
 is a node, at that one. In each round all nodes of its beam that were not looked at are expanded: a join gives their neighbours, a
 second one their vectors, and the `BEAM` nearest stay. It ends when no beam has anything to expand; every round is written to the
-shared folder. The beam's nearest `RERANK` nodes, and all that tie with the last of them, are measured
-again on the original vectors in double precision.
+shared folder. The beam's nearest `RERANK` nodes, and all that tie with the last of them, are measured again on the original
+vectors in double precision. The search graph has each node's `K` neighbours and the `REVERSE` nearest that have it as one.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those whose length is not the table's most
-frequent one, nor rows with a null id. Of rows with one id the smallest vector counts. Ties in distance go to the smaller id. Empty
-tables give no rows; other columns are not looked at.
+Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with a null id. Every other row is a
+candidate, also where ids repeat: such rows count one each, and each is a query of its own. Distances are only defined between vectors
+of one length, so each length has a graph and search of its own. Ties in distance go to the smaller id. Empty tables give no rows;
+other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -26,18 +31,16 @@ from pyspark.sql import functions as F
 
 from .shared import bounded_batches, forget, written
 
-K = 40
-REVERSE = 30
-#: Nearest partners that one list may propose to each of its members in a round.
-PROPOSE = 12
-ROUNDS = 4
+K = 32
+REVERSE = 32
+ROUNDS = 3
 #: Rounds end early when fewer than this share of the edges is new.
 CHANGED = 0.03
-TABLES = 4
+TABLES = 6
 PART = 48
 PIVOTS = 1024
 ENTRIES = 32
-BEAM = 128
+BEAM = 256
 RERANK = 48
 
 
@@ -46,17 +49,14 @@ def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding"
     vector = F.col(f"`{embedding}`").cast("array<double>")
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     read = rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), vector.alias("vector")).where("vec_id IS NOT NULL AND vector IS NOT NULL")
-    good = read.where(~bad & F.exists("vector", lambda x: x != 0))
-    size = good.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    good = good.where(F.size("vector") == (size["n"] if size else 0))
-    return good.groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return read.where(~bad & F.exists("vector", lambda x: x != 0))
 
 
 def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
-    """One row for each different vector: id (its smallest vec_id), vector, and its `most` smallest vec_ids in `members`."""
+    """One row for each different vector (to be written, which fixes the ids): id, vector, and its `most` smallest vec_ids, repeated ones as often, in `members`."""
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
     first = vectors.withColumn("_r", rank).where(F.col("_r") <= most)
-    return first.groupBy("vector").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("members"))
+    return first.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn("id", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -79,8 +79,8 @@ def coded(nodes: DataFrame, scale: float) -> DataFrame:
     return nodes.select("id", "vector").mapInArrow(run, "id long, code binary")
 
 
-def _compare(lists: DataFrame) -> DataFrame:
-    """(v, u, d): from rows with `m`, an array of (u, new, most, code), partners nearer than `most`, unless both are old."""
+def _compare(lists: DataFrame, k: int) -> DataFrame:
+    """(v, u, d): from rows with `m`, an array of (u, new, most, code), each u's `k` nearest partners nearer than `most`, unless both are old."""
 
     def run(batches):
         for b in batches:
@@ -103,8 +103,8 @@ def _compare(lists: DataFrame) -> DataFrame:
                 np.fill_diagonal(d, np.inf)
                 d[~fresh[:, None] & ~fresh[None, :]] = np.inf
                 d[d >= most[order][:, None]] = np.inf
-                if len(order) > PROPOSE:
-                    near = np.argpartition(d, PROPOSE - 1, axis=1)[:, :PROPOSE]
+                if len(order) > k:
+                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
                     d = np.take_along_axis(d, near, axis=1)
                 else:
                     near = np.broadcast_to(np.arange(len(order)), d.shape)
@@ -139,7 +139,7 @@ def _first_edges(codes: DataFrame, n: int, dim: int, k: int, seed: int) -> DataF
     part = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("_c") / F.lit(float(PART))))
     member = F.struct(F.col("id").alias("u"), F.lit(True).alias("new"), F.lit(float("inf")).alias("most"), "code")
     lists = placed.join(counts, ["t", "bucket"]).groupBy("t", "bucket", part.alias("_p")).agg(F.collect_list(member).alias("m"))
-    found = _compare(lists).groupBy("v", "u").agg(F.min("d").alias("d"))
+    found = _compare(lists, k).groupBy("v", "u").agg(F.min("d").alias("d"))
     return _nearest(found, k).withColumn("new", F.lit(True))
 
 
@@ -147,12 +147,15 @@ def build(codes: DataFrame, n: int, dim: int, k: int = K, reverse: int = REVERSE
     """NN-descent: edges (v, u, d, new), the `k` nearest neighbours found for every node. `codes` is a written table."""
     edges = written(_first_edges(codes, n, dim, k, seed), "edges")
     for _ in range(rounds):
-        back = _nearest(edges, reverse, "u", "v").select(F.col("u").alias("v"), F.col("v").alias("u"), "new")
+        parts = edges.groupBy(F.col("u").alias("v")).agg(F.ceil(F.count("*") / F.lit(float(reverse))).alias("_p"))
+        back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").join(parts.where("_p > 1"), "v", "left")
+        back = back.select("v", "u", "new", F.pmod(F.xxhash64("u"), F.coalesce("_p", F.lit(1))).alias("p"))
+        ahead = edges.select("v", "u", "new").join(parts.where("_p > 1"), "v", "left").select("v", "u", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_p", F.lit(1)) - 1)).alias("p"))
         full = edges.groupBy("v").agg(F.count("*").alias("_c"), F.max("d").alias("_d")).where(F.col("_c") >= k).select(F.col("v").alias("u"), F.col("_d"))
         known = codes.withColumnRenamed("id", "u").join(full, "u", "left").select("u", F.coalesce("_d", F.lit(float("inf"))).alias("most"), "code")
-        members = edges.select("v", "u", "new").union(back).join(known, "u")
-        lists = members.groupBy("v").agg(F.collect_list(F.struct("u", "new", "most", "code")).alias("m"))  # at most k + reverse
-        proposed = _compare(lists).select("v", "u", "d", F.lit(True).alias("new"))
+        members = ahead.union(back).join(known, "u")
+        lists = members.groupBy("v", "p").agg(F.collect_list(F.struct("u", "new", "most", "code")).alias("m"))  # about k + reverse at most
+        proposed = _compare(lists, k).select("v", "u", "d", F.lit(True).alias("new"))
         all_ = edges.select("v", "u", "d", F.lit(False).alias("new")).union(proposed).groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         after = written(_nearest(all_, k), "edges")
         forget(edges)
@@ -245,27 +248,33 @@ def _exact(pairs: DataFrame) -> DataFrame:
 
 def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score: for each row where `is_query` (of vec_id) holds, its `k` nearest other rows found."""
-    spark = rows.sparkSession
-    bounded_batches(spark)
+    bounded_batches(rows.sparkSession)
     vectors = written(usable(rows), "vectors")
+    dims = [r["n"] for r in vectors.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]  # the different lengths
+    if not dims:
+        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, [_nearest_of_length(vectors.where(F.size("vector") == n), n, is_query, k) for n in dims])
+
+
+def _nearest_of_length(vectors: DataFrame, dim: int, is_query: Column, k: int) -> DataFrame:
     nodes = written(nodes_of(vectors, k + 1), "nodes")
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("top"), F.max(F.size("vector")).alias("dim")).first()
-    n, dim = facts["n"], facts["dim"] or 1
-    top = facts["top"] or 1.0
+    facts = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("top")).first()
+    top = facts["top"]
     codes = written(coded(nodes, 1.0 if 1e-15 < top < 1e15 else 1 / top), "codes")  # squares stay finite
-    edges = build(codes, n, dim)
-    links = written(adjacency(edges), "links")
-    asked = written(vectors.where(is_query).join(nodes.select("vector", "id"), "vector").select(F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "asked")
+    links = written(adjacency(build(codes, facts["n"], dim)), "links")
+    asked = written(vectors.where(is_query).join(nodes.select("vector", "id"), "vector").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "asked")
     queries = asked.select("q").distinct().join(codes.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "q").withColumn("own", F.col("q"))
     beams = search(queries, codes, links)
     near = beams.select("q", F.explode(F.filter("beam", lambda x, i: (i < RERANK) | (x["d"] <= F.get("beam", F.lit(RERANK - 1))["d"]))).alias("b")).select("q", F.col("b.id").alias("id"))
     own = nodes.select("id", "vector")
     pairs = near.join(own.select(F.col("id").alias("q"), F.col("vector").alias("x")), "q").join(own.select("id", F.col("vector").alias("y")), "id")
-    scored = _exact(pairs).join(nodes.select("id", "members"), "id").select("q", "score", F.explode("members").alias("vec_id"))
-    best = _ranked(scored, "q", k + 1).drop("rank")  # one more, as the query's own row goes; the same for all queries of a node
-    answers = asked.join(best, "q").where(F.col("query_id") != F.col("vec_id"))
-    return _ranked(answers, "query_id", k).select("query_id", "rank", "vec_id", "score")
+    scored = _exact(pairs).join(nodes.select("id", "members"), "id").select("q", "score", (F.col("id") == F.col("q")).alias("same"), F.posexplode("members").alias("at", "vec_id"))
+    best = _ranked(scored, ["q"], k + 1, "at").drop("rank")  # one more, as the query's own row goes; the same for all queries of a node
+    # Of the rows with the query's vector and id the first one is its own.
+    first = F.row_number().over(Window.partitionBy("row", "vec_id", "same").orderBy("at"))
+    answers = asked.join(best, "q").withColumn("_first", first).where(~(F.col("same") & (F.col("query_id") == F.col("vec_id")) & (F.col("_first") == 1)))
+    return _ranked(answers, ["row"], k, "at").select("query_id", "rank", "vec_id", "score")
 
 
-def _ranked(rows: DataFrame, by: str, k: int) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+def _ranked(rows: DataFrame, by: list[str], k: int, last: str) -> DataFrame:
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("score", "vec_id", last))).where(F.col("rank") <= k)

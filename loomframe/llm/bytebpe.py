@@ -3,12 +3,13 @@
 For every prefix of a piece of text exactly one vocabulary token can be its last one in a valid encoding: the token t such
 that t is compatible with the last token of what is left without t. Two neighbours are compatible if BPE, run on their
 bytes alone, gives just these two tokens. Storing that last token for each prefix gives an encoding by walking back, makes
-appending exact (later bytes never change what earlier prefixes stored), and lets an edit re-encode from the edited byte.
+appending exact (later bytes never change what earlier prefixes stored), and lets an edit re-encode from the edited byte to where the old
+and new last tokens agree again.
 
 `Prefix` is one such text; `Ranks` holds the vocabulary. Pieces of the split pattern are encoded separately and the ids of
 frequent pieces are remembered.
 
-Nulls count as empty texts (no ids). Repeated rows give repeated rows, empty tables none; other columns are not looked at.
+Nulls count as empty texts (no ids); texts and pieces of any length are encoded whole. A null doc_id stays null. Repeated rows give repeated rows, empty tables none; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -229,11 +230,23 @@ class Prefix:
         return self
 
     def edit(self, start: int, stop: int, new: bytes) -> Prefix:
-        """Replace data[start:stop]; only what follows `start` is worked out again."""
-        rest = new + self.data[stop:]
-        self.data = self.data[:start]
-        del self.last[start + 1 :]
-        return self.append(rest)
+        """Replace data[start:stop]; only prefixes near the edit are worked out again.
+
+        A prefix's last token depends on the last tokens of the `longest` prefixes before it and the bytes between. So once that
+        many prefixes in a row, all ending after the edit, have the tokens they had before it, all later ones have too.
+        """
+        ranks, old, was = self.ranks, self.data, self.last
+        moved = len(new) - (stop - start)
+        self.data = old[:start] + new + old[stop:]
+        self.last = was[: start + 1] + [-2] * (len(self.data) - start)
+        same = 0
+        for end in range(stop + 1, len(old) + 1):
+            before = ranks.last_token(old, was, end) if was[end] == -2 else was[end]
+            same = same + 1 if ranks.last_token(self.data, self.last, end + moved) == before else 0
+            if same == ranks.longest:
+                self.last[end + moved + 1 :] = was[end + 1 :]
+                break
+        return self
 
     def ids(self) -> list[int]:
         ranks, data, last = self.ranks, self.data, self.last

@@ -2,14 +2,16 @@
 
 A text's bytes are lower-cased, everything in ASCII that is no letter becomes a space, and its windows of 2, 3 and 4 bytes are hashed
 into `BUCKETS`. The mean of the buckets' embeddings goes through one linear layer. Both are trained by stochastic gradient descent
-in numpy, on at most `PER_LANG` labelled rows of each language (those of smallest hash of their id; the bound is this parameter).
+in numpy, on at most `PER_LANG` different labelled rows of each language (those of smallest hash; the bound is this parameter, and holds
+also where ids or rows repeat).
 One row in five of these is set aside: a temperature is fitted to it, and the score below which a prediction is rejected is the
 `REJECT` quantile of the calibrated scores of its correctly predicted rows, at most `MOST_CUT`.
 
 The mean is linear, so prediction needs only the product of embeddings and layer: one row of logits for each bucket.
 
 Only text is an input of a prediction. Null texts and texts without a letter are `und` with score 0 and count as rejected. Without any
-labelled rows every text is `und`. Repeated rows are predicted alike; an empty table gives no rows; other columns are not looked at.
+labelled rows every text is `und`. Texts of any length are taken whole. Languages that tie go to the first in alphabetical order. Repeated
+rows are predicted alike; a null doc_id counts as not held out and not for learning; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -137,21 +139,30 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[str], seed: in
     return model
 
 
+def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> DataFrame:
+    """lang, h and text of at most `per_lang` different labelled rows of each language: those of the smallest hash of id and text.
+
+    The number of different hashes of each language is estimated first, so that only about twice `per_lang` rows of a language pass the
+    threshold set by it and are sent to the exact cut, however many rows or copies the language has.
+    """
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+    labelled = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), h.alias("h"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # one row a language
+    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(2.0 * per_lang / max(1, n)))]) if sizes else F.create_map(F.lit(""), F.lit(0.0))
+    few = labelled.where(F.col("h") / F.lit(2.0**63) < F.element_at(share, F.col("lang"))).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return few.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("_k") <= per_lang).drop("_k")
+
+
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
     """Train on rows where `learn` holds and text and lang are not null."""
     bounded_batches(docs.sparkSession)
-    labelled = docs.where(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # At most per_lang ids of each language: small enough to be sent to all tasks.
-    ids = labelled.select("doc_id", "lang").withColumn("_k", F.row_number().over(by_lang)).where(F.col("_k") <= per_lang).select("doc_id", F.col("lang").alias("_lang"))
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).join(F.broadcast(ids), (F.col("lang") == F.col("_lang")) & labelled["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
 
     def run(batches):
         for b in batches:
             bags = [bag(t) if t else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([w.tobytes() for _, w in bags], pa.binary())], names=["lang", "h", "at", "share"])
 
-    found = rows.select("text", "lang", F.xxhash64("doc_id", "text").alias("h")).mapInArrow(run, "lang string, h long, at binary, share binary").toArrow().to_pylist()
+    found = sample(docs, learn, per_lang).select("text", "lang", "h").mapInArrow(run, "lang string, h long, at binary, share binary").toArrow().to_pylist()
     found = sorted((r for r in found if r["at"]), key=lambda r: (r["lang"], r["h"]))
     return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found], [r["lang"] for r in found])
 

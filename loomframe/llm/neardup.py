@@ -15,7 +15,9 @@
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
 Nulls and texts without words have an empty set, are linked with nothing and are their own component. Repeated rows are exact
-copies of each other; rows with a null id are left out of links and keep a null component. Empty tables give no rows.
+copies of each other; rows with a null id are left out of links and keep a null component. Rows that share an id but not their text
+are linked through that id, and the text whose sorted set comes first stands for it where sets are compared. Texts of any length are
+hashed whole. Of a component the smallest id is kept. Empty tables give no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches, written
+from .shared import bounded_batches, forget, written
 
 ROWS = 3
 BANDS = 12
@@ -182,8 +184,25 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("_i"), (F.size("_x") + F.size("_y")).alias("_t")).where(F.col("_i") * 100 >= (F.col("_t") - F.col("_i")) * SIMILARITY).select("a", "b")
 
 
+#: A hub has more than one in so many of all edges; so there are at most twice as many hubs.
+HUBS = 1024
+
+
+def _under_least(edges: DataFrame, own: bool, n: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """The edges (u, v) with the smallest v of their u (or u itself, if `own` and smaller) in `m`; and the table of u and m.
+
+    A hub's edges would meet in one task of a join by u; so hubs, at most 2 * HUBS of them, are broadcast to their edges instead.
+    """
+    least = F.least(F.col("u"), F.min("v")) if own else F.min("v")
+    low = written(edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("c")), name)
+    hub = (F.col("c") > max(64, n // HUBS))
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    cold = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(~hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").select("u", "v", "m").unionByName(cold.select("u", "v", "m")), low
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
-    """(id, component): the smallest id that is reachable, for each id that has a link.
+    """(id, component): the smallest id that is reachable, for each id that has a link, but for the smallest ids themselves.
 
     Large-star and small-star rounds in turn: each round hangs neighbours under the smallest known id, and every round's edges are
     written, so the plan does not grow. Ends when a round changes nothing.
@@ -194,15 +213,16 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = fingerprint(edges)
-    while True:
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hung, low = _under_least(both, True, before[0], name)
+        large = written(hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         # small star: an id's smaller neighbours, and itself, go under the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, name)
-        now = fingerprint(edges)
+        hung, least = _under_least(large, False, before[0], name)
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        after = written(small, name)
+        forget(edges, low, large, least)
+        edges, now = after, fingerprint(after)
         if now == before:
             break
         before = now
@@ -296,7 +316,7 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     reps = written(real.groupBy("text_hash", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")).withColumnRenamed("n_shingles", "n"), "reps")
     placed = written(shared_buckets(reps, bands), "buckets")
     ids = placed.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.first("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"), "sets")
+    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"), "sets")
     links = written(confirm(stars(placed), sets), "links")
     comp = components(links)
     groups = written(open_groups(placed, comp), "open")

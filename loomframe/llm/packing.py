@@ -7,15 +7,20 @@
 3. Number the pieces of each length (rank) and look the rank up among the pattern slots of that length.
 
 Step 2 runs on the driver over at most `max_len` numbers. Ranks are numbered within (length, hash chunk) with an offset
-for each chunk, so that a length shared by a third of all documents is spread over many tasks.
+for each chunk, so that a length shared by a third of all documents is spread over many tasks; a length of n pieces has about the
+square root of n chunks, so neither a chunk nor the list of a length's chunks is large.
+
+A sequence is padded to `max_len`; one that is filled to a power of two can be stored at that size as it is.
 
 Nulls: a null text is an empty one (a single end token). Repeated rows and repeated ids each give pieces of their own.
-An empty table gives no rows. Other columns of the input are not looked at.
+An empty table gives no rows. Texts of any length are cut into as many pieces as they need; ties in length are packed in the order of
+their columns. Other columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 
 import numpy as np
@@ -28,7 +33,7 @@ from .wordbpe import default_path, encoder
 
 MAX_LEN = 2048
 END_ID = 1
-#: Pieces numbered together; a length with more pieces is numbered in several chunks.
+#: Fewest pieces numbered together; a length with more pieces is numbered in several chunks.
 RANK_CHUNK = 500
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -117,7 +122,7 @@ def pack(pieces: DataFrame, max_len: int = MAX_LEN) -> DataFrame:
     by_length = {n: [np.array(c, dtype=np.int64) for c in zip(*sorted(own), strict=True)] for n, own in grouped.items()}
 
     # Chunks of a length: its number of pieces is known from the histogram, which holds at most max_len entries.
-    chunks = F.create_map(*[x for n, c in sorted(counts.items()) for x in (F.lit(n), F.lit(-(-c // RANK_CHUNK)))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    chunks = F.create_map(*[x for n, c in sorted(counts.items()) for x in (F.lit(n), F.lit(-(-c // max(RANK_CHUNK, math.isqrt(c)))))]) if counts else F.create_map(F.lit(0), F.lit(1))
     columns = pieces.columns
     dealt = pieces.withColumn("_chunk", F.pmod(F.xxhash64(*columns), F.element_at(chunks, F.col("length").cast("int"))))
     first = (

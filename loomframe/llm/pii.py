@@ -5,15 +5,17 @@ splitting at the markers, which gives their places as well as their text. Positi
 
 Base kinds (leftmost matches that do not overlap; a match that fails its test is dropped): email; ip, no part over 255; card, 16 to
 19 digits that pass the Luhn test; phone, with a plus and 8 to 15 digits. They stay whatever their score. Other proposals are
-added if their score reaches `THRESHOLD`: iban (0.4; mod-97 test passed +0.5), card_short (13 to 15 digits; 0.2, Luhn +0.2, words
-before it +0.4), phone_local (a leading 0 and 8 to 15 digits without a plus; 0.3, words before it +0.4). Words count in the
-`CONTEXT` characters before a span.
+added if their score reaches `THRESHOLD`: iban (mod-97), card_short (13 to 15 digits, Luhn), phone_local (a leading 0 and 8 to 15 digits
+without a plus), secret (a run of 20 or more letters, digits and -_+/ with both letters and digits; random if it is 32, 40 or 64
+hexadecimal digits or has at least 5 digits). A score is the kind's own (`SCORES`), plus what its passed test gives, plus what a word of the
+kind in the `CONTEXT` characters before the span gives.
 
 The patterns are written without repeated groups that could grow with the text, as the regex engine would recurse for each
 turn. The email pattern ends its domain at the first place where neither a domain character nor a dot and one follow; a card is
 a whole run of digits with single separators, so a run that is too long cannot start in its middle.
 
-Nulls count as empty texts. Repeated rows give repeated rows; empty tables none. Columns whose names begin with _p_ are ours.
+Nulls count as empty texts; texts of any length are searched whole. Spans of different kinds may overlap; all are reported, and the
+first one's name replaces the text. Repeated rows give repeated rows; empty tables none. Columns whose names begin with _p_ are ours.
 """
 
 from __future__ import annotations
@@ -26,7 +28,12 @@ from pyspark.sql import functions as F
 THRESHOLD = 0.7
 CONTEXT = 40
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "card_short", "phone_local")
+KINDS = (*BASE_KINDS, "iban", "card_short", "phone_local", "secret")
+#: kind: (score of its own, what a passed test adds, what a word nearby adds)
+SCORES = {
+    "email": (0.7, 0.0, 0.2), "ip": (0.5, 0.0, 0.3), "card": (0.4, 0.3, 0.3), "phone": (0.5, 0.0, 0.3),
+    "iban": (0.4, 0.5, 0.1), "card_short": (0.2, 0.2, 0.4), "phone_local": (0.3, 0.0, 0.4), "secret": (0.3, 0.2, 0.4),
+}
 
 _LOCAL, _NAME = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
@@ -38,10 +45,17 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
     "card_short": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])",
     "phone_local": r"(?<![0-9+])(?<![0-9][\x20./-])0[0-9](?:[\x20./-]?[0-9]){6,13}+(?![\x20./-]?[0-9])",
+    "secret": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
 }
 #: Cheap tests that a text must pass before the pattern is tried; every match implies its test.
-_NEEDS = {"email": "@", "phone": "+", "ip": "[0-9]\\.[0-9]++\\.", "card": "[0-9](?:[\\x20-]?[0-9]){15}", "iban": "[A-Z]{2}[0-9]{2}", "card_short": "[0-9](?:[\\x20-]?[0-9]){12}", "phone_local": "(?<![0-9])0[0-9]"}
+_NEEDS = {"email": "@", "phone": "+", "ip": "[0-9]\\.[0-9]++\\.", "card": "[0-9](?:[\\x20-]?[0-9]){15}", "iban": "[A-Z]{2}[0-9]{2}", "card_short": "[0-9](?:[\\x20-]?[0-9]){12}", "phone_local": "(?<![0-9])0[0-9]", "secret": "[A-Za-z0-9_+/-]{20}"}
 _WORDS = {
+    "email": "mail|contact|kontakt|correo|courriel",
+    "ip": "\\bip\\b|host|server|addr|client|login",
+    "card": "card|visa|amex|credit|debit|karte|carte|tarjeta",
+    "phone": "phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
+    "iban": "iban|konto|account|compte|cuenta|bank",
+    "secret": "token|secret|passw|key|credential|bearer",
     "card_short": "card|visa|amex|credit|debit|karte|carte|tarjeta",
     "phone_local": "phone|tel|call|mobile|fax|telefon|téléphone|teléfono",
 }
@@ -95,19 +109,26 @@ def _good(kind: str, v: Column) -> Column:
         return F.length(_digits(v)).between(8, 15)
     if kind == "card":
         return luhn(_digits(v))
+    if kind == "secret":
+        return v.rlike("[0-9]") & v.rlike("[A-Za-z]")
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, span: Column) -> Column:
-    before = F.lower(F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT))))
-    near = before.rlike(_WORDS[kind]) if kind in _WORDS else F.lit(False)
+def _tested(kind: str, v: Column) -> Column:
+    """Whether a span passes its kind's test; base spans that do not are dropped before."""
     if kind == "iban":
-        return F.lit(0.4) + F.when(mod97(F.replace(span["v"], F.lit(" "), F.lit(""))), 0.5).otherwise(0.0)
+        return mod97(F.replace(v, F.lit(" "), F.lit("")))
     if kind == "card_short":
-        return F.lit(0.2) + F.when(luhn(_digits(span["v"])), 0.2).otherwise(0.0) + F.when(near, 0.4).otherwise(0.0)
-    if kind == "phone_local":
-        return F.lit(0.3) + F.when(near, 0.4).otherwise(0.0)
-    return F.lit(1.0)
+        return luhn(_digits(v))
+    if kind == "secret":
+        return v.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})\\z") | (F.length(_digits(v)) >= 5)
+    return F.lit(True)
+
+
+def _score(kind: str, text: Column, span: Column) -> Column:
+    before = F.lower(F.substring(text, F.greatest(span["s"] - CONTEXT, F.lit(0)) + 1, F.least(span["s"], F.lit(CONTEXT))))
+    own, tested, near = SCORES[kind]
+    return F.lit(own) + F.when(_tested(kind, span["v"]), tested).otherwise(0.0) + F.when(before.rlike(_WORDS[kind]), near).otherwise(0.0)
 
 
 def _accepted(kind: str, span: Column) -> Column:
@@ -119,6 +140,10 @@ def _named(kind: str, span: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), span["s"].cast("string"), F.lit(":"), span["e"].cast("string"))
 
 
+def _scored(kind: str, span: Column) -> Column:
+    return F.format_string("%.1f", _score(kind, F.col("_p_text"), span))
+
+
 def _tagged(kind: str, span: Column) -> Column:
     return F.struct(span["s"].alias("s"), span["e"].alias("e"), F.lit(f"<{kind.upper()}>").alias("tag"))
 
@@ -142,9 +167,9 @@ def _joined(kinds) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, how many spans of each base kind, their digest, and all spans."""
+    """doc_id, how many spans of each base kind, their digest, all spans, and their scores in the same order."""
     found = find(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return found.select("doc_id", *[F.size(f"_p_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS], F.sha2(_joined(BASE_KINDS).cast("binary"), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
+    return found.select("doc_id", *[F.size(f"_p_{k}").cast("long").alias(f"n_{k}") for k in BASE_KINDS], F.sha2(_joined(BASE_KINDS).cast("binary"), 256).alias("base_sha256"), _joined(KINDS).alias("spans"), F.array_join(F.concat(*[F.transform(f"_p_{k}", partial(_scored, k)) for k in KINDS]), ",").alias("scores"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -14,8 +14,10 @@ Layout of a segment (one row of the written table; all integers little-endian):
 Lanes of all blocks are coded side by side in numpy. A lane's state x is kept in [2**31, 2**63): before a symbol of
 frequency f is put in, one 32-bit word leaves if x >= f << (63 - PRECISION); decoding takes it back.
 
-Nulls: a null text is an empty one (only the end id); a null id comes first. Rows with equal ids are ordered by their text.
-An empty table gives an empty file table. Other columns are not looked at.
+Nulls: a null text is an empty one (only the end id); a null id comes first. Rows with equal ids are ordered by a hash of their text, then by
+it; texts of any length are encoded whole.
+An empty table gives an empty file table. Other columns are not looked at, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -204,8 +206,14 @@ def token_files(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         if ids:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, _FILES)
+    # Rows of one id, or without one, are ordered, and dealt, by a hash of their text.
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("h"))
+    return rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text").mapInArrow(run, _FILES)
+
+
+def write_files(docs: DataFrame, folder: str, path: str | None = None) -> None:
+    """Write the segments of a corpus as a Parquet table of (part, segment, n_docs, n_tokens, content)."""
+    token_files(docs, path).write.parquet(folder)
 
 
 def read_documents(files: DataFrame) -> DataFrame:

@@ -6,17 +6,23 @@ far. Every transition is annotated with the tokens it adds (which may be below z
 word's last byte adds. States and transitions are compiled as they are first needed and then kept, until there are `STATES`;
 then compilation starts afresh, so a worker's memory is bounded.
 
-A text is cut into chunks at any character. A chunk's map says what it does to whatever state it is entered in: it ends
-the word that was open with its `head`, adds `count` and leaves `tail` open; a chunk without white space only lengthens
-the open word. Maps compose, so a prefix scan over them gives the count after every chunk, whoever worked out the maps.
+Every text is cut into chunks of `CHUNK` characters, wherever that falls. A chunk's map says what the chunk does to whatever state it is
+entered in: reading its `head` from that state ends the open word, `count` tokens follow, and it leaves the state `exit`; a chunk without
+white space has no exit of its own and only moves the state on. Maps compose, so a prefix scan over them gives the state and count
+after every chunk, whoever worked out the maps; a text's count is the last map, entered at the start state. A state between
+chunks holds the transducer's state in the open piece, that piece's class, and what of an apostrophe is still undecided.
 
-Texts with characters that the tokenizer would normalise or with special tokens' strings are counted by the library.
-Nulls count as empty texts (0 tokens). Repeated rows give repeated rows; other columns are not looked at.
+The tokenizer's own normaliser and split rule come from the library: the split rule is asked for the class of every character beyond
+U+02FF and for the pieces of words that have one. Strings of special tokens count one each and cut the text before it is normalised.
+
+Nulls count as empty texts (0 tokens); texts of any length are taken whole. Repeated rows give repeated rows, an empty table gives
+none; a null doc_id stays null; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -30,8 +36,10 @@ from .wordbpe import PIECES, UNUSUAL, _byte_letters, default_path
 
 LIMIT = 2048
 #: Characters in a chunk.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 STATES = 80_000
+#: Characters of the words that a worker remembers.
+LONGEST = 100
 NEVER = 1 << 60
 
 
@@ -66,9 +74,10 @@ class Transducer:
         self.info: list[tuple[str, tuple, tuple]] = []
         self.next: list[dict[int, tuple[int, int]]] = []
         self.last: list[dict[int, int]] = []
-        self._state(("", (None,), (0,)))
+        self.intern(("", (None,), (0,)))
 
-    def _state(self, info: tuple) -> int:
+    def intern(self, info: tuple) -> int:
+        """The number of a state, which holds until compilation starts afresh."""
         if (found := self.state.get(info)) is None:
             found = self.state[info] = len(self.info)
             self.info.append(info)
@@ -126,7 +135,7 @@ class Transducer:
     def step(self, state: int, byte: int) -> tuple[int, int]:
         if (found := self.next[state].get(byte)) is None:
             info, added = self._read(state, chr(byte))
-            found = self.next[state][byte] = (self._state(info), added)
+            found = self.next[state][byte] = (self.intern(info), added)
         return found
 
     def finish(self, state: int, byte: int) -> int:
@@ -146,44 +155,123 @@ class Transducer:
         return total + self.finish(state, word[-1])
 
 
+#: (class of the open piece: "L" letters, "O" symbols, "" none; transducer state; its last byte, not yet read, or -1; undecided apostrophe)
+State = tuple[str, tuple, int, str]
+EMPTY = ("", (None,), (0,))
+START: State = ("", EMPTY, -1, "")
+#: The split rule's own pieces that begin with an apostrophe.
+SHORT_FORMS = {"'s", "'t", "'re", "'ve", "'m", "'ll", "'d"}
+_OPENINGS = {"'r", "'v", "'l"}
+
+
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to the word open before it; `closed`: it has white space, so later text cannot touch `head`."""
+    """What a chunk does to the state it is entered in; `exit` is None where it has no white space."""
 
     head: str
     count: int = 0
-    tail: str = ""
-    closed: bool = False
+    exit: State | None = None
 
 
 class Counter:
     def __init__(self, path: str, most: int = 120_000):
         self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added):
+            raise ValueError("added tokens must be plain strings")
+        self.added = [t.content for t in added]
+        self.special = re.compile("|".join(map(re.escape, self.added)) or "(?!)")
         self.transducer = Transducer(path)
         self.pieces = _Remembered(lambda p: self.transducer.count(p.encode()), most)
         self.words = _Remembered(self._word, most)
+        self.classes = _Remembered(self._class, most)
 
     def _word(self, word: str) -> int:
+        """Tokens of a whole word: the transducer's runs over its pieces."""
         if not word:
             return 0
-        return self.pieces[word] if word.isalpha() else sum([self.pieces[p] for p in PIECES.findall(word)])
-
-    def chunk(self, text: str) -> ChunkMap:
-        words = text.split()
-        if len(words) <= 1 and text == "".join(words):
+        if UNUSUAL.search(word):
+            pieces = [word[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(word)]
+        else:
+            pieces = [word] if word.isalpha() else PIECES.findall(word)
+        return sum([self.pieces[p] for p in pieces])
+
+    def _class(self, c: str) -> str:
+        """L: joins letters, O: joins symbols, N: stands alone, by the split rule itself."""
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        return "L" if len(split("a" + c)) == 1 else "O" if len(split("!" + c)) == 1 else "N"
+
+    def close(self, state: State) -> int:
+        """Tokens that the end of the word adds."""
+        kind, q, held, wait = state
+        if wait:
+            state, n = self._wait_over(wait)
+            return n + self.close(state)
+        return self.transducer.finish(self.transducer.intern(q), held) if held >= 0 else 0
+
+    def _wait_over(self, wait: str) -> tuple[State, int]:
+        """The apostrophe was no short form: it opens a run of symbols."""
+        state, n = self._enter(START, "'", "O")
+        for c in wait[1:]:
+            state, more = self._enter(state, c, "L")
+            n += more
+        return state, n
+
+    def _enter(self, state: State, c: str, kind: str) -> tuple[State, int]:
+        open_kind, q, held, _ = state
+        data, n = c.encode(), 0
+        if kind != open_kind or kind == "N":
+            n = self.close(state)
+            if kind == "N":
+                return START, n + self.transducer.count(data)
+            q, held = EMPTY, -1
+        at = self.transducer.intern(q)
+        for byte in (*((held,) if held >= 0 else ()), *data[:-1]):
+            at, added = self.transducer.step(at, byte)
+            n += added
+        return (kind, self.transducer.info[at], data[-1], ""), n
+
+    def read(self, state: State, text: str) -> tuple[State, int]:
+        """The state after characters of one word, and the tokens they add."""
+        total = 0
+        for c in text:
+            wait = state[3]
+            if wait and wait + c in SHORT_FORMS:
+                state, n = START, self.transducer.count((wait + c).encode())
+            elif wait and wait + c in _OPENINGS:
+                state, n = ("", EMPTY, -1, wait + c), 0
+            else:
+                n = 0
+                if wait:
+                    state, n = self._wait_over(wait)
+                kind = self.classes[c]
+                if c == "'" and state[0] != "O":
+                    n += self.close(state)
+                    state = ("", EMPTY, -1, "'")
+                else:
+                    state, more = self._enter(state, c, kind)
+                    n += more
+            total += n
+        return state, total
+
+    def chunk(self, text: str, space: str | None = None) -> ChunkMap:
+        """The map of a chunk; `space` is what words stand between (None: any white space)."""
+        words = text.split(space)
+        if len(words) == 1 and words[0] == text:
             return ChunkMap(text)
-        head = "" if text[0].isspace() else words.pop(0)
-        tail = "" if text[-1].isspace() else words.pop()
-        return ChunkMap(head, sum(map(self.words.__getitem__, words)), tail, True)
+        if space is None:
+            words = [*([""] if text[0].isspace() else []), *words, *([""] if text[-1].isspace() else [])]
+        head, *inner, tail = words
+        state, n = self.read(START, tail)
+        return ChunkMap(head, sum(map(self.words.__getitem__, inner)) + n, state)
 
     def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if not a.closed:
-            return ChunkMap(a.head + b.head, b.count, b.tail, b.closed)
-        if not b.closed:
-            return ChunkMap(a.head, a.count, a.tail + b.head, True)
-        return ChunkMap(a.head, a.count + self._word(a.tail + b.head) + b.count, b.tail, True)
+        if a.exit is None:
+            return ChunkMap(a.head + b.head, b.count, b.exit)
+        state, n = self.read(a.exit, b.head)
+        if b.exit is None:
+            return ChunkMap(a.head, a.count + n, state)
+        return ChunkMap(a.head, a.count + n + self.close(state) + b.count, b.exit)
 
     def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
         """Inclusive prefix scan: pairs are composed, scanned, and filled in between, in a logarithmic number of rounds."""
@@ -192,16 +280,24 @@ class Counter:
         pairs = self.scan([self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)])
         return [maps[0]] + [pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(1, len(maps))]
 
+    def _plain(self, text: str) -> int:
+        """Tokens of a text without special tokens."""
+        if UNUSUAL.search(text):
+            text, space = self.library.normalizer.normalize_str(text), " "
+        else:  # composed already, and its white space is what split() takes for it
+            text, space = text.lower(), None
+        if not text:
+            return 0
+        whole = self.scan([self.chunk(text[i : i + CHUNK], space) for i in range(0, len(text), CHUNK)])[-1]
+        return self.words[whole.head] + whole.count + (self.close(whole.exit) if whole.exit else 0)
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if UNUSUAL.search(text):
-            return len(self.library.encode(text, add_special_tokens=False).ids)
-        text = text.lower()
-        if len(text) <= CHUNK:
-            return sum(map(self.words.__getitem__, text.split()))
-        whole = self.scan([self.chunk(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)])[-1]
-        return self._word(whole.head) + whole.count + self._word(whole.tail)
+        if not any(t in text for t in self.added):
+            return self._plain(text)
+        parts = self.special.split(text)
+        return sum(map(self._plain, parts)) + len(parts) - 1
 
 
 class _Remembered(dict):
@@ -210,7 +306,7 @@ class _Remembered(dict):
 
     def __missing__(self, key):
         found = self.work(key)
-        if len(self) < self.most:
+        if len(self) < self.most and len(key) <= LONGEST:
             self[key] = found
         return found
 

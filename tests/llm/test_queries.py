@@ -1,5 +1,6 @@
 """The registered queries against brute force: the small standard tables, and a table of hard rows."""
 
+import math
 import zlib
 
 import brute
@@ -74,21 +75,22 @@ def test_packing(spark, folder):
 
 def test_neighbours(spark, folder):
     out = Q.op2_neighbours(spark, folder).collect()
-    usable = {}
-    for i, v, *_ in rows(spark, folder, "embeddings"):
-        if i is not None and v and all(x is not None and x == x and abs(x) != float("inf") for x in v) and any(v):
-            usable[i] = v
-    if usable:
-        n = max({len(v) for v in usable.values()}, key=lambda n: sum(len(v) == n for v in usable.values()))
-        usable = {i: v for i, v in usable.items() if len(v) == n}
-    want = brute.ranked(usable, [i for i in usable if i % 100 == 0], 10)
-    found = {}
-    for r in sorted(out, key=lambda r: (r.query_id, r["rank"])):
-        found.setdefault(r.query_id, []).append((r.score, r.vec_id))
-    assert sorted(found) == sorted(want)
-    hits = sum(len({i for _, i in found[q]} & {i for _, i in own}) for q, own in want.items())
-    assert not want or hits >= 0.95 * sum(map(len, want.values()))
-    assert all(own == sorted(own) for own in found.values())
+    usable = [(i, v) for i, v, *_ in rows(spark, folder, "embeddings") if i is not None and v and all(x is not None and x == x and abs(x) != float("inf") for x in v) and any(v)]
+    want = []
+    for q, (i, v) in enumerate(usable):
+        if i % 100 == 0:
+            near = sorted((math.dist(v, w), j) for k, (j, w) in enumerate(usable) if k != q and len(w) == len(v))[:10]
+            want += [(i, rank + 1, j, d) for rank, (d, j) in enumerate(near)]
+    found = [(r.query_id, r["rank"], r.vec_id, r.score) for r in out]
+    assert len(found) == len(want) and [r[:2] for r in sorted(found)] == [r[:2] for r in sorted(want)]
+    hits = len({(q, j) for q, _, j, _ in found} & {(q, j) for q, _, j, _ in want})
+    assert hits >= 0.95 * len({(q, j) for q, _, j, _ in want})
+    vectors = {}
+    for i, v in usable:
+        vectors.setdefault(i, []).append(v)
+    for q, rank, j, score in found:
+        assert any(abs(math.dist(v, w) - score) < 1e-9 for v in vectors[q] for w in vectors[j] if len(v) == len(w))
+        assert all(s >= score for p, r, _, s in found if p == q and r > rank and len(vectors[q]) == 1)
 
 
 def test_language(spark, folder):
