@@ -6,7 +6,8 @@ have it as a neighbour are gathered by a join with the vectors; nodes that stand
 compared, and each node keeps its `K` nearest. A list passes on each member's `K` nearest in it, which loses nothing, as a member keeps
 no more. All nodes that have a node as a neighbour take part: where they are more than `REVERSE`, they are dealt into several lists
 of that node. Pairs compared in an earlier round are not compared again.
-Graph and search carry vectors in single precision, so no row affects another's precision, and measure them in double precision.
+Graph and search carry vectors as 16-bit shares of the row's own largest component, so no row affects another's precision, and measure
+them in double precision.
 
 Search. A query starts at the nearest `ENTRIES` of `PIVOTS` sampled nodes (a fixed number, so a bounded size) and, if its own vector
 is a node, at that one. In each round all nodes of its beam that were not looked at are expanded: a join gives their neighbours, a
@@ -33,7 +34,9 @@ from .shared import bounded_batches, forget, written
 
 K = 32
 REVERSE = 32
-ROUNDS = 3
+#: New neighbours of a node that take part in a round.
+FRESH = 12
+ROUNDS = 4
 #: Rounds end early when fewer than this share of the edges is new.
 CHANGED = 0.03
 TABLES = 6
@@ -60,61 +63,75 @@ def nodes_of(vectors: DataFrame, most: int) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of equally long binary values as a float32 matrix."""
+    """Codes as the rows of a float64 matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.zeros((0, 0), np.float32)
+        return np.zeros((0, 0))
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.float32, offsets[-1] // 4)[offsets[0] // 4 :].reshape(len(column), -1)
+    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(len(column), -1)
+    return np.ascontiguousarray(raw[:, 4:]).view("<i2") * np.ascontiguousarray(raw[:, :4]).view("<f4").astype(np.float64)
 
 
-def coded(nodes: DataFrame, scale: float) -> DataFrame:
-    """id and code: the components in single precision."""
+def coded(nodes: DataFrame) -> DataFrame:
+    """id and code: a row's scale in single precision, and its components as 16-bit shares of it."""
 
     def run(batches):
         for b in batches:
-            codes = [(np.asarray(v) * scale).astype(np.float32).tobytes() for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], names=["id", "code"])
+            x = np.array(b.column(1).to_pylist(), np.float64) if b.num_rows else np.zeros((0, 1))
+            top = np.abs(x).max(axis=1, keepdims=True) / 32767 if len(x) else x
+            scale = np.clip(top, 1e-30, 1e30).astype("<f4")  # squares stay finite
+            whole = np.concatenate([scale.view(np.uint8), np.clip(np.rint(x / scale), -32767, 32767).astype("<i2").view(np.uint8)], axis=1) if len(x) else x
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([row.tobytes() for row in whole], pa.binary())], names=["id", "code"])
 
     return nodes.select("id", "vector").mapInArrow(run, "id long, code binary")
 
 
-def _compare(lists: DataFrame, k: int) -> DataFrame:
-    """(v, u, d): from rows with `m`, an array of (u, new, most, code), each u's `k` nearest partners nearer than `most`, unless both are old."""
+def _compare(members: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """(v, u, d): for the lists that rows (keys, u, new, most, code) with equal keys form, each u's `k` nearest partners in it nearer than `most`, unless both are old."""
+    kinds = ((pa.int64(), np.int64), (pa.int64(), np.int64), (pa.float64(), np.float64))
+
+    def work(rows: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        u, new, most = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("u", "new", "most"))
+        codes = _matrix(rows.column("code"))
+        out: list[list[np.ndarray]] = [[], [], []]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            order = np.lexsort((~new[lo:hi], u[lo:hi])) + lo
+            order = order[np.r_[True, np.diff(u[order]) != 0]]
+            fresh = new[order]
+            if len(order) < 2 or not fresh.any():
+                continue
+            x = codes[order]
+            x -= x[0]  # lists are local; a common offset would cost digits
+            norm = np.einsum("ij,ij->i", x, x)
+            d = norm[:, None] + norm[None, :] - 2 * (x @ x.T)
+            np.fill_diagonal(d, np.inf)
+            d[~fresh[:, None] & ~fresh[None, :]] = np.inf
+            d[d >= most[order][:, None]] = np.inf
+            if len(order) > k:
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                d = np.take_along_axis(d, near, axis=1)
+            else:
+                near = np.broadcast_to(np.arange(len(order)), d.shape)
+            i, j = np.nonzero(np.isfinite(d))
+            for column, value in zip(out, (u[order[i]], u[order[near[i, j]]], d[i, j]), strict=True):
+                column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *c]), kind) for c, (kind, t) in zip(out, kinds, strict=True)], names=["v", "u", "d"])
 
     def run(batches):
+        held = None  # rows of the list that may go on in the next batch
         for b in batches:
-            column = b.column(0)
-            inner = column.flatten()
-            offsets = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))])
-            u, new, most = (inner.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            codes = _matrix(inner.field(3))
-            out: list[list[np.ndarray]] = [[], [], []]
-            for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
-                order = np.lexsort((~new[lo:hi], u[lo:hi])) + lo
-                order = order[np.r_[True, np.diff(u[order]) != 0]]
-                fresh = new[order]
-                if len(order) < 2 or not fresh.any():
-                    continue
-                x = codes[order].astype(np.float64)
-                x -= x[0]  # lists are local; a common offset would cost digits
-                norm = np.einsum("ij,ij->i", x, x)
-                d = norm[:, None] + norm[None, :] - 2 * (x @ x.T)
-                np.fill_diagonal(d, np.inf)
-                d[~fresh[:, None] & ~fresh[None, :]] = np.inf
-                d[d >= most[order][:, None]] = np.inf
-                if len(order) > k:
-                    near = np.argpartition(d, k - 1, axis=1)[:, :k]
-                    d = np.take_along_axis(d, near, axis=1)
-                else:
-                    near = np.broadcast_to(np.arange(len(order)), d.shape)
-                i, j = np.nonzero(np.isfinite(d))
-                for column_, value in zip(out, (u[order[i]], u[order[near[i, j]]], d[i, j]), strict=True):
-                    column_.append(value)
-            kinds = ((0, pa.int64(), np.int64), (1, pa.int64(), np.int64), (2, pa.float64(), np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, t), *out[k]]), kind) for k, kind, t in kinds], names=["v", "u", "d"])
-
-    return lists.select("m").mapInArrow(run, "v long, u long, d double")
+            if not b.num_rows:
+                continue
+            rows = pa.concat_batches([held, b]) if held is not None else b
+            at = [rows.column(c).to_numpy(zero_copy_only=False) for c in keys]
+            cuts = np.r_[0, np.flatnonzero(np.any([np.diff(x) != 0 for x in at], axis=0)) + 1]
+            yield work(rows, cuts)
+            held = rows.slice(int(cuts[-1]))
+        if held is not None:
+            yield work(held, np.array([0, held.num_rows]))
+
+    dealt = members.select(*keys, "u", "new", "most", "code").repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "v long, u long, d double")
 
 
 def _nearest(edges: DataFrame, k: int, by: str = "v", other: str = "u") -> DataFrame:
@@ -124,12 +141,12 @@ def _nearest(edges: DataFrame, k: int, by: str = "v", other: str = "u") -> DataF
 def _first_edges(codes: DataFrame, n: int, dim: int, k: int, seed: int) -> DataFrame:
     """Neighbours within the parts of the buckets of random-hyperplane tables."""
     bits = max(0, int(np.ceil(np.log2(max(1, n) / PART))))
-    planes = np.random.default_rng(seed).standard_normal((TABLES, dim, bits)).astype(np.float32)
+    planes = np.random.default_rng(seed).standard_normal((TABLES, dim, bits))
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     def run(batches):
         for b in batches:
-            x = _matrix(b.column(1)).astype(np.float32)
+            x = _matrix(b.column(1))
             for t in range(TABLES if len(x) else 0):
                 keys = (x @ planes[t] > 0) @ weights if bits else np.zeros(len(x), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t), pa.int32()), pa.array(keys, pa.int64()), b.column(0), b.column(1)], names=["t", "bucket", "id", "code"])
@@ -137,28 +154,30 @@ def _first_edges(codes: DataFrame, n: int, dim: int, k: int, seed: int) -> DataF
     placed = codes.select("id", "code").mapInArrow(run, "t int, bucket long, id long, code binary")
     counts = placed.groupBy("t", "bucket").agg(F.count("*").alias("_c"))
     part = F.pmod(F.xxhash64("id", "t"), F.ceil(F.col("_c") / F.lit(float(PART))))
-    member = F.struct(F.col("id").alias("u"), F.lit(True).alias("new"), F.lit(float("inf")).alias("most"), "code")
-    lists = placed.join(counts, ["t", "bucket"]).groupBy("t", "bucket", part.alias("_p")).agg(F.collect_list(member).alias("m"))
-    found = _compare(lists, k).groupBy("v", "u").agg(F.min("d").alias("d"))
+    members = placed.join(counts, ["t", "bucket"]).select("t", "bucket", part.alias("p"), F.col("id").alias("u"), F.lit(True).alias("new"), F.lit(float("inf")).alias("most"), "code")
+    found = _compare(members, ["t", "bucket", "p"], k).groupBy("v", "u").agg(F.min("d").alias("d"))
     return _nearest(found, k).withColumn("new", F.lit(True))
 
 
-def build(codes: DataFrame, n: int, dim: int, k: int = K, reverse: int = REVERSE, rounds: int = ROUNDS, seed: int = 1) -> DataFrame:
+def build(codes: DataFrame, n: int, dim: int, k: int = K, reverse: int = REVERSE, rounds: int = ROUNDS, fresh: int = FRESH, seed: int = 1) -> DataFrame:
     """NN-descent: edges (v, u, d, new), the `k` nearest neighbours found for every node. `codes` is a written table."""
     edges = written(_first_edges(codes, n, dim, k, seed), "edges")
     for _ in range(rounds):
-        parts = edges.groupBy(F.col("u").alias("v")).agg(F.ceil(F.count("*") / F.lit(float(reverse))).alias("_p"))
-        back = edges.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").join(parts.where("_p > 1"), "v", "left")
+        # Of the new neighbours the nearest `fresh` take part in this round, the others stay new for a later one.
+        turn = F.row_number().over(Window.partitionBy("v", "new").orderBy("d", "u"))
+        ranked = written(edges.withColumn("now", ~F.col("new") | (turn <= fresh)), "edges")
+        active = ranked.where("now")
+        parts = active.groupBy(F.col("u").alias("v")).agg(F.ceil(F.count("*") / F.lit(float(reverse))).alias("_p"))
+        back = active.select(F.col("u").alias("v"), F.col("v").alias("u"), "new").join(parts.where("_p > 1"), "v", "left")
         back = back.select("v", "u", "new", F.pmod(F.xxhash64("u"), F.coalesce("_p", F.lit(1))).alias("p"))
-        ahead = edges.select("v", "u", "new").join(parts.where("_p > 1"), "v", "left").select("v", "u", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_p", F.lit(1)) - 1)).alias("p"))
+        ahead = active.select("v", "u", "new").join(parts.where("_p > 1"), "v", "left").select("v", "u", "new", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_p", F.lit(1)) - 1)).alias("p"))
         full = edges.groupBy("v").agg(F.count("*").alias("_c"), F.max("d").alias("_d")).where(F.col("_c") >= k).select(F.col("v").alias("u"), F.col("_d"))
         known = codes.withColumnRenamed("id", "u").join(full, "u", "left").select("u", F.coalesce("_d", F.lit(float("inf"))).alias("most"), "code")
         members = ahead.union(back).join(known, "u")
-        lists = members.groupBy("v", "p").agg(F.collect_list(F.struct("u", "new", "most", "code")).alias("m"))  # about k + reverse at most
-        proposed = _compare(lists, k).select("v", "u", "d", F.lit(True).alias("new"))
-        all_ = edges.select("v", "u", "d", F.lit(False).alias("new")).union(proposed).groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
+        proposed = _compare(members, ["v", "p"], k).select("v", "u", "d", F.lit(True).alias("new"))
+        all_ = ranked.select("v", "u", "d", (F.col("new") & ~F.col("now")).alias("new")).union(proposed).groupBy("v", "u").agg(F.min("d").alias("d"), F.min("new").alias("new"))
         after = written(_nearest(all_, k), "edges")
-        forget(edges)
+        forget(edges, ranked)
         edges = after
         changed = edges.agg(F.avg(F.col("new").cast("double"))).first()[0]
         if changed is None or changed < CHANGED:
@@ -172,64 +191,73 @@ def adjacency(edges: DataFrame, reverse: int = REVERSE) -> DataFrame:
     return edges.select(F.col("v").alias("node"), "u").union(back).groupBy("node").agg(F.collect_set("u").alias("to"))
 
 
-_STATE = "q long, qcode binary, beam array<struct<d:double,id:long,done:boolean>>, todo array<long>"
+_STATE = "q long, beam array<struct<d:double,id:long,done:boolean>>, todo array<long>"
 _BEAM = pa.list_(pa.struct([("d", pa.float64()), ("id", pa.int64()), ("done", pa.bool_())]))
 
 
-def _distances(codes: np.ndarray, code: bytes) -> np.ndarray:
-    x = codes.astype(np.float64) - np.frombuffer(code, np.float32)
-    return np.einsum("ij,ij->i", x, x)
-
-
-def _batch(q: list, codes: list, beams: list) -> pa.RecordBatch:
+def _batch(q: list, beams: list) -> pa.RecordBatch:
     """beams: (d, id, done) sorted by d; everything not done is to be expanded now and so done afterwards."""
     todo = [i[~done].tolist() for _, i, done in beams]
     flat = [np.concatenate([np.zeros(0, t), *[b[k] for b in beams]]) for k, t in enumerate((np.float64, np.int64, bool))]
     ends = np.cumsum([0, *[len(b[0]) for b in beams]])
     fields = [pa.array(flat[0], pa.float64()), pa.array(flat[1], pa.int64()), pa.array(np.ones(len(flat[2]), bool))]
     beam = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=list(_BEAM.value_type)))
-    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(codes, pa.binary()), beam, pa.array(todo, pa.list_(pa.int64()))], names=["q", "qcode", "beam", "todo"])
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), beam, pa.array(todo, pa.list_(pa.int64()))], names=["q", "beam", "todo"])
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """q, u and their squared distance d, from rows with both codes."""
+
+    def run(batches):
+        for b in batches:
+            x = _matrix(b.column(2)) - _matrix(b.column(3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.einsum("ij,ij->i", x, x))], names=["q", "u", "d"])
+
+    return pairs.select("q", "u", "code", "qcode").mapInArrow(run, "q long, u long, d double")
 
 
 def search(queries: DataFrame, codes: DataFrame, links: DataFrame, beam: int = BEAM, entries: int = ENTRIES, pivots: int = PIVOTS) -> DataFrame:
-    """q and its beam, for queries (q, qcode, own: a node to start at as well, or null). `codes` and `links` are written tables."""
+    """q and its beam, for queries (q, qcode, own: a node to start at as well, or null). All three are written tables.
+
+    Only ids go with the beams; a node's code meets the query's where they are measured, and nothing but the distance goes on.
+    """
     start = codes.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()  # bounded by `pivots`
     ids, table = start["id"].to_numpy(), _matrix(start["code"])
 
     def begin(batches):
         for b in batches:
             beams = []
-            for code, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                d = _distances(table, code)
+            for code, own in zip(_matrix(b.column(1)), b.column(2).to_pylist(), strict=True):
+                d = ((table - code) ** 2).sum(axis=1)
                 near = np.lexsort((ids, d))[:entries]
                 i, dd = ids[near], d[near]
                 if own is not None:
                     dd, i = np.r_[0, dd[i != own]].astype(np.float64), np.r_[own, i[i != own]]
                 beams.append((dd, i, np.zeros(len(i), bool)))
-            yield _batch(b.column(0).to_pylist(), b.column(1).to_pylist(), beams)
+            yield _batch(b.column(0).to_pylist(), beams)
 
     def merge(batches):
         for b in batches:
-            beams, codes_ = [], b.column(1).to_pylist()
-            for row, code in enumerate(codes_):
-                old, found = b.column(2)[row].values, b.column(3)[row].values
+            beams = []
+            for row in range(b.num_rows):
+                old, found = b.column(1)[row].values, b.column(2)[row].values
                 i, d, done = old.field(1).to_numpy(), old.field(0).to_numpy(), old.field(2).to_numpy(zero_copy_only=False)
                 if found is not None and len(found):
-                    new = found.field(0).to_numpy()
+                    new = found.field(1).to_numpy()
                     at = np.flatnonzero(~np.isin(new, i))
-                    i, d = np.r_[i, new[at]], np.r_[d, _distances(_matrix(found.field(1))[at], code)]
-                    done = np.r_[done, np.zeros(len(at), bool)]
+                    i, d, done = np.r_[i, new[at]], np.r_[d, found.field(0).to_numpy()[at]], np.r_[done, np.zeros(len(at), bool)]
                 near = np.lexsort((i, d))[:beam]
                 beams.append((d[near], i[near], done[near]))
-            yield _batch(b.column(0).to_pylist(), codes_, beams)
+            yield _batch(b.column(0).to_pylist(), beams)
 
     state = written(queries.select("q", "qcode", "own").mapInArrow(begin, _STATE), "beams")
-    vectors = codes.withColumnRenamed("id", "u")
+    asking, vectors = queries.select("q", "qcode"), codes.withColumnRenamed("id", "u")
     while not state.where(F.size("todo") > 0).isEmpty():
         front = state.select("q", F.explode("todo").alias("node"))
-        seen = front.join(links, "node").select("q", F.explode("to").alias("u")).distinct().join(vectors, "u")
-        found = seen.groupBy("q").agg(F.collect_list(F.struct("u", "code")).alias("found"))  # at most beam * (k + reverse)
-        after = written(state.select("q", "qcode", "beam").join(found, "q", "left").mapInArrow(merge, _STATE), "beams")
+        pairs = front.join(links, "node").select("q", F.explode("to").alias("u")).distinct()
+        near = _measured(pairs.join(vectors, "u").join(asking, "q"))
+        found = near.groupBy("q").agg(F.collect_list(F.struct("d", "u")).alias("found"))  # at most beam * (k + reverse)
+        after = written(state.select("q", "beam").join(found, "q", "left").mapInArrow(merge, _STATE), "beams")
         forget(state)
         state = after
     return state.select("q", "beam")
@@ -258,12 +286,10 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
 
 def _nearest_of_length(vectors: DataFrame, dim: int, is_query: Column, k: int) -> DataFrame:
     nodes = written(nodes_of(vectors, k + 1), "nodes")
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.array_max(F.transform("vector", F.abs))).alias("top")).first()
-    top = facts["top"]
-    codes = written(coded(nodes, 1.0 if 1e-15 < top < 1e15 else 1 / top), "codes")  # squares stay finite
-    links = written(adjacency(build(codes, facts["n"], dim)), "links")
+    codes = written(coded(nodes), "codes")
+    links = written(adjacency(build(codes, nodes.count(), dim)), "links")
     asked = written(vectors.where(is_query).join(nodes.select("vector", "id"), "vector").select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").alias("query_id"), F.col("id").alias("q")), "asked")
-    queries = asked.select("q").distinct().join(codes.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "q").withColumn("own", F.col("q"))
+    queries = written(asked.select("q").distinct().join(codes.select(F.col("id").alias("q"), F.col("code").alias("qcode")), "q").withColumn("own", F.col("q")), "queries")
     beams = search(queries, codes, links)
     near = beams.select("q", F.explode(F.filter("beam", lambda x, i: (i < RERANK) | (x["d"] <= F.get("beam", F.lit(RERANK - 1))["d"]))).alias("b")).select("q", F.col("b.id").alias("id"))
     own = nodes.select("id", "vector")
