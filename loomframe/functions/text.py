@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 MISSING = ("", "null", "nan", "n/a", "na", "#n/a", "undefined", "nil")
 NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _GROUPED = r"^[+-]?[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?$"
-_MONEY = r"^(?:rs\.?|pkr|usd|eur|gbp|inr|aed|\$|€|£|₹)\s*"
+#: Currency prefixes and symbols of amounts.
+MONEY_PREFIXES = r"^(rs\.?|pkr|usd|eur|gbp|inr|cad|aud)\s*"
+MONEY_SYMBOLS = "[$€£¥₹]"
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 _ARABIC, _PERSIAN = "٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹"
@@ -23,11 +25,16 @@ def cell(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """The number in a literal with an optional currency mark and thousands groups; null for anything else."""
-    bare = F.regexp_replace(F.lower(F.trim(c)), _MONEY, "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), MONEY_PREFIXES, ""), MONEY_SYMBOLS, ""))
     plain = F.when(bare.rlike(_GROUPED), F.replace(bare, F.lit(","), F.lit(""))).otherwise(bare)
     return F.when(plain.rlike(NUMBER), plain.try_cast("double"))
 
 
+def has_currency(c: Column) -> Column:
+    """Whether a text begins with a currency prefix or holds a currency symbol."""
+    return F.lower(c).rlike(MONEY_PREFIXES) | c.rlike(MONEY_SYMBOLS)
+
+
 def decimals(c: Column) -> Column:
     """Decimal places of a literal, at most 6; 6 with an exponent."""
     return F.when(F.lower(c).rlike("[0-9]e[+-]?[0-9]"), 6).otherwise(F.least(F.length(F.regexp_extract(c, r"\.([0-9]+)", 1)), F.lit(6)))

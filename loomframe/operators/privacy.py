@@ -12,11 +12,11 @@ from ..functions.stats import round_half_up
 SENSITIVITY = 0.05
 
 
-def mask(c: Column, semantic: str = "Generic") -> Column:
+def mask(c: Column, semantic: str = "Other") -> Column:
     """The mask that fits a column's meaning, or what its values look like."""
     if semantic == "Email":
         return T.mask_email(c)
-    if semantic in ("Phone", "Sensitive ID"):
+    if semantic in ("Phone", "Identifier"):
         return T.mask_last4(c)
     if semantic == "Person Name":
         return T.mask_name(c)
@@ -43,7 +43,7 @@ def protect(df: DataFrame, transforms: dict[str, str], rid: str, seed: int = 1,
     for name in df.columns:
         c, how = F.col(f"`{name}`"), transforms.get(name, "preserve")
         if how == "mask":
-            c = mask(c.cast("string"), (semantics or {}).get(name, "Generic"))
+            c = mask(c.cast("string"), (semantics or {}).get(name, "Other"))
         elif how == "hash":
             c = T.hash16(c)
         elif how == "noise":

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from functools import reduce
 from graphlib import CycleError, TopologicalSorter
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.stats import round_half_up
+from .infer import ColumnSpec, normal_name
 
 
 @dataclass(frozen=True)
@@ -19,8 +21,9 @@ class Relationship:
     parent_column: str
     child: str
     child_column: str
-    low: int = 0
-    high: int = 5
+    low: int | None = 0
+    high: int | None = 5
+    cardinality: str = "1:N"
 
 
 def generation_order(tables: list[str], links: list[Relationship]) -> list[str]:
@@ -49,6 +52,54 @@ def inclusions(children: dict[str, tuple[DataFrame, str]], parents: dict[str, tu
     return pairs.groupBy("child", F.col("x.parent").alias("parent")).agg(F.count("*").alias("n_values"), F.sum("x.miss").alias("n_missing"))
 
 
+_ID_LIKE = re.compile(r"(id|_key|_code|_no|_number|_ref)$")
+
+
+def _owner(table: str) -> str:
+    """A table's name in the singular."""
+    n = normal_name(table)
+    return n[:-3] + "y" if n.endswith("ies") else n[:-2] if n.endswith("ses") else n.removesuffix("s")
+
+
+def _named_after(column: str, table: str, key: str) -> bool:
+    """Whether a column's name points at a table's key: customer_id at customers.customer_id or customers.id."""
+    c, k, owner = normal_name(column), normal_name(key), _owner(table)
+    return c == f"{owner}_{k}" or (c == k and k.startswith(owner))
+
+
+def detect(tables: dict[str, DataFrame], specs: dict[str, list[ColumnSpec]]) -> list[Relationship]:
+    """Foreign keys: for each column the best unique column of another table.
+
+    A column that looks like an identifier and whose values all stand in the other column scores 2, a name that points there 1. All
+    candidates are compared in one pass (`inclusions`); only one link of a child table keeps its numbers of children.
+    """
+    parents = {(t, s.name): (tables[t], s.name) for t, own in specs.items() for s in own if s.unique}
+    like = {(t, s.name): bool(_ID_LIKE.search(normal_name(s.name))) or s.semantic == "Identifier" for t, own in specs.items() for s in own}
+    named = lambda c, p: _named_after(c[1], *p)
+    children = {c: (tables[c[0]], c[1]) for c, is_id in like.items() if is_id or any(named(c, p) for p in parents if p[0] != c[0])}
+    if not children or not parents:
+        return []
+    text = ".".join
+    found = {(r["child"], r["parent"]): (r["n_values"], r["n_missing"]) for r in inclusions({text(c): x for c, x in children.items()}, {text(p): x for p, x in parents.items()}).collect()}  # pairs of columns
+    out, driven = [], set()
+    for c in children:
+        best, score = None, 0
+        for p in parents:
+            n, missing = found.get((text(c), text(p)), (0, 0))
+            inside = n > 0 and missing == 0
+            if p[0] != c[0] and n and (mine := (2 if inside and like[c] else 0) + named(c, p)) > score:
+                best, score, contained = p, mine, inside
+        if best is None:
+            continue
+        stats = children_stats(tables[best[0]], best[1], tables[c[0]], c[1]).first()
+        single = c in parents or (stats["max_children"] or 0) <= 1
+        counted = contained and not single and c[0] not in driven
+        if counted:
+            driven.add(c[0])
+        out.append(Relationship(*best, *c, stats["min_children"] if counted else None, stats["max_children"] if counted else None, "1:1" if single else "1:N"))
+    return out
+
+
 def children_stats(parent: DataFrame, key: str, child: DataFrame, fk: str) -> DataFrame:
     """One row: parents, parents without children, least and most children."""
     counts = child.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(F.count("*").alias("_n"))
@@ -88,6 +139,53 @@ def children_of(parent: DataFrame, key: str, low: int, high: int, seed: int, nam
     return parent.select(F.col(key).alias("fk"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))).alias("_k"))
 
 
+def random_parents(child: DataFrame, rid: str, fk: str, parent: DataFrame, key: str, seed: int, name: str) -> DataFrame:
+    """The child rows with a parent's key in `fk`, each parent equally likely; parents are numbered in the order of their keys."""
+    numbered = number_rows(parent.select(F.col(key).alias(fk)), [fk])
+    n = parent.count()
+    at = F.least(F.floor(rng.uniform(seed, f"parent:{name}", F.col(rid)) * n), F.lit(n - 1)).cast("long")
+    return child.withColumn("_rid", at).join(numbered, "_rid").drop("_rid")
+
+
+def fill(child: DataFrame, fk: str, links: DataFrame, rid: str = "_rid") -> DataFrame:
+    """The child rows with the key of the parent that `links` (rid, fk) assigns to them."""
+    return child.drop(fk).join(links.select(rid, fk), rid)
+
+
+def coerced(specs: dict[str, list[ColumnSpec]], links: list[Relationship]) -> dict[str, list[ColumnSpec]]:
+    """The specs that links ask for: parents' keys unique and never null, foreign keys never null, and unique if 1:1."""
+    keys = {(x.parent, x.parent_column) for x in links}
+    single = {(x.child, x.child_column): x.cardinality == "1:1" for x in links}
+
+    def one(t: str, s: ColumnSpec) -> ColumnSpec:
+        if (t, s.name) in keys:
+            return replace(s, unique=True, nullable=False)
+        return replace(s, unique=single[t, s.name], nullable=False) if (t, s.name) in single else s
+
+    return {t: [one(t, s) for s in own] for t, own in specs.items()}
+
+
+@dataclass(frozen=True)
+class Total:
+    """A parent's column that aggregates a term (a SQL expression) over its children."""
+
+    link: Relationship
+    column: str
+    term: str
+    how: str = "sum"
+
+
+def apply_totals(tables: dict[str, DataFrame], totals: list[Total]) -> dict[str, DataFrame]:
+    """Write the totals' columns, deepest children first, so that totals of totals agree."""
+    order = generation_order(list(tables), [t.link for t in totals])
+    out = dict(tables)
+    for t in sorted(totals, key=lambda t: -order.index(t.link.parent)):
+        x = t.link
+        values = rule_values(out[x.parent], x.parent_column, out[x.child], x.child_column, F.expr(t.term), t.how).withColumnRenamed("value", t.column)
+        out[x.parent] = out[x.parent].drop(t.column).join(values, x.parent_column)
+    return out
+
+
 def one_to_one(parent: DataFrame, key: str, n: int, seed: int, name: str) -> DataFrame:
     """(fk): n different parents, those of the smallest draws."""
     return parent.select(F.col(key).alias("fk"), rng.uniform(seed, f"one:{name}", F.col(key)).alias("_u")).orderBy("_u", "fk").limit(n).select("fk")

@@ -53,7 +53,9 @@ def check(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def enforce(df: DataFrame, rules: list[Rule], rid: str, seed: int = 1, passes: int = 3, step: float = 1.0) -> DataFrame:
-    """Repair what breaks a rule; rules can undo each other, so all are run `passes` times."""
+    """Repair what breaks a rule. Rules that share a column can undo each other, so then all are run `passes` times."""
+    touched = [c for r in rules for c in {r.column, *([r.other] if r.kind == "compare" else [])}]
+    passes = passes if len(set(touched)) < len(touched) else 1
     for turn in range(passes):
         for i, r in enumerate(rules):
             c, bad, u = F.col(f"`{r.column}`"), ~holds(r), rng.uniform(seed, f"rule{i}", F.col(rid), turn)

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.dates import read_date
 from ..functions.stats import running_totals
+from .infer import ColumnSpec
 from .profile import correlations, long_form
+from .rules import check as check_rules
 
 
 def canonical(df: DataFrame, columns: list[str]) -> Column:
@@ -26,6 +31,64 @@ def canonical(df: DataFrame, columns: list[str]) -> Column:
     return F.concat_ws("\u0001", *[one(c) for c in columns])
 
 
+STATUS = ("passed", "warning", "failed")
+
+
+def valid(c: Column, kind: str) -> Column:
+    """Whether a text cell reads as a type; nulls do."""
+    v = T.cell(c)
+    n = T.number(v)
+    tests = {
+        "integer": n.isNotNull() & (n == F.floor(n)), "float": n.isNotNull(), "boolean": F.lower(v).isin("true", "false", "yes", "no", "y", "n", "t", "f", "1", "0"), "uuid": v.rlike(T.UUID), "email": v.rlike(T.EMAIL),
+        "date": read_date(v).isNotNull() | read_date(v, False).isNotNull(), "datetime": read_date(v).isNotNull() | read_date(v, False).isNotNull(),
+    }
+    return v.isNull() | F.coalesce(tests.get(kind, F.lit(True)), F.lit(False))
+
+
+def type_validity(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(column, n_values, n_invalid): cells that do not read as their column's type, all columns in one aggregation."""
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v"), valid(F.col(f"`{c}`").cast("string"), k).alias("ok")) for c, k in types.items()])))
+    return cells.groupBy("column").agg(F.count("v").alias("n_values"), F.sum((~F.col("ok")).cast("long")).alias("n_invalid"))
+
+
+def worst(checks: DataFrame) -> DataFrame:
+    """The checks and a last row `overall` with the worst status."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in STATUS]), F.col("status"))
+    overall = checks.agg(F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.coalesce(F.max(rank), F.lit(1)).cast("int")).alias("status"))
+    return checks.unionByName(overall.select(F.lit("overall").alias("check"), "status", F.lit(None).cast("double").alias("measured")), allowMissingColumns=True)
+
+
+def report(df: DataFrame, specs: list[ColumnSpec], requested: int, original: DataFrame | None = None, rule_list: tuple = ()) -> DataFrame:
+    """(check, status, measured): one row a check, and the worst of them as `overall`; checks that need an original are left out without one.
+
+    measured is rows for the row count, invalid cells, repeated keys, rows that break a rule, copied rows, leaked values, and the largest KS
+    distance and total variation.
+    """
+    row = lambda d, name, status, x: d.select(F.lit(name).alias("check"), status.alias("status"), x.cast("double").alias("measured"))
+    fail = lambda x: F.when(F.coalesce(x, F.lit(0)) > 0, "failed").otherwise("passed")
+    n = F.col("n")
+    out = [
+        row(df.agg(F.count("*").alias("n")), "row count", F.when(n == requested, "passed").otherwise("failed"), n),
+        row(type_validity(df, {s.name: s.type for s in specs}).agg(F.sum("n_invalid").alias("n")), "types", fail(n), n),
+    ]
+    keys, private = [s.name for s in specs if s.unique], [s.name for s in specs if s.privacy == "high"]
+    if keys:
+        out.append(row(uniqueness(df, keys).agg(F.sum("n_extra").alias("n")), "unique keys", fail(n), n))
+    if rule_list:
+        out.append(row(check_rules(df, list(rule_list)).select((F.col("n_rows") - F.col("n_passing")).alias("n")), "business rules", fail(n), n))
+    if original is not None:
+        out.append(row(copied_rows(df, original, [s.name for s in specs]).select(F.col("n_copied").alias("n")), "copied rows", fail(n), n))
+        if private:
+            out.append(row(leaks(df, original, private).agg(F.sum("n_leaked").alias("n")), "private values", fail(n), n))
+        gap = lambda bad, worse: F.when(n <= bad, "passed").when(n <= worse, "warning").otherwise("failed")
+        numeric, named = [s.name for s in specs if s.kind == "numeric"], [s.name for s in specs if s.kind == "categorical"]
+        if numeric:
+            out.append(row(reduce(DataFrame.unionByName, [ks_statistic(df, original, c).select("d") for c in numeric]).agg(F.max("d").alias("n")), "distributions", gap(0.1, 0.3), n))
+        if named:
+            out.append(row(reduce(DataFrame.unionByName, [total_variation(df, original, c).select("tvd") for c in named]).agg(F.max("tvd").alias("n")), "categories", gap(0.1, 0.3), n))
+    return worst(reduce(DataFrame.unionByName, out))
+
+
 def ks_statistic(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """One row: d, the largest gap between the two distribution functions, n, m, and the asymptotic p (1 for d = 0)."""
     side = lambda df, x, y: df.select(F.col(column).cast("double").alias("v"), F.lit(x).alias("ca"), F.lit(y).alias("cb")).where("v IS NOT NULL AND NOT isnan(v)")

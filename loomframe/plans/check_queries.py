@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators import documents, quality, relational, rules, utility, validate
+from ..operators.infer import ColumnSpec
 from ..operators.rules import Rule
 from .catalogue import query, table
 
@@ -201,3 +202,67 @@ def split_train_test(spark, sf):
 
 def unioned(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def _linked(spark, sf):
+    """Three tables with names as uploads have them, and what their columns are."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("balance"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer_id"), F.col("o_totalprice").alias("total"))
+    i = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
+    key, number = lambda n: ColumnSpec(n, "integer", "Identifier", "identifier", False, True), lambda n: ColumnSpec(n, "float", "Other", "numeric")
+    specs = {"customers": [key("customer_id"), number("balance")], "orders": [key("id"), ColumnSpec("customer_id", "integer", "Identifier", "identifier"), number("total")], "items": [ColumnSpec("order_id", "integer", "Identifier", "identifier"), number("line"), number("quantity")]}
+    return {"customers": c, "orders": o, "items": i}, specs
+
+
+def _fk_sql(parent: str, key: str, child: str, fk: str, names: str) -> str:
+    return f"""SELECT {names}, CASE WHEN max(n) <= 1 THEN '1:1' ELSE '1:N' END AS cardinality, min(n)::BIGINT AS min_children, max(n)::BIGINT AS max_children
+FROM (SELECT p.{key}, count(c.{fk}) AS n FROM {parent} p LEFT JOIN {child} c ON p.{key} = c.{fk} GROUP BY 1) WHERE NOT EXISTS (SELECT 1 FROM {child} WHERE {fk} NOT IN (SELECT {key} FROM {parent}))"""
+
+
+@query(_fk_sql("customer", "c_custkey", "orders", "o_custkey", "'customers' AS parent, 'customer_id' AS parent_column, 'orders' AS child, 'customer_id' AS child_column")
+       + " UNION ALL " + _fk_sql("orders", "o_orderkey", "lineitem", "l_orderkey", "'orders' AS parent, 'id' AS parent_column, 'items' AS child, 'order_id' AS child_column"))
+def fk_detect(spark, sf):
+    """Foreign keys found from unique parents, containment and names; ids that happen to lie within another table's are not preferred to named ones."""
+    found = relational.detect(*_linked(spark, sf))
+    rows = [(x.parent, x.parent_column, x.child, x.child_column, x.cardinality, x.low, x.high) for x in found if x.low is not None]
+    return spark.createDataFrame(rows, "parent string, parent_column string, child string, child_column string, cardinality string, min_children long, max_children long")
+
+
+_PARENT_U = rng.uniform_sql(42, "parent:nation", "c_custkey")
+
+
+@query(f"""WITH p AS (SELECT n_nationkey AS fk, row_number() OVER (ORDER BY n_nationkey) - 1 AS i, count(*) OVER () AS n FROM nation), c AS (SELECT c_custkey, {_PARENT_U} AS u FROM customer)
+SELECT c_custkey, fk AS nation_id FROM c JOIN p ON i = least(floor(u * n), n - 1)""")
+def rel_fk_uniform(spark, sf):
+    return relational.random_parents(table(spark, sf, "customer").select("c_custkey"), "c_custkey", "nation_id", table(spark, sf, "nation"), "n_nationkey", 42, "nation")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, floor(coalesce(sum(l_quantity * 2), 0) * 100 + 0.5) / 100e0 AS t FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)
+SELECT c_custkey AS customer_id, floor(coalesce(sum(t), 0) * 100 + 0.5) / 100e0 AS spent FROM customer LEFT JOIN o ON c_custkey = o_custkey GROUP BY 1""")
+def rel_chained_totals(spark, sf):
+    """Orders sum their items, customers their orders, whatever order the totals are given in."""
+    tables, _ = _linked(spark, sf)
+    R, S = relational.Relationship, relational.Total
+    totals = [S(R("customers", "customer_id", "orders", "customer_id"), "spent", "total"), S(R("orders", "id", "items", "order_id"), "total", "quantity * 2")]
+    return relational.apply_totals(tables, totals)["customers"].select("customer_id", "spent")
+
+
+@query("""SELECT 'n' AS "column", count(*)::BIGINT AS n_values, sum((o_orderkey % 7 = 0)::INT)::BIGINT AS n_invalid FROM orders UNION ALL SELECT 'd', count(*)::BIGINT, sum((o_orderkey % 5 = 0)::INT)::BIGINT FROM orders
+UNION ALL SELECT 'e', count(*)::BIGINT, sum((o_orderkey % 3 = 0)::INT)::BIGINT FROM orders UNION ALL SELECT 's', count(*)::BIGINT, 0::BIGINT FROM orders""")
+def type_validity(spark, sf):
+    k = F.col("o_orderkey")
+    cells = table(spark, sf, "orders").select(
+        F.when(k % 7 == 0, F.concat(k.cast("string"), F.lit(".5"))).otherwise(k.cast("string")).alias("n"), F.when(k % 5 == 0, "2024-02-31").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("d"),
+        F.concat(F.lit("p"), k.cast("string"), F.when(k % 3 == 0, "@nowhere").otherwise("@example.com")).alias("e"), F.col("o_orderstatus").alias("s"),
+    )
+    return validate.type_validity(cells, {"n": "integer", "d": "date", "e": "email", "s": "string"})
+
+
+@query("""WITH c AS (SELECT count(*) AS n, sum((o_totalprice < 20000)::INT) AS broken FROM orders), r AS (SELECT 'row count' AS "check", 'passed' AS status, n::DOUBLE AS measured FROM c UNION ALL SELECT 'types', 'passed', 0 UNION ALL SELECT 'unique keys', 'passed', 0
+UNION ALL SELECT 'business rules', CASE WHEN broken > 0 THEN 'failed' ELSE 'passed' END, broken::DOUBLE FROM c UNION ALL SELECT 'copied rows', 'failed', n::DOUBLE FROM c UNION ALL SELECT 'distributions', 'passed', 0 UNION ALL SELECT 'categories', 'passed', 0)
+SELECT * FROM r UNION ALL SELECT 'overall', 'failed', NULL""")
+def validation_report(spark, sf):
+    """A table against itself: everything agrees, every row is a copy."""
+    specs = [ColumnSpec("o_orderkey", "integer", "Identifier", "identifier", False, True), ColumnSpec("o_totalprice", "float", "Currency", "numeric"), ColumnSpec("o_orderstatus", "string", "Status", "categorical")]
+    t = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return validate.report(t, specs, t.count(), t, (Rule("range", "o_totalprice", low=20000.0),))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.stats import quantile_function
-from ..operators import documents, generate, profile, quality, relational, rules, utility, validate
+from ..operators import documents, generate, profile, quality, relational, rules, tabular, utility, validate
 from ..operators.infer import ColumnSpec
 from .catalogue import query, table
 
@@ -157,3 +158,11 @@ def tstr_orders(spark, sf):
     ready = lambda d: d.select("o_totalprice", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("day"), (F.col("costly") == "true").cast("int").alias("costly"))
     scores = [utility.auc(utility.forest_scores(ready(d), ready(test), ["o_totalprice", "day"], "costly"), "score", "label").select(F.lit(n).alias("trained_on"), F.round("auc", 4).alias("auc")) for n, d in (("real", train), ("synthetic", made))]
     return reduce(DataFrame.unionByName, scores)
+
+
+@query()
+def generate_protected_orders(spark, sf):
+    """Synthetic orders with a masked column and a rule that nothing breaks, and the report on them."""
+    original = table(spark, sf, "orders").select(*[s.name for s in ORDERS])
+    specs = [replace(s, transform="mask") if s.name == "o_orderpriority" else s for s in ORDERS]
+    return tabular.checked(spark, specs, original.count(), 42, original, rule_list=(rules.Rule("range", "o_totalprice", low=1000.0, high=300_000.0),))[1]

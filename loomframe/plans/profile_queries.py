@@ -32,8 +32,10 @@ def profile_quantiles_101(spark, sf):
 
 @query("""SELECT min(epoch_ms(o_orderdate))::BIGINT AS lo, max(epoch_ms(o_orderdate))::BIGINT AS hi, round(quantile_cont(epoch_ms(o_orderdate)::DOUBLE, 0.5), 0) AS mid FROM orders""")
 def profile_datetime_summary(spark, sf):
-    x = profile.numeric_view(F.col("o_orderdate"), "datetime")
-    return table(spark, sf, "orders").agg(F.min(x).cast("long").alias("lo"), F.max(x).cast("long").alias("hi"), F.round(F.percentile(x, F.lit(0.5)), 0).alias("mid"))
+    days = table(spark, sf, "orders").select(profile.numeric_view(F.col("o_orderdate"), "datetime").alias("day"))
+    ends = profile.quantiles(days, ["day"], [0.0, 0.5, 1.0])
+    at = lambda k: F.max(F.when(F.col("k") == k, F.col("q")))
+    return ends.agg(at(0).cast("long").alias("lo"), at(2).cast("long").alias("hi"), F.round(at(1), 0).alias("mid"))
 
 
 @query("""SELECT 'text' AS "column", round(avg(length(text)), 4) AS avg_length, min(length(text))::BIGINT AS min_length, max(length(text))::BIGINT AS max_length FROM documents""")
@@ -79,6 +81,16 @@ def tukey_outliers(spark, sf):
     return _rounded(profile.outliers(table(spark, sf, "lineitem"), NUMBERS), 4, "q1", "q3")
 
 
+@query("""WITH q AS (SELECT quantile_cont(l_quantity, 0.25) AS a1, quantile_cont(l_quantity, 0.75) AS a3, quantile_cont(l_extendedprice, 0.25) AS b1, quantile_cont(l_extendedprice, 0.75) AS b3 FROM lineitem)
+SELECT count(*)::BIGINT AS n_rows, (count(*) * 4)::BIGINT AS n_cells, sum((l_orderkey IS NULL)::INT + (x IS NULL)::INT + (l_quantity IS NULL)::INT + (l_extendedprice IS NULL)::INT)::BIGINT AS n_missing,
+round(sum((l_orderkey IS NULL)::INT + (x IS NULL)::INT + (l_quantity IS NULL)::INT + (l_extendedprice IS NULL)::INT) / (count(*) * 4e0), 9) AS missing_rate,
+sum((l_quantity < a1 - 1.5e0 * (a3 - a1) OR l_quantity > a3 + 1.5e0 * (a3 - a1))::INT + (l_extendedprice < b1 - 1.5e0 * (b3 - b1) OR l_extendedprice > b3 + 1.5e0 * (b3 - b1))::INT)::BIGINT AS n_outliers
+FROM (SELECT *, CASE WHEN l_linenumber > 2 THEN l_linestatus END AS x FROM lineitem), q""")
+def dataset_totals(spark, sf):
+    t = table(spark, sf, "lineitem").select("l_orderkey", F.when(F.col("l_linenumber") > 2, F.col("l_linestatus")).alias("x"), "l_quantity", "l_extendedprice")
+    return _rounded(profile.totals(t, ["l_quantity", "l_extendedprice"]), 9, "missing_rate")
+
+
 @query("""SELECT (CASE WHEN l_extendedprice < 1000 THEN -1 WHEN l_extendedprice > 90000 THEN 20 ELSE least(19, floor((l_extendedprice - 1000e0) / (89000e0 / 20))) END)::BIGINT AS bin, count(*)::BIGINT AS n FROM lineitem GROUP BY 1""")
 def histogram_20(spark, sf):
     return profile.histogram(table(spark, sf, "lineitem"), "l_extendedprice", 1000.0, 90000.0)

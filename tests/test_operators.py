@@ -79,7 +79,34 @@ def test_thing_names(name, thing):
 
 def test_infer(spark):
     df = spark.createDataFrame([(str(i), f"p{i}@example.com", "yes" if i % 2 else "no", f"{i}.5", f"2024-01-{i % 28 + 1:02d}", "007") for i in range(100)], "user_id string, mail string, active string, price string, day string, zip string")
-    assert [s.type for s in infer.infer(df)] == ["integer", "email", "boolean", "float", "datetime", "string"]
+    assert [s.type for s in infer.infer(df)] == ["integer", "email", "boolean", "float", "date", "string"]
+
+
+PEOPLE = "name full_name first_name surname applicant_name planner_name teammate_name job_seeker_name project_manager_name statement_holder_name patient_name customer_name employee_name student_name guardian_name driver_name contact_name team_lead_name".split()
+THINGS = "product_name company_name app_name bank_name team_name plan_name city_name file_name game_name event_name hotel_name vendor_name product_category_name hospital_name brand_name employer_name order_name restaurant_name".split()
+PRIVATE = {"ssn": "mask", "cnic": "mask", "passport_no": "mask", "iban": "mask", "cardNumber": "mask", "tax_id": "mask", "ipv4": "mask", "ip_address": "mask", "date_of_birth": "synthetic", "dob": "synthetic", "e_mail": "synthetic", "mobile": "synthetic", "home_address": "synthetic", "zip_code": "synthetic"}
+OPEN = {"username": ("Identifier", "medium", "synthetic"), "order_id": ("Identifier", "medium", "preserve"), "province": ("Address", "low", "preserve"), "home_town": ("City", "medium", "preserve"), "vendor": ("Company", "low", "preserve"), "website": ("URL", "low", "preserve"), "remarks": ("Description", "low", "preserve")}
+
+
+def test_names_and_privacy(spark):
+    names = [*PEOPLE, *THINGS, *PRIVATE, *OPEN]
+    df = spark.createDataFrame([tuple(f"Alpha Beta {i}" for _ in names) for i in range(30)], ", ".join(f"{n} string" for n in names))
+    found = {s.name: s for s in infer.infer(df)}
+    assert all(found[n].semantic == "Person Name" and (found[n].privacy, found[n].transform) == ("high", "synthetic") for n in PEOPLE)
+    assert [n for n in THINGS if found[n].semantic == "Person Name"] == []
+    assert {n: (found[n].privacy, found[n].transform) for n in PRIVATE} == {n: ("high", t) for n, t in PRIVATE.items()}
+    assert {n: (found[n].semantic, found[n].privacy, found[n].transform) for n in OPEN} == OPEN
+    for n, t in PRIVATE.items():
+        assert infer.default_privacy(n, found[n].semantic) == ("high", t)
+
+
+def test_values_decide(spark):
+    rows = [(str(i + 1), f"www.site{i}.org/a", ["France", "de", "Japan"][i % 3], "y" if i % 2 else "n", str(i % 2), f"+44 20 7946 {i:04d}", f"$1,2{i:02d}.50", f"{i:05d}", "x" * 70 + str(i), None if i < 5 else "red") for i in range(60)]
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, is_open string, f string, g string, h string, i string, j string")
+    found = {s.name: (s.type, s.semantic, s.kind) for s in infer.infer(df)}
+    assert found == {"a": ("integer", "Identifier", "identifier"), "b": ("string", "URL", "text"), "c": ("string", "Country", "categorical"), "d": ("boolean", "Category", "boolean"), "is_open": ("boolean", "Category", "boolean"),
+                     "f": ("string", "Phone", "text"), "g": ("float", "Currency", "numeric"), "h": ("string", "Other", "text"), "i": ("string", "Description", "text"), "j": ("string", "Category", "categorical")}
+    assert {s.name: s.pattern for s in infer.infer(df)}["j"] == "1 distinct values · 8.3% missing" and infer.summary(infer.infer(df))["dates"] == 0
 
 
 def test_order():
