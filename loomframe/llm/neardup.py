@@ -184,6 +184,25 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", common.alias("_i"), (F.size("_x") + F.size("_y")).alias("_t")).where(F.col("_i") * 100 >= (F.col("_t") - F.col("_i")) * SIMILARITY).select("a", "b")
 
 
+#: A hub has more than one in so many of all edges; so there are at most twice as many hubs.
+HUBS = 1024
+
+
+def with_least(edges: DataFrame, own: bool, n: int) -> tuple[DataFrame, DataFrame]:
+    """The edges (u, v) with the smallest v of their u (or u itself, if `own` and smaller) as `m`; and the table of u and m.
+
+    Smallest values are found before the shuffle in part. A hub's edges would meet in one task of a join by u, so hubs are
+    broadcast: there are at most 2 * HUBS of them, as `n` edges give 2 * n rows and a hub has more than n / HUBS.
+    """
+    least = F.least(F.col("u"), F.min("v")) if own else F.min("v")
+    low = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("c"))
+    hub = F.col("c") > max(64, n // HUBS)
+    marked = edges.join(F.broadcast(low.where(hub).select("u", F.col("m").alias("h"))), "u", "left")
+    hot = marked.where("h IS NOT NULL").select("u", "v", F.col("h").alias("m"))
+    cold = marked.where("h IS NULL").select("u", "v").join(low.where(~hub).select("u", "m"), "u")
+    return hot.unionByName(cold), low.select("u", "m")
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """(id, component): the smallest id that is reachable, for each id that has a link, but for the smallest ids themselves.
 
@@ -196,15 +215,15 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
 
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
     before = fingerprint(edges)
-    while True:
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hung, _ = with_least(both, True, before[0])
+        large = written(hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name)
         # small star: an id's smaller neighbours, and itself, go under the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        hung, least = with_least(large, False, before[0])
+        small = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
         after = written(small, name)
-        forget(edges)
+        forget(edges, large)
         edges, now = after, fingerprint(after)
         if now == before:
             break
