@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from .folds import fold_in_order
 
 CATALOGUE = (("Consulting hour", 9500), ("Site visit", 18000), ("Cable 10 m", 1250), ("Router", 8900), ("Desk lamp", 3400), ("Office chair", 14900), ("Paper box", 2100), ("Training day", 64000), ("License seat", 4900), ("Support month", 7500))
 EVERYDAY = (("groceries", 5, 4200), ("transport", 3, 1500), ("dining", 3, 2600), ("health", 1, 5200), ("shopping", 2, 7800))
@@ -40,23 +42,43 @@ def invoice_lines(df: DataFrame) -> DataFrame:
     return df.select("number", "issued", "due", F.posexplode("lines").alias("line", "x"), "subtotal_cents", "tax_cents", "total_cents", "synthetic").select("number", "issued", "due", (F.col("line") + 1).alias("line"), "x.*", "subtotal_cents", "tax_cents", "total_cents", "synthetic")
 
 
-def floor_fold(rows: DataFrame, account: str, order: list[str], cents: str, opening: int, floor: int) -> DataFrame:
+def floor_fold(rows: DataFrame, account: str, order: list[str], cents: str, opening: int, floor: int, part: Column | None = None) -> DataFrame:
     """Running balances that never fall below `floor`: a debit that would is cut to what is left. `cents`: credits above, debits below 0.
 
-    The fold depends on every earlier row of an account, so an account's rows are gathered in order; an account is the unit of work.
+    As balance = max(before + cents, floor), a balance is the running sum plus the largest of `opening` and all of floor - running
+    sum so far. Both are taken within parts of an account (days of the first order column, by default) and then over the parts, so
+    an account of any size is spread over its parts. A null amount moves nothing; of ties in `order` the debits come first.
     """
-    gathered = rows.groupBy(account).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(cents).cast("long").alias("cents")))).alias("rows"))
-    kind = "struct<balance:bigint,out:array<struct<cents:bigint,balance:bigint>>>"
-    begin = F.struct(F.lit(opening).cast("long").alias("balance"), F.array().cast("array<struct<cents:bigint,balance:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        moved = F.greatest(x["cents"], F.least(F.lit(0).cast("long"), F.lit(floor) - acc["balance"]))
-        after = acc["balance"] + moved
-        return F.struct(after.alias("balance"), F.array_append(acc["out"], F.struct(moved.alias("cents"), after.alias("balance"))).alias("out")).cast(kind)
-
-    folded = gathered.select(account, "rows", F.aggregate("rows", begin.cast(kind), step)["out"].alias("out"))
-    zipped = folded.select(account, F.inline(F.arrays_zip("rows", "out")))
-    return zipped.select(account, *[F.col(f"rows.{c}").alias(c) for c in order], F.col("out.cents").alias("cents"), F.col("out.balance").alias("balance"))
+    if opening < floor:
+        raise ValueError("the opening balance is below the floor")
+    part = F.to_date(F.col(order[0])) if part is None else part
+    base = rows.select(F.col(account).alias("_a"), part.alias("_p"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.coalesce(F.col(cents).cast("long"), F.lit(0)).alias("_c"))
+    inside = Window.partitionBy("_a", "_p").orderBy(*[f"_o{i}" for i in range(len(order))], "_c")
+    upto, before = (inside.rowsBetween(Window.unboundedPreceding, k) for k in (0, -1))
+    run = base.withColumn("_s", F.sum("_c").over(upto)).withColumn("_lack", F.lit(floor) - F.col("_s"))
+    run = run.withColumns({"_m": F.max("_lack").over(upto), "_m0": F.max("_lack").over(before)})
+    earlier = Window.partitionBy("_a").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    parts = run.groupBy("_a", "_p").agg(F.sum("_c").alias("_t"), F.max("_lack").alias("_x"))
+    starts = parts.withColumn("_b", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).withColumn("_y", F.max(F.col("_x") - F.col("_b")).over(earlier))
+    starts = starts.select(F.col("_a").alias("_a2"), F.col("_p").alias("_p2"), "_b", "_y")
+    whole = run.join(starts, F.col("_a").eqNullSafe(F.col("_a2")) & F.col("_p").eqNullSafe(F.col("_p2")))
+    after = F.col("_b") + F.col("_s") + F.greatest(F.lit(opening), "_y", F.col("_m") - F.col("_b"))
+    ahead = F.col("_b") + F.col("_s") - F.col("_c") + F.greatest(F.lit(opening), "_y", F.col("_m0") - F.col("_b"))
+    return whole.select(F.col("_a").alias(account), *[F.col(f"_o{i}").alias(c) for i, c in enumerate(order)], (after - ahead).alias("cents"), after.alias("balance"))
+
+
+def floor_fold_refilled(rows: DataFrame, account: str, order: list[str], cents: str, refill: str, opening: int, floor: int, least: int = 1) -> DataFrame:
+    """The rows with `moved` and `balance`: a debit that would breach `floor` is cut to what is left, or, where less than `least` is
+    left, becomes a credit of the row's `refill`. Null amounts move nothing."""
+
+    def step(balance: int, c: int | None, credit: int | None):
+        c = c or 0
+        if c < 0 and balance + c < floor:
+            room = balance - floor
+            c = -room if room >= max(1, least) else credit or 0
+        return balance + c, (c, balance + c)
+
+    return fold_in_order(rows, account, order, [cents, refill], lambda: opening, step, {"moved": ("bigint", pa.int64()), "balance": ("bigint", pa.int64())})
 
 
 def statements(spark: SparkSession, n: int, per_statement: int, seed: int, first: str = "2026-01-01", days: int = 90, opening: int = 1_000_000, floor: int = 0) -> DataFrame:

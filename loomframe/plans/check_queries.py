@@ -148,12 +148,30 @@ def statement_running_balance(spark, sf):
     return out.select("event_id", "running_balance", "out_of_order")
 
 
-@query()
+_MOVES = "SELECT user_id, ts, event_id, CASE WHEN event_type = 'purchase' THEN -1 ELSE 1 END * round(value * 100)::BIGINT AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events"
+
+
+@query(f"""WITH RECURSIVE r AS ({_MOVES}), f AS (SELECT user_id, ts, event_id, k, greatest(1000 + c, 500) - 1000 AS cents, greatest(1000 + c, 500)::BIGINT AS balance FROM r WHERE k = 1
+UNION ALL SELECT r.user_id, r.ts, r.event_id, r.k, greatest(f.balance + r.c, 500) - f.balance, greatest(f.balance + r.c, 500)::BIGINT FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+SELECT user_id, ts, event_id, cents::BIGINT AS cents, balance FROM f""")
 def statement_floor_fold(spark, sf):
     cents = F.when(F.col("event_type") == "purchase", -1).otherwise(1) * F.round(F.col("value") * 100).cast("long")
     return documents.floor_fold(table(spark, sf, "events").select("user_id", "ts", "event_id", cents.alias("cents")), "user_id", ["ts", "event_id"], "cents", 1000, 500)
 
 
+_NEXT = "CASE WHEN r.c >= 0 OR {b} + r.c >= 500 THEN {b} + r.c WHEN {b} > 500 THEN 500 ELSE {b} + 2500 END"
+
+
+@query(f"""WITH RECURSIVE r AS ({_MOVES}), f AS (SELECT user_id, event_id, k, 1000 AS before, ({_NEXT.format(b='1000')})::BIGINT AS balance FROM r WHERE k = 1
+UNION ALL SELECT r.user_id, r.event_id, r.k, f.balance, ({_NEXT.format(b='f.balance')})::BIGINT FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1)
+SELECT user_id, event_id, (balance - before)::BIGINT AS moved, balance FROM f""")
+def statement_floor_refilled(spark, sf):
+    """The same where an account without room gets a transfer of 2500 cents instead."""
+    cents = F.when(F.col("event_type") == "purchase", -1).otherwise(1) * F.round(F.col("value") * 100).cast("long")
+    rows = table(spark, sf, "events").select("user_id", "ts", "event_id", cents.alias("cents"), F.lit(2500).cast("long").alias("refill"))
+    return documents.floor_fold_refilled(rows, "user_id", ["ts", "event_id"], "cents", "refill", 1000, 500).select("user_id", "event_id", "moved", "balance")
+
+
 @query("""SELECT l_orderkey, sum(round(l_quantity)::BIGINT * 100)::BIGINT AS subtotal_cents, floor(sum(round(l_quantity)::BIGINT * 100) * 17e0 / 100 + 0.5)::BIGINT AS tax_cents, count(*)::BIGINT AS n_lines FROM lineitem GROUP BY 1""")
 def invoice_reconcile(spark, sf):
     cents = F.round("l_quantity").cast("long") * 100

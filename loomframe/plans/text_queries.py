@@ -131,6 +131,9 @@ def request_density_60s(spark, sf):
     return table(spark, sf, "events").select("event_id", monitor.density("user_id", "ts").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT user_id, event_id, ts, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+f AS (SELECT user_id, event_id, ts, k, true AS admitted, [t] AS recent FROM r WHERE k = 1
+UNION ALL SELECT user_id, event_id, ts, k, len(l) < 3, CASE WHEN len(l) < 3 THEN list_append(l, t) ELSE l END FROM (SELECT r.*, [x FOR x IN f.recent IF x > r.t - 86400] AS l FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k + 1))
+SELECT user_id, event_id, ts, admitted FROM f""")
 def rate_limit_admission(spark, sf):
     return monitor.admitted(table(spark, sf, "events").select(F.col("user_id"), "event_id", "ts"), "user_id", "ts", "event_id", limit=3, seconds=86_400)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import fold_in_order
 from ..operators.rules import Rule, check
 
 LIMIT = 20
@@ -32,14 +35,18 @@ def _admit(times: list[float], recent: list[float], limit: int, seconds: float)
 
 
 def admitted(df: DataFrame, key: str, ts: str, order: str, limit: int = LIMIT, seconds: int = WINDOW_S) -> DataFrame:
-    """The rows (key, order, ts) with `admitted`, folded in order within each visitor."""
+    """The rows (key, order, ts) with `admitted`, folded in order within each visitor; a row without a time is not admitted."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([ts, order], kind="stable")
-        return rows.assign(admitted=_admit((rows[ts].astype("datetime64[us]").astype("int64") / 1e6).tolist(), [], limit, seconds)[0])
+    def step(recent: deque, t: float | None):
+        while t is not None and recent and recent[0] <= t - seconds:
+            recent.popleft()
+        good = t is not None and len(recent) < limit
+        if good:
+            recent.append(t)
+        return recent, (good,)
 
-    kinds = dict(df.dtypes)
-    return df.select(key, order, ts).groupBy(key).applyInPandas(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{ts}` {kinds[ts]}, admitted boolean")
+    timed = df.select(key, order, ts, (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
+    return fold_in_order(timed, key, [ts, order], ["_t"], deque, step, {"admitted": ("boolean", pa.bool_())}).drop("_t")
 
 
 def admitted_stream(df: DataFrame, key: str, ts: str, limit: int = LIMIT, seconds: int = WINDOW_S) -> DataFrame:
