@@ -244,18 +244,23 @@ def blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """g, lo, hi and the texts `m` of two blocks (lo = hi: of one) for all block pairs of a group in which components can meet.
 
     A block has about `BLOCK` shingles. The texts of a group's largest component have blocks of their own, which are not paired
-    with each other.
+    with each other. Groups with more than one in `HUBS` of all texts, so fewer than that, are broadcast to their texts; block pairs
+    are dealt by group and blocks, so a group's pairs are spread over all tasks.
     """
     texts = sets.join(groups, "id").select("g", "p", "id", F.size("shingles").alias("n"), "shingles")
-    parts = texts.groupBy("g", "p").agg(F.sum("n").alias("s"))
-    sizes = parts.groupBy("g").agg(F.max_by("p", F.struct("s", "p")).alias("main"), F.max("s").alias("s_main"), F.sum("s").alias("s_all"))
+    parts = texts.groupBy("g", "p").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
+    sizes = parts.groupBy("g").agg(F.max_by("p", F.struct("s", "p")).alias("main"), F.max("s").alias("s_main"), F.sum("s").alias("s_all"), F.sum("c").alias("c"))
     n_main, n_rest = (F.greatest(F.ceil(x / F.lit(float(BLOCK))), F.lit(1)).cast("int") for x in (F.col("s_main"), F.col("s_all") - F.col("s_main")))
-    dealt = texts.join(sizes.select("g", "main", n_main.alias("k"), n_rest.alias("r")), "g")
+    about = sizes.select("g", "c", F.struct("main", n_main.alias("k"), n_rest.alias("r")).alias("d"))
+    large = F.col("c") > max(64, groups.count() // HUBS)
+    marked = texts.join(F.broadcast(about.where(large).select("g", "d")), "g", "left")
+    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "shingles", "d.*")
     is_main = F.col("p") == F.col("main")
     block = F.when(is_main, F.pmod(F.xxhash64("id"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("id"), "r")).cast("int")
     other = F.when(is_main, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
     sent = dealt.select("g", "p", "id", "shingles", block.alias("b"), F.explode(other).alias("o"))
-    return sent.groupBy("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list(F.struct("id", "p", "b", "shingles")).alias("m"))
+    pairs = sent.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "p", "b", "shingles").alias("x"))
+    return pairs.repartition("g", "lo", "hi").groupBy("g", "lo", "hi").agg(F.collect_list("x").alias("m"))
 
 
 def _side(members: pa.StructArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
