@@ -106,6 +106,28 @@ def check_statements(rows: DataFrame, opening: int, floor: int) -> DataFrame:
     return rows.withColumn("_off", F.col("balance") != before + F.col("cents")).agg(F.count("*").alias("n"), F.sum(F.col("_off").cast("long")).alias("n_off"), F.sum((F.col("balance") < floor).cast("long")).alias("n_under"))
 
 
+def check_statement_limits(rows: DataFrame, statement: str, day: str, order: list[str], cents: str, balance: str, opening: int, floor: int | None = None, period: tuple[str, str] | None = None, least: int = 0, most: int | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
+    """(statement, n, n_outside, n_amount, n_under, closing_off, count_off): rows outside the period, amounts outside their limits,
+    balances under the floor, whether closing is opening plus all rows, and whether the number of rows is outside `counts`."""
+    c, b = F.col(cents), F.col(balance)
+    outside = ~F.col(day).between(*[F.lit(x).cast("date") for x in period]) if period else F.lit(False)
+    amount = (F.abs(c) < least) | (F.abs(c) > most if most is not None else F.lit(False))
+    n_of = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
+    found = rows.groupBy(statement).agg(F.count("*").alias("n"), n_of(outside).alias("n_outside"), n_of(amount).alias("n_amount"), n_of(b < floor if floor is not None else F.lit(False)).alias("n_under"), F.sum(c).alias("_s"), F.max_by(b, F.struct(*order)).alias("_closing"))
+    return found.select(statement, "n", "n_outside", "n_amount", "n_under", (F.col("_closing") != F.lit(opening) + F.col("_s")).alias("closing_off"), (~F.col("n").between(*counts) if counts else F.lit(False)).alias("count_off"))
+
+
+def invoice_stats(df: DataFrame, total: str, tax: str, n_lines: str) -> DataFrame:
+    """One row: invoices, their sum and mean, their tax and their lines."""
+    return df.agg(F.count("*").alias("n"), F.sum(total).alias("total"), F.avg(total).alias("mean"), F.sum(tax).alias("tax"), F.sum(n_lines).alias("n_lines"))
+
+
+def by_line_count(df: DataFrame, n_lines: str, most: int = 8) -> DataFrame:
+    """(n_lines, n) for 1 to `most` lines, with 0 where no invoice has so many."""
+    found = df.groupBy(F.col(n_lines).cast("long").alias("n_lines")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(1, most + 1).withColumnRenamed("id", "n_lines").join(found, "n_lines", "left").select("n_lines", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 _MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 

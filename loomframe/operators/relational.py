@@ -58,7 +58,9 @@ _ID_LIKE = re.compile(r"(id|_key|_code|_no|_number|_ref)$")
 def _owner(table: str) -> str:
     """A table's name in the singular."""
     n = normal_name(table)
-    return n[:-3] + "y" if n.endswith("ies") else n[:-2] if n.endswith("ses") else n.removesuffix("s")
+    if n.endswith("ies"):
+        return n[:-3] + "y"
+    return n[:-2] if re.search(r"(ss|x|ch|sh|(?<![ao])us)es$", n) else n.removesuffix("s")
 
 
 def _named_after(column: str, table: str, key: str) -> bool:
@@ -210,3 +212,76 @@ def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
     sizes = ranged.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
     before = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     return ranged.withColumn("_p", part).join(F.broadcast(before), "_p").select((F.col("_b") + within).alias("_rid"), *df.columns)
+
+
+def expand_many_to_many(specs: dict[str, list[ColumnSpec]], links: list[Relationship]) -> tuple[dict[str, list[ColumnSpec]], list[Relationship], dict[str, tuple[Relationship, Relationship]]]:
+    """Each N:N link as a table of pairs with a link to either side; and these tables' two links."""
+    specs, out, joins = dict(specs), [], {}
+    for x in links:
+        if x.cardinality != "N:N":
+            out.append(x)
+            continue
+        name, k = f"{x.parent}_{x.child}", 2
+        while name in specs:
+            name, k = f"{x.parent}_{x.child}_{k}", k + 1
+        ends = [(x.parent, x.parent_column), (x.child, x.child_column)]
+        columns = [f"{_owner(t)}_{normal_name(c)}" if not normal_name(c).startswith(_owner(t)) else normal_name(c) for t, c in ends]
+        if columns[0] == columns[1]:
+            columns[1] += "_2"
+        types = [next((s.type for s in specs.get(t, []) if s.name == c), "integer") for t, c in ends]
+        specs[name] = [ColumnSpec(c, t, "Identifier", "identifier", False) for c, t in zip(columns, types, strict=True)]
+        pair = Relationship(*ends[0], name, columns[0], x.low, x.high), Relationship(*ends[1], name, columns[1], None, None)
+        joins[name] = pair
+        out += pair
+    return specs, out, joins
+
+
+def design_problems(specs: dict[str, list[ColumnSpec]], links: list[Relationship], totals: list[Total] = ()) -> list[str]:
+    """What keeps a design of linked tables from being generated, in words; empty if nothing does."""
+    found = [] if specs else ["there is no table"]
+    number = ("integer", "float")
+    types = {(t, s.name): s.type for t, columns in specs.items() for s in columns}
+    for t, columns in specs.items():
+        names = [s.name.strip() for s in columns]
+        found += [f"{t or 'a table'} has no name"] * (not t.strip()) + [f"{t} has no columns"] * (not columns) + [f"{t} has a column without a name"] * ("" in names)
+        found += [f"{t} has the column {n} more than once" for n in sorted({n for n in names if n and names.count(n) > 1})]
+    for x in links:
+        found += [f"{t}.{c} does not exist" for t, c in ((x.parent, x.parent_column), (x.child, x.child_column)) if (t, c) not in types]
+        if x.low is not None and x.high is not None and x.low > x.high:
+            found.append(f"{x.parent} -> {x.child}: at least {x.low} but at most {x.high} children")
+    drivers = [x.child for x in links if x.cardinality != "N:N" and x.high is not None]
+    found += [f"{t}: {drivers.count(t)} links set its number of rows" for t in sorted(set(drivers)) if drivers.count(t) > 1]
+    for r in totals:
+        kind = types.get((r.parent, r.column))
+        found += [f"{r.parent}.{r.column} " + ("does not exist" if kind is None else "is not a number")] * (kind not in number)
+        if not any((x.parent, x.child) == (r.parent, r.child) and x.cardinality != "N:N" for x in links):
+            found.append(f"no link from {r.child} to {r.parent} for {r.parent}.{r.column}")
+    if not found:
+        try:
+            wide, direct, _ = expand_many_to_many(specs, links)
+            generation_order(list(wide), direct)
+        except ValueError as e:
+            found.append(f"the links go round in a circle: {e}")
+    return found
+
+
+def estimate_rows(rows: dict[str, int], links: list[Relationship]) -> dict[str, int]:
+    """How many rows each table will have: of its parent's rows and the mean number of children, or as asked for."""
+    specs: dict[str, list[ColumnSpec]] = {t: [] for t in rows}
+    wide, direct, joins = expand_many_to_many(specs, links)
+    out: dict[str, int] = {}
+    for t in generation_order(list(wide), direct):
+        incoming = [x for x in direct if x.child == t]
+        one = next((x for x in incoming if x.cardinality == "1:1"), None)
+        drive = next((x for x in incoming if x.cardinality == "1:N" and x.high is not None), None)
+        if t in joins:
+            first = joins[t][0]
+            low = 1 if first.low is None else first.low
+            out[t] = round(out[first.parent] * (low + (max(low, 3) if first.high is None else first.high)) / 2)
+        elif one:
+            out[t] = min(rows.get(t, out[one.parent]), out[one.parent])
+        elif drive:
+            out[t] = round(out[drive.parent] * ((drive.low or 0) + drive.high) / 2)
+        else:
+            out[t] = rows.get(t, 0)
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, replace
 from re import _constants as RE  # the standard parser's names
 from re import _parser
 
@@ -125,3 +126,45 @@ def from_pattern(pattern: str, seed: int, stream: str, rid: Column) -> Column:
         return F.concat(*[one(op, value) for op, value in items], F.lit(""))
 
     return many(_parser.parse(pattern))
+
+
+def describe(rule: Rule) -> str:
+    """A rule in words."""
+    if rule.kind == "range":
+        ends = [f"at least {rule.low:g}"] * (rule.low is not None) + [f"at most {rule.high:g}"] * (rule.high is not None)
+        return f"{rule.column} is {' and '.join(ends) or 'anything'}"
+    if rule.kind == "allowed":
+        return f"{rule.column} is one of {', '.join(map(str, rule.values))}"
+    return f"{rule.column} matches {rule.pattern}" if rule.kind == "pattern" else f"{rule.column} {rule.op} {rule.other}"
+
+
+def for_table(rules: list[Rule], table: str) -> list[Rule]:
+    """The rules on `table.column`, with the table's name taken off."""
+    bare = lambda c: c.removeprefix(f"{table}.")
+    return [replace(r, column=bare(r.column), other=bare(r.other)) for r in rules if r.column.startswith(f"{table}.")]
+
+
+def problem(rule: Rule, kinds: dict[str, str]) -> str | None:
+    """Why a rule cannot be applied to columns of these kinds (integer, float, date, datetime, string, ...); None if it can."""
+    ordered = ("integer", "float", "date", "datetime")
+    for c in (rule.column, *([rule.other] if rule.kind == "compare" else [])):
+        if c not in kinds:
+            return f"{c} does not exist"
+        if rule.kind in ("range", "compare") and kinds[c] not in ordered:
+            return f"{c} is neither a number nor a date"
+    if rule.kind == "range":
+        if rule.low is None and rule.high is None:
+            return f"{rule.column}: neither end is given"
+        return f"{rule.column}: the low end is above the high end" if None not in (rule.low, rule.high) and rule.low > rule.high else None
+    if rule.kind == "allowed":
+        return None if rule.values else f"{rule.column}: no values are allowed"
+    if rule.kind == "pattern":
+        try:
+            _parser.parse(rule.pattern)
+        except re.error as e:
+            return f"{rule.column}: {e}"
+        return None
+    if rule.op not in _OPS:
+        return f"{rule.op} does not compare"
+    dates = [kinds[c].startswith("date") for c in (rule.column, rule.other)]
+    return f"{rule.column} compares with itself" if rule.column == rule.other else None if dates[0] == dates[1] else f"{rule.column} and {rule.other} are of different kinds"

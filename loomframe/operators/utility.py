@@ -75,6 +75,48 @@ def forest_scores(train: DataFrame, test: DataFrame, features: list[str], label:
     return model.transform(assemble.transform(ready(test))).select("label", vector_to_array("probability")[1].alias("score"))
 
 
+def forest_values(train: DataFrame, test: DataFrame, numbers: list[str], categories: list[str], label: str, regression: bool = False, seed: int = 1, most: int = 32) -> DataFrame:
+    """(label, predicted) of the test rows by a forest of 25 trees on numbers and categories, for a number or, by its text, a class.
+
+    Categories are lower-cased and trimmed and get codes shared by both tables; those beyond the `most` - 2 most frequent ones
+    share the code of unknown ones, and nulls have one of their own. Null numbers are -1 with a flag.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    key = lambda c: F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("\x00"))
+    both = train.select(*categories).unionByName(test.select(*categories))
+    frequent = {c: [r[0] for r in both.groupBy(key(c).alias("v")).count().orderBy(F.desc("count"), "v").limit(most - 2).collect()] for c in categories}
+
+    def ready(df: DataFrame) -> DataFrame:
+        cols = [F.col(label).cast("double" if regression else "string").alias("_label")]
+        for c in numbers:
+            cols += [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"x_{c}"), F.col(c).isNull().cast("double").alias(f"m_{c}")]
+        cols += [F.when(key(c).isin(*frequent[c]), key(c)).otherwise("\x01").alias(f"c_{c}") for c in categories]
+        return df.where(F.col(label).isNotNull()).select(*cols)
+
+    train, test = ready(train), ready(test)
+    names = [n for c in numbers for n in (f"x_{c}", f"m_{c}")]
+    if categories:
+        codes = StringIndexer(inputCols=[f"c_{c}" for c in categories], outputCols=[f"k_{c}" for c in categories]).fit(train.drop("_label").unionByName(test.drop("_label")))
+        train, test, names = codes.transform(train), codes.transform(test), names + [f"k_{c}" for c in categories]
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    setting = {"numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": most, "seed": seed}
+    if regression:
+        model = RandomForestRegressor(labelCol="_label", featureSubsetStrategy="onethird", **setting).fit(assemble.transform(train))
+        return model.transform(assemble.transform(test)).select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"))
+    classes = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
+    model = RandomForestClassifier(labelCol="_y", featureSubsetStrategy="sqrt", **setting).fit(assemble.transform(classes.transform(train)))
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes.labels).transform(model.transform(assemble.transform(test)))
+    return named.select(F.col("_label").alias("label"), "predicted")
+
+
+def predictable(kind: str, real: float, base: float = 0.0) -> bool:
+    """Whether the real model has skill worth comparing: auc (binary), r2 (regression) or accuracy above the baseline."""
+    return real >= 0.6 if kind == "auc" else real >= 0.1 if kind == "r2" else real - base >= 0.05
+
+
 def rank_targets(columns: list[tuple[str, str, int]]) -> list[str]:
     """Candidate targets from (name, kind, distinct): outcomes first, people's traits last; identifiers and texts are left out."""
     outcome = ("churn", "default", "fraud", "status", "label", "target", "outcome", "returned", "approved")

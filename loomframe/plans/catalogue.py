@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import check_queries, generate_queries, profile_queries, text_queries  # noqa: F401
+    from . import check_queries, generate_queries, profile_queries, report_queries, text_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,39 @@ def test_stream(spark, tmp_path):
     q = monitor.check_batches(spark.readStream.schema("id int, v int").parquet(str(tmp_path / "in")), [rules.Rule("range", "v", low=0, high=10)], lambda k, r: seen.append(r.first())).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert seen[0].v0 == 1 and seen[0].n_passing == 1
+
+
+def test_design():
+    key = lambda n, t="integer": infer.ColumnSpec(n, t)
+    specs = {"students": [key("id"), key("fees", "float")], "courses": [key("id")], "marks": [key("student_id"), key("points", "float")]}
+    links = [relational.Relationship("students", "id", "courses", "id", 1, 3, "N:N"), relational.Relationship("students", "id", "marks", "student_id", 2, 4)]
+    wide, direct, joins = relational.expand_many_to_many(specs, links)
+    assert [s.name for s in wide["students_courses"]] == ["student_id", "course_id"] and len(direct) == 3 and list(joins) == ["students_courses"]
+    assert relational.design_problems(specs, links) == []
+    assert relational.estimate_rows({"students": 100, "courses": 10, "marks": 7}, links) == {"students": 100, "courses": 10, "marks": 300, "students_courses": 200}
+    bad = [relational.Relationship("students", "id", "marks", "none", 5, 2), relational.Relationship("courses", "id", "marks", "student_id", 0, 2)]
+    assert len(relational.design_problems(specs, bad)) == 3 and relational.design_problems({}, []) == ["there is no table"]
+    loop = [relational.Relationship("students", "id", "marks", "student_id"), relational.Relationship("marks", "points", "students", "id")]
+    assert "circle" in relational.design_problems(specs, loop)[0]
+
+
+def test_rule_problems():
+    kinds = {"age": "integer", "name": "string", "born": "date"}
+    R = rules.Rule
+    good = [R("range", "age", low=1), R("allowed", "name", values=("a",)), R("pattern", "name", pattern="a+"), R("range", "born", low=1, high=2)]
+    bad = [R("range", "name", low=1), R("range", "age"), R("range", "age", low=3, high=2), R("allowed", "name"), R("pattern", "name", pattern="("), R("compare", "age", other="born"), R("compare", "age", other="none"), R("compare", "age", other="age")]
+    assert [rules.problem(r, kinds) for r in good] == [None] * 4 and all(rules.problem(r, kinds) for r in bad)
+    assert rules.describe(R("range", "age", low=1, high=9)) == "age is at least 1 and at most 9"
+    assert rules.for_table([R("compare", "t.a", other="t.b"), R("range", "u.a", low=1)], "t") == [R("compare", "a", other="b")]
+
+
+def test_username_and_keys(spark):
+    row = spark.range(1).select(generate.username(F.lit("Ann-Lee"), F.lit("O'Hara"), 1, F.col("id")).alias("u"), generate.string_key(None, F.col("id")).alias("k"), generate.fill_template("##-A", 1, "t", F.col("id")).alias("t")).first()
+    assert row.u.startswith("annlee.ohara") and row.k == "ID-000001" and row.t[2] == "-" and row.t[3].isupper()
+
+
+def test_classes_from_categories(spark):
+    rows = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, " Red").when(F.col("id") % 7 == 0, None).otherwise("blue").alias("c"), (F.col("id") % 2 == 0).alias("y"))
+    train, test = utility.split(rows, "id", 3)
+    assert utility.accuracy(utility.forest_values(train, test, [], ["c"], "y"), "predicted", "label").first().accuracy == 1.0
+    assert utility.predictable("auc", 0.7) and not utility.predictable("accuracy", 0.52, 0.5)
