@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bytebpe, goodness, langid, neardup, packing, pii, quality, rans, tokencount, turnrepair, urls
+from . import ann, bytebpe, goodness, langid, neardup, packing, pii, prefixtrie, quality, rans, tokencount, turnrepair, urls
 from .shared import table
 
 
@@ -51,6 +51,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.mark(table(spark, sf_dir, "documents"), size=2)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return goodness.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,10 +66,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_packing, op2_neighbours, op3_language_id, op4_url_filter, op5_personal_data, op6_token_counts, op7_quality_rules, op8_byte_bpe, op9_token_files, op10_near_duplicates,
-        op12_quality_classifier, op13_conversation_repair,
+        op11_prefix_trie, op12_quality_classifier, op13_conversation_repair,
     )
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": urls.sql(), "op7_quality_rules": quality.sql(), "op13_conversation_repair": turnrepair.sql()}
+    return {"op4_url_filter": urls.sql(), "op7_quality_rules": quality.sql(), "op11_prefix_trie": prefixtrie.sql(), "op13_conversation_repair": turnrepair.sql()}
