@@ -2,16 +2,15 @@
 
 DataFrame functions only. The measures of a text (words, repeated words, repeated lines, symbols) come from its own arrays.
 Then lines are compared across documents: normalised lines (lower case, outer white space off, digits as 0) are hashed, and
-for each host (the `source` column) the documents that have a line are counted. Copies of one document must not make its
-lines look like boilerplate, so documents with the same set of line hashes count once; documents that differ in any line count
-each, however many lines they share. A line is removed where more than `MIN_DOCS` different documents and more than `SHARE` of
-the host's documents have it. A document is depleted, and rejected, if removed lines leave it under `LEAST_WORDS` words or under
+for each host (the `source` column) the different documents that have a line are counted. Documents are the same where their texts are
+equal to the last character: copies count once, among those that have a line and among the host's documents alike. A line is removed where
+more than `MIN_DOCS` different documents, and more than `SHARE` of the host's different documents, have it. A document is depleted, and rejected, if removed lines leave it under `LEAST_WORDS` words or under
 `LEAST_LEFT` of its words.
 
 A host has at most 1 / SHARE times its mean number of lines per document of such lines, so the lists of them are short; they are
 written and joined by host (Spark broadcasts them while they are small and joins with skew handling beyond that).
 
-Nulls: a null text has no words and fails; a null source is one host of its own (''). Repeated rows count as documents each and
+Nulls: a null text has no words and fails; a null source is one host of its own (''). Repeated rows are one document and
 are judged alike. Empty tables give no rows. Columns whose names clash with our own (leading `_q_`) are not looked at.
 """
 
@@ -87,7 +86,7 @@ def measures(docs: DataFrame) -> DataFrame:
     read = read.select("doc_id", "_q_host", "_q_text", words(F.col("_q_text")).alias("_q_w"), F.filter(F.split("_q_text", "\n"), lambda x: F.length(_stripped(x)) > 0).alias("_q_l"))
     return (
         with_repeat_words(read).select(
-            "doc_id", "_q_host",
+            "doc_id", "_q_host", _sign(F.col("_q_text")).alias("_q_sign"),
             F.size("_q_w").cast("long").alias("n_words"),
             F.length(F.array_join("_q_w", "")).cast("long").alias("word_chars"),
             (F.length("_q_text") - F.length(F.regexp_replace("_q_text", "[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
@@ -99,21 +98,27 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
+def _sign(text: Column) -> Column:
+    """What makes two documents one: the whole text as it is."""
+    return F.md5(text.cast("binary"))
+
+
 def frequent_lines(lines: DataFrame) -> DataFrame:
-    """_q_host and _q_cut, the hashes of its lines above the limits, from rows of _q_host and _q_lines."""
-    hosts = lines.groupBy("_q_host").agg(F.count("*").alias("_q_docs"))
-    signed = lines.select("_q_host", F.array_distinct(F.transform("_q_lines", lambda x: x["h"])).alias("_q_h"))
-    each = signed.select("_q_host", F.md5(F.array_join(F.sort_array("_q_h"), "").cast("binary")).alias("_q_sign"), F.explode("_q_h").alias("_q_h"))
-    counted = each.groupBy("_q_host", "_q_h", "_q_sign").agg(F.lit(1).alias("_q_1")).groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).where(F.col("_q_n") > MIN_DOCS)
-    return counted.join(hosts, "_q_host").where(F.col("_q_n") > F.lit(SHARE) * F.col("_q_docs")).groupBy("_q_host").agg(F.collect_list("_q_h").alias("_q_cut"))
+    """_q_host and _q_cut, the hashes of its lines above the limits, from rows of _q_host, _q_sign and _q_lines."""
+    each = lines.select("_q_host", "_q_sign", F.explode(F.array_distinct(F.transform("_q_lines", lambda x: x["h"]))).alias("_q_h"))
+    docs = lines.groupBy("_q_host", "_q_sign").agg(F.lit(1).alias("_q_1")).groupBy("_q_host").agg(F.count("*").alias("_q_docs"))
+    having = each.groupBy("_q_host", "_q_h", "_q_sign").agg(F.lit(1).alias("_q_1"))
+    counted = having.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).where(F.col("_q_n") > MIN_DOCS)
+    return counted.join(docs, "_q_host").where(F.col("_q_n") > F.lit(SHARE) * F.col("_q_docs")).groupBy("_q_host").agg(F.collect_list("_q_h").alias("_q_cut"))
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """Add words_removed, depleted and kept to a written table of measures."""
     cut = written(frequent_lines(measured), "lines")
-    removed = F.aggregate(F.filter("_q_lines", lambda x: F.array_contains(F.col("_q_cut"), x["h"])), F.lit(0), lambda a, x: a + x["n"])
+    removed = F.aggregate(F.filter("_q_lines", lambda x: F.array_contains(F.col("_q_hit"), x["h"])), F.lit(0), lambda a, x: a + x["n"])
     return (
         measured.join(cut, "_q_host", "left")
+        .withColumn("_q_hit", F.array_intersect(F.transform("_q_lines", lambda x: x["h"]), "_q_cut"))  # by hash, so that lines are not compared with the whole list
         .withColumn("words_removed", F.when(F.col("_q_cut").isNull(), 0).otherwise(removed).cast("long"))
         .withColumn("depleted", (F.col("words_removed") > 0) & ((F.col("n_words") - F.col("words_removed") < LEAST_WORDS) | (F.col("n_words") - F.col("words_removed") < F.lit(LEAST_LEFT) * F.col("n_words"))))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
@@ -132,14 +137,16 @@ def clean(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = carried.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_q_host"),
+        _sign(text).alias("_q_sign"),
         F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(_stripped(x)) > 0), lambda x: F.struct(_line_hash(x).alias("h"), F.lit(0).alias("n"))).alias("_q_lines"),
     )
     cut = written(frequent_lines(lines), "lines")
     none = F.array().cast("array<string>")
     joined = carried.withColumn("_q_host", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(cut, "_q_host", "left").withColumn("_q_cut", F.coalesce("_q_cut", none))
-    parts = joined.select(
+    hit = F.array_intersect(F.transform(F.split(text, "\n"), _line_hash), "_q_cut")
+    parts = joined.withColumn("_q_hit", F.when(F.size("_q_cut") == 0, none).otherwise(hit)).select(
         "_q_row", text.alias("_q_text"), words(text).alias("_q_w"),
-        F.when(F.size("_q_cut") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_q_cut"), _line_hash(x))), "\n")).alias("_q_left"),
+        F.when(F.size("_q_hit") == 0, text).otherwise(F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("_q_hit"), _line_hash(x))), "\n")).alias("_q_left"),
     )
     parts = with_repeat_words(parts).select("_q_row", "_q_left", "n_repeat_words", F.size("_q_w").alias("_q_n"), F.size(words(F.col("_q_left"))).alias("_q_m"))
     n, left = F.col("_q_n"), F.col("_q_m")
@@ -162,9 +169,9 @@ p AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
 g AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i], w[i+1], w[i+2]) AS c FROM p),
 c AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i+1, i+2]) AS k FROM g WHERE c > 1) GROUP BY r),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, l, count(*) AS c FROM l GROUP BY r, l) GROUP BY r),
-sg AS (SELECT r, md5(string_agg(h, '' ORDER BY h)) AS s FROM (SELECT DISTINCT r, h FROM l) GROUP BY r),
+sg AS (SELECT r, host, md5(t) AS s FROM d),
 cnt AS (SELECT l.host, l.h, count(DISTINCT sg.s) AS n FROM l JOIN sg USING (r) GROUP BY l.host, l.h),
-hs AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+hs AS (SELECT host, count(DISTINCT s) AS n FROM sg GROUP BY host),
 cut AS (SELECT cnt.host, cnt.h FROM cnt JOIN hs USING (host) WHERE cnt.n > {MIN_DOCS} AND cnt.n > {SHARE}::DOUBLE * hs.n),
 rem AS (SELECT l.r, sum(l.n) AS n FROM l JOIN cut USING (host, h) GROUP BY l.r),
 m AS (SELECT w.doc_id, len(w.w)::BIGINT AS n_words, length(array_to_string(w.w, ''))::BIGINT AS word_chars,
