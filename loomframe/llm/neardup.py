@@ -6,25 +6,28 @@
    BANDS**2 * 2 * ROWS. A text is paired up only over keys of either collection that at least one other text has.
 3. A bucket is a (table, left key, right key). Each of its texts is compared with the bucket's first text on the full sets, and
    links are closed to components.
-4. Texts of buckets that still hold several components are compared in full: such buckets that have texts in common are one group,
-   a group's texts are dealt into blocks of about `BLOCK` shingles, and a task compares all texts of two blocks by multiplying
-   their incidence matrices. Only one link for each two components leaves a task, so no list of pairs is ever made.
-   A group's largest component is not compared with itself. Nothing is capped: every pair that shares a bucket is either in
-   one component or has been compared.
+4. Buckets that still hold several components are open. Many unlike texts can share buckets (a template with a few words filled in),
+   so these are not compared with each other: an open text is listed under the rarest fifth of its shingles, and two sets
+   with a similarity of 0.8 must meet in a list (of two sets that are so alike, one of the |x| - ceil(0.8 |x|) + 1 rarest of each
+   is common). Lists of one text, or of one component, are done; a template's own words are in no list, as they are not rare. Texts of
+   a short list (`FEW`) are compared with each other, those of a longer one with its first, and if several components are left they
+   are dealt into blocks of about `BLOCK` shingles and at most about `TEXTS` texts; a task compares all texts of two blocks by multiplying their
+   incidence matrices. Only one link for each two components leaves a task, so no list of pairs is ever made. Nothing is
+   capped: all open texts are compared wherever they can be similar enough.
 
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
 Nulls and texts without words have an empty set, are linked with nothing and are their own component. Repeated rows are exact
 copies of each other; rows with a null id are left out of links and keep a null component. Rows that share an id but not their text
-are linked through that id, and the text whose sorted set comes first stands for it where sets are compared. Texts of any length are
-hashed whole. Of a component the smallest id is kept. Empty tables give no rows; other columns are not looked at, whatever their names.
+are linked through that id, each text with its own set. Texts of any length are hashed whole. Of a component the smallest id is kept.
+Empty tables give no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import bounded_batches, forget, written
@@ -33,6 +36,10 @@ ROWS = 3
 BANDS = 12
 #: Shingles in a block of texts that are compared with all texts of another one.
 BLOCK = 96_000
+#: Texts in a block, about: a task's matrix is at most twice this squared.
+TEXTS = 1500
+#: Texts of a list that are compared one by one.
+FEW = 6
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -104,6 +111,13 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(h)
 
 
+def text_hash(words: np.ndarray) -> int:
+    """A 64-bit hash of a sequence of word hashes."""
+    if not len(words):
+        return 0
+    return int(_mix(np.sum(_mix(words + np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(_GOLDEN)), keepdims=True)).view(np.int64)[0])
+
+
 def signature(s: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarray:
     """2 * bands keys, the left collection first; each from `rows` minhashes."""
     n = 2 * bands * rows
@@ -132,10 +146,7 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
             for text in b.column(1).to_pylist():
                 w = word_hashes(text)
                 s = shingles(text, size)
-                h = np.uint64(len(w))
-                if len(w):
-                    h = _mix(np.sum(_mix(w + np.arange(1, len(w) + 1, dtype=np.uint64) * np.uint64(_GOLDEN)), keepdims=True))[0]
-                hashes.append(np.int64(h.view(np.int64)))
+                hashes.append(text_hash(w))
                 sizes.append(len(s))
                 keys.append(signature(s, rows, bands).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hashes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "keys"])
@@ -143,45 +154,55 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and its full set of shingle hashes."""
+def text_sets(docs: DataFrame, size: int) -> DataFrame:
+    """t, the hash of the word sequence, and the full set of shingle hashes of each text."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, size).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            texts = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([text_hash(word_hashes(t)) for t in texts], pa.int64()), pa.array([shingles(t, size).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["t", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, shingles array<long>")
 
 
 def buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
-    """bucket, id and n for every table in which a text shares both its left and its right key with others."""
-    keys = reps.select("id", "n", F.posexplode("keys").alias("k", "key"))
+    """bucket, t, id and n for every table in which a text shares both its left and its right key with others."""
+    keys = reps.select("t", "id", "n", F.posexplode("keys").alias("k", "key"))
     shared = keys.groupBy("k", "key").agg(F.count("*").alias("_c")).where("_c > 1").select("k", "key")
-    mine = keys.join(shared, ["k", "key"]).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("ks"))
+    mine = keys.join(shared, ["k", "key"]).groupBy("t", "id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "key"))).alias("ks"))
     left, right = F.filter("ks", lambda x: x["k"] < bands), F.filter("ks", lambda x: x["k"] >= bands)
-    pairs = mine.select("id", "n", F.explode(left).alias("l"), right.alias("rs")).select("id", "n", "l", F.explode("rs").alias("r"))
-    return pairs.select(F.xxhash64("l.k", "l.key", "r.k", "r.key").alias("bucket"), "id", "n")
+    pairs = mine.select("t", "id", "n", F.explode(left).alias("l"), right.alias("rs")).select("t", "id", "n", "l", F.explode("rs").alias("r"))
+    return pairs.select(F.xxhash64("l.k", "l.key", "r.k", "r.key").alias("bucket"), "t", "id", "n")
 
 
 def shared_buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
-    """bucket, id and n for every text in a bucket of several, with the bucket's size `c` and its first text `f`."""
-    rows = buckets(reps, bands)
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("f")).where("c > 1")
+    """bucket, t, id and n for every text in a bucket of several, with the bucket's size `c` and its first text `f`."""
+    return with_first(buckets(reps, bands))
+
+
+def with_first(rows: DataFrame) -> DataFrame:
+    """Rows of buckets of several texts, with the bucket's size `c` and its first text `f`."""
+    first = F.struct("id", "t", "n", *(["p"] if "p" in rows.columns else []))
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(first).alias("f")).where("c > 1")
     return rows.join(groups, "bucket")
 
 
 def stars(placed: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of a bucket's first text and another one of it whose sizes allow for a link."""
-    fits = F.least("n", "f.n") * 100 >= F.greatest("n", "f.n") * SIMILARITY
-    return placed.where((F.col("id") != F.col("f.id")) & fits).select(F.col("f.id").alias("a"), F.col("id").alias("b")).distinct()
+    """Distinct pairs of a bucket's first text a and another one b of it (ids ia, ib), of another component if these are known, whose sizes allow for a link."""
+    apart = F.col("p") != F.col("f.p") if "p" in placed.columns else F.col("t") != F.col("f.t")
+    return placed.where(apart & _fits(F.col("n"), F.col("f.n"))).select(F.col("f.t").alias("a"), F.col("t").alias("b"), F.col("f.id").alias("ia"), F.col("id").alias("ib")).distinct()
+
+
+def _fits(n: Column, m: Column) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, with the sizes' ratio checked before the sets are sent."""
-    left = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("_x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("_y")), "b")
+    """(a, b), the ids of the pairs whose full sets are similar enough."""
+    left = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("_x")), "a")
+    both = left.join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.select("a", "b", common.alias("_i"), (F.size("_x") + F.size("_y")).alias("_t")).where(F.col("_i") * 100 >= (F.col("_t") - F.col("_i")) * SIMILARITY).select("a", "b")
+    return both.select("ia", "ib", common.alias("_i"), (F.size("_x") + F.size("_y")).alias("_t")).where(F.col("_i") * 100 >= (F.col("_t") - F.col("_i")) * SIMILARITY).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct()
 
 
 #: A hub has more than one in so many of all edges; so there are at most twice as many hubs.
@@ -231,32 +252,63 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
-def open_groups(placed: DataFrame, comp: DataFrame, name: str = "groups") -> DataFrame:
-    """id, g and p for texts of buckets that hold several components: texts with one such bucket in common have one g; p is the component."""
-    rows = placed.where("c > 2").join(comp, "id", "left").select("bucket", "id", "f", F.coalesce("component", "id").alias("p"))
+def open_texts(placed: DataFrame, comp: DataFrame) -> DataFrame:
+    """t, id, n and p, the component, of the texts of buckets that hold several components."""
+    rows = placed.where("c > 2").join(comp, "id", "left").select("bucket", "t", "id", "n", F.coalesce("component", "id").alias("p"))
     split = rows.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("bucket")
-    inside = written(rows.join(split, "bucket").select("id", "p", F.col("f.id").alias("first")).distinct(), name)
-    groups = components(inside.select(F.col("id").alias("a"), F.col("first").alias("b")), name)
-    return inside.select("id", "p").distinct().join(groups.select("id", F.col("component").alias("g")), "id")
+    return rows.join(split, "bucket").groupBy("t", "id", "n", "p").agg(F.lit(1).alias("_1")).drop("_1")
+
+
+def rare_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """bucket, t, id, n and p: each text under its rarest shingles, as many as two similar sets must share one of.
+
+    Ties in rarity go by the shingle's hash, so that the order is the same for all texts. A list that has the same texts as
+    another one, as those of a passage have, is left out.
+    """
+    each = texts.join(sets, "t").select("t", "id", "n", "p", F.explode("shingles").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle of one text is in no list but takes its place among the rarest: what is left of the fifth after those.
+    mine = each.join(often, "s").groupBy("t", "id", "n", "p").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
+    first = F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100).cast("long") + 1 - (F.col("n") - F.size("x"))
+    listed = mine.where(first > 0).select("t", "id", "n", "p", F.explode(F.slice("x", F.lit(1), F.least(first, F.size("x")).cast("int"))).alias("x")).select(F.col("x.s").alias("bucket"), "t", "id", "n", "p")
+    facts = listed.groupBy("bucket").agg(F.count("*").alias("c"), F.sum(F.xxhash64("t").cast("decimal(38,0)")).alias("h"), F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi")
+    return listed.join(facts.groupBy("c", "h").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
+
+
+def short_pairs(lists: DataFrame) -> DataFrame:
+    """Distinct pairs of texts of different components in lists of at most FEW texts."""
+    short = lists.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") <= FEW).select("bucket")
+    x = lists.join(short, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "t", "n", "p"))).alias("m"))  # at most FEW
+    every = x.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, FEW), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("x"))
+    good = every.where((F.col("x.a.p") != F.col("x.b.p")) & _fits(F.col("x.a.n"), F.col("x.b.n")))
+    return good.select(F.col("x.a.t").alias("a"), F.col("x.b.t").alias("b"), F.col("x.a.id").alias("ia"), F.col("x.b.id").alias("ib")).distinct()
+
+
+def still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """t, id, p and g, the list, of lists of more than FEW texts that hold several components."""
+    now = lists.drop("p").join(comp, "id", "left").select("bucket", "t", "id", F.coalesce("component", "id").alias("p"))
+    split = now.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("c")).where((F.col("lo") < F.col("hi")) & (F.col("c") > FEW)).select("bucket")
+    return now.join(split, "bucket").select("t", "id", "p", F.col("bucket").alias("g"))
 
 
 def blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """g, lo, hi and the texts `m` of two blocks (lo = hi: of one) for all block pairs of a group in which components can meet.
 
-    A block has about `BLOCK` shingles. The texts of a group's largest component have blocks of their own, which are not paired
-    with each other. Groups with more than one in `HUBS` of all texts, so fewer than that, are broadcast to their texts; block pairs
+    A block has about `BLOCK` shingles and at most about `TEXTS` texts. The texts of a group's largest component have blocks of their own, which
+    are not paired with each other. Groups with more than one in `HUBS` of all texts, so fewer than that, are broadcast to their texts; block pairs
     are dealt by group and blocks, so a group's pairs are spread over all tasks.
     """
-    texts = sets.join(groups, "id").select("g", "p", "id", F.size("shingles").alias("n"), "shingles")
+    texts = sets.join(groups, "t").select("g", "p", "id", "t", F.size("shingles").alias("n"), "shingles")
     parts = texts.groupBy("g", "p").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
-    sizes = parts.groupBy("g").agg(F.max_by("p", F.struct("s", "p")).alias("main"), F.max("s").alias("s_main"), F.sum("s").alias("s_all"), F.sum("c").alias("c"))
-    n_main, n_rest = (F.greatest(F.ceil(x / F.lit(float(BLOCK))), F.lit(1)).cast("int") for x in (F.col("s_main"), F.col("s_all") - F.col("s_main")))
-    about = sizes.select("g", "c", F.struct("main", n_main.alias("k"), n_rest.alias("r")).alias("d"))
+    sizes = parts.groupBy("g").agg(F.max_by(F.struct("p", "s", "c"), F.struct("s", "p")).alias("main"), F.sum("s").alias("s"), F.sum("c").alias("c"))
+    cut = lambda s, c: F.greatest(F.ceil(s / F.lit(float(BLOCK))), F.ceil(c / F.lit(float(TEXTS))), F.lit(1)).cast("int")
+    n_main, n_rest = cut(F.col("main.s"), F.col("main.c")), cut(F.col("s") - F.col("main.s"), F.col("c") - F.col("main.c"))
+    about = sizes.select("g", "c", F.struct(F.col("main.p").alias("main"), n_main.alias("k"), n_rest.alias("r")).alias("d"))
     large = F.col("c") > max(64, groups.count() // HUBS)
     marked = texts.join(F.broadcast(about.where(large).select("g", "d")), "g", "left")
-    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "shingles", "d.*")
+    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "t", "shingles", "d.*")
     is_main = F.col("p") == F.col("main")
-    block = F.when(is_main, F.pmod(F.xxhash64("id"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("id"), "r")).cast("int")
+    block = F.when(is_main, F.pmod(F.xxhash64("t"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("t"), "r")).cast("int")
     other = F.when(is_main, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
     sent = dealt.select("g", "p", "id", "shingles", block.alias("b"), F.explode(other).alias("o"))
     pairs = sent.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "p", "b", "shingles").alias("x"))
@@ -316,23 +368,38 @@ def block_links(paired: DataFrame) -> DataFrame:
     return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long")
 
 
+def same_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): an id of several texts with the id that stands for each of them."""
+    several = signed.groupBy("doc_id").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where("lo < hi").select("doc_id")
+    texts = signed.join(several, "doc_id").select("doc_id", F.col("text_hash").alias("t")).distinct()
+    return texts.join(reps.select("t", "id"), "t").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
+
+
 def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles and component_id for each row."""
     signed = written(signatures(docs, size, rows, bands), "signed")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(real.groupBy("text_hash", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("keys", "doc_id").alias("keys")).withColumnRenamed("n_shingles", "n"), "reps")
+    reps = written(real.groupBy("text_hash").agg(F.min("doc_id").alias("id"), F.min("n_shingles").alias("n"), F.min_by("keys", "doc_id").alias("keys")).withColumnRenamed("text_hash", "t"), "reps")
     placed = written(shared_buckets(reps, bands), "buckets")
-    ids = placed.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(shingle_sets(docs.join(ids, "doc_id", "left_semi"), size).groupBy("doc_id").agg(F.min("shingles").alias("shingles")).withColumnRenamed("doc_id", "id"), "sets")
-    links = written(confirm(stars(placed), sets), "links")
+    # The full set of one row of each text that has a bucket, found by its id; an id's other texts come along and are left out by their hash.
+    wanted = placed.select(F.col("id").alias("doc_id")).distinct()
+    sets = written(text_sets(docs.join(wanted, "doc_id", "left_semi"), size).join(placed.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("shingles").alias("shingles")), "sets")
+    links = written(confirm(stars(placed), sets).unionByName(same_ids(real, reps)), "links")
     comp = components(links)
-    groups = written(open_groups(placed, comp), "open")
-    if not groups.isEmpty():
-        more = written(block_links(blocks(sets, groups)), "links")
+    opened = written(open_texts(placed, comp), "open")
+    if not opened.isEmpty():
+        lists = written(rare_lists(opened, sets), "lists")
+        more = written(confirm(short_pairs(lists).unionByName(stars(with_first(lists))).distinct(), sets), "links")
         if not more.isEmpty():
-            comp = components(links.union(more))
-    member = reps.select("text_hash", F.col("n").alias("n_shingles"), "id").join(comp, "id", "left").select("text_hash", "n_shingles", F.coalesce("component", "id").alias("_component"))
-    named = signed.select("doc_id", "text_hash", "n_shingles").join(member, ["text_hash", "n_shingles"], "left")
+            links = links.union(more)
+            comp = components(links)
+        groups = written(still_open(lists, comp), "open")
+        if not groups.isEmpty():
+            rest = written(block_links(blocks(sets, groups)), "links")
+            if not rest.isEmpty():
+                comp = components(links.union(rest))
+    member = reps.select(F.col("t").alias("text_hash"), "id").join(comp, "id", "left").select("text_hash", F.coalesce("component", "id").alias("_component"))
+    named = signed.select("doc_id", "text_hash", "n_shingles").join(member, "text_hash", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
     return named.select("doc_id", "n_shingles", own.alias("component_id"))
 
