@@ -9,11 +9,12 @@
 4. Buckets that still hold several components are open. Many unlike texts can share buckets (a template with a few words filled in),
    so these are not compared with each other: an open text is listed under the rarest fifth of its shingles, and two sets
    with a similarity of 0.8 must meet in a list (of two sets that are so alike, one of the |x| - ceil(0.8 |x|) + 1 rarest of each
-   is common). Lists of one text, or of one component, are done; a template's own words are in no list, as they are not rare. Texts of
-   a short list (`FEW`) are compared with each other, those of a longer one with its first, and if several components are left they
-   are dealt into blocks of about `BLOCK` shingles and at most about `TEXTS` texts; a task compares all texts of two blocks by multiplying their
-   incidence matrices. Only one link for each two components leaves a task, so no list of pairs is ever made. Nothing is
-   capped: all open texts are compared wherever they can be similar enough.
+   is common). Lists of one text, or of one component, are done; a template's own words are in no list, as they are not rare. The texts
+   of a list are dealt into blocks of at most about `TEXTS` texts and `BLOCK` bytes of their parity bitmaps, and a task compares all
+   texts of two blocks by these. Nothing is capped: all open texts are compared wherever they can be similar enough.
+5. A text's parity bitmap has about one bit for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
+   most as many bits as the sets differ in shingles, so pairs that differ in too many are no links; only the others are confirmed on
+   the full sets, which are 64 times as large.
 
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
@@ -34,12 +35,9 @@ from .shared import bounded_batches, forget, written
 
 ROWS = 3
 BANDS = 12
-#: Shingles in a block of texts that are compared with all texts of another one.
-BLOCK = 96_000
-#: Texts in a block, about: a task's matrix is at most twice this squared.
+#: Bytes of bitmaps, and texts, in a block of texts that are compared with all texts of another one.
+BLOCK = 1 << 20
 TEXTS = 1500
-#: Texts of a list that are compared one by one.
-FEW = 6
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -154,15 +152,30 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """The parity bitmap of a set of hashes: a power of two of bits, 64 at least and no fewer than there are hashes."""
+    n = max(64, 1 << int(len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) as those of fewer bits."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
+
+
 def text_sets(docs: DataFrame, size: int) -> DataFrame:
-    """t, the hash of the word sequence, and the full set of shingle hashes of each text."""
+    """t, the hash of the word sequence, the full set of shingle hashes of each text, and its parity bitmap."""
 
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([text_hash(word_hashes(t)) for t in texts], pa.int64()), pa.array([shingles(t, size).view(np.int64) for t in texts], pa.list_(pa.int64()))], names=["t", "shingles"])
+            sets = [shingles(t, size) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([text_hash(word_hashes(t)) for t in texts], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())],
+                names=["t", "shingles", "bits"],
+            )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, shingles array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, shingles array<long>, bits binary")
 
 
 def buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -177,29 +190,40 @@ def buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
 
 def shared_buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
     """bucket, t, id and n for every text in a bucket of several, with the bucket's size `c` and its first text `f`."""
-    return with_first(buckets(reps, bands))
-
-
-def with_first(rows: DataFrame) -> DataFrame:
-    """Rows of buckets of several texts, with the bucket's size `c` and its first text `f`."""
-    first = F.struct("id", "t", "n", *(["p"] if "p" in rows.columns else []))
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(first).alias("f")).where("c > 1")
+    rows = buckets(reps, bands)
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min(F.struct("id", "t", "n")).alias("f")).where("c > 1")
     return rows.join(groups, "bucket")
 
 
 def stars(placed: DataFrame) -> DataFrame:
-    """Distinct pairs of a bucket's first text a and another one b of it (ids ia, ib), of another component if these are known, whose sizes allow for a link."""
-    apart = F.col("p") != F.col("f.p") if "p" in placed.columns else F.col("t") != F.col("f.t")
-    return placed.where(apart & _fits(F.col("n"), F.col("f.n"))).select(F.col("f.t").alias("a"), F.col("t").alias("b"), F.col("f.id").alias("ia"), F.col("id").alias("ib")).distinct()
+    """Distinct pairs of a bucket's first text a and another one b of it (ids ia, ib), whose sizes allow for a link."""
+    return placed.where((F.col("t") != F.col("f.t")) & _fits(F.col("n"), F.col("f.n"))).select(F.col("f.t").alias("a"), F.col("t").alias("b"), F.col("f.id").alias("ia"), F.col("id").alias("ib")).distinct()
 
 
 def _fits(n: Column, m: Column) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
 
 
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than linked sets can differ in shingles."""
+    side = lambda c, n: sets.select(F.col("t").alias(c), F.col("bits").alias(f"{n}b"), F.size("shingles").alias(f"{n}n"))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "ia", "ib", "xb", "yb", (F.col("xn") + F.col("yn")).alias("n"))
+
+    def run(batches):
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for i, (x, y, n) in enumerate(zip(b.column(4).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist(), strict=True)):
+                x, y = (np.frombuffer(v, np.uint8)[None] for v in (x, y))
+                size = min(x.shape[1], y.shape[1])
+                keep[i] = int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) * (100 + SIMILARITY) <= n * (100 - SIMILARITY)
+            yield b.filter(pa.array(keep)).select([0, 1, 2, 3])
+
+    return both.mapInArrow(run, "a long, b long, ia long, ib long")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b), the ids of the pairs whose full sets are similar enough."""
-    left = pairs.join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("_x")), "a")
+    left = likely(pairs, sets).join(sets.select(F.col("t").alias("a"), F.col("shingles").alias("_x")), "a")
     both = left.join(sets.select(F.col("t").alias("b"), F.col("shingles").alias("_y")), "b")
     common = F.size(F.array_intersect("_x", "_y"))
     return both.select("ia", "ib", common.alias("_i"), (F.size("_x") + F.size("_y")).alias("_t")).where(F.col("_i") * 100 >= (F.col("_t") - F.col("_i")) * SIMILARITY).select(F.col("ia").alias("a"), F.col("ib").alias("b")).distinct()
@@ -265,7 +289,7 @@ def rare_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     Ties in rarity go by the shingle's hash, so that the order is the same for all texts. A list that has the same texts as
     another one, as those of a passage have, is left out.
     """
-    each = texts.join(sets, "t").select("t", "id", "n", "p", F.explode("shingles").alias("s"))
+    each = texts.join(sets.select("t", "shingles"), "t").select("t", "id", "n", "p", F.explode("shingles").alias("s"))
     often = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     # A shingle of one text is in no list but takes its place among the rarest: what is left of the fifth after those.
     mine = each.join(often, "s").groupBy("t", "id", "n", "p").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))
@@ -275,97 +299,70 @@ def rare_lists(texts: DataFrame, sets: DataFrame) -> DataFrame:
     return listed.join(facts.groupBy("c", "h").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket")
 
 
-def short_pairs(lists: DataFrame) -> DataFrame:
-    """Distinct pairs of texts of different components in lists of at most FEW texts."""
-    short = lists.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") <= FEW).select("bucket")
-    x = lists.join(short, "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("id", "t", "n", "p"))).alias("m"))  # at most FEW
-    every = x.select(F.explode(F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, FEW), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("x"))
-    good = every.where((F.col("x.a.p") != F.col("x.b.p")) & _fits(F.col("x.a.n"), F.col("x.b.n")))
-    return good.select(F.col("x.a.t").alias("a"), F.col("x.b.t").alias("b"), F.col("x.a.id").alias("ia"), F.col("x.b.id").alias("ib")).distinct()
-
-
-def still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """t, id, p and g, the list, of lists of more than FEW texts that hold several components."""
-    now = lists.drop("p").join(comp, "id", "left").select("bucket", "t", "id", F.coalesce("component", "id").alias("p"))
-    split = now.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.count("*").alias("c")).where((F.col("lo") < F.col("hi")) & (F.col("c") > FEW)).select("bucket")
-    return now.join(split, "bucket").select("t", "id", "p", F.col("bucket").alias("g"))
-
-
-def blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
-    """g, lo, hi and the texts `m` of two blocks (lo = hi: of one) for all block pairs of a group in which components can meet.
+def blocks(sets: DataFrame, lists: DataFrame) -> DataFrame:
+    """g, lo, hi and the texts `m` of two blocks (lo = hi: of one) for all block pairs of a list in which components can meet.
 
-    A block has about `BLOCK` shingles and at most about `TEXTS` texts. The texts of a group's largest component have blocks of their own, which
-    are not paired with each other. Groups with more than one in `HUBS` of all texts, so fewer than that, are broadcast to their texts; block pairs
-    are dealt by group and blocks, so a group's pairs are spread over all tasks.
+    The texts of a list's largest component have blocks of their own, which are not paired with each other. Lists with more than one in
+    `HUBS` of all rows, so fewer than that, are broadcast to their texts; block pairs are dealt by list and blocks, so a list's pairs
+    are spread over all tasks.
     """
-    texts = sets.join(groups, "t").select("g", "p", "id", "t", F.size("shingles").alias("n"), "shingles")
-    parts = texts.groupBy("g", "p").agg(F.sum("n").alias("s"), F.count("*").alias("c"))
+    texts = lists.withColumnRenamed("bucket", "g").join(sets.select("t", "bits"), "t").select("g", "p", "id", "t", "n", "bits")
+    parts = texts.groupBy("g", "p").agg(F.sum(F.length("bits")).alias("s"), F.count("*").alias("c"))
     sizes = parts.groupBy("g").agg(F.max_by(F.struct("p", "s", "c"), F.struct("s", "p")).alias("main"), F.sum("s").alias("s"), F.sum("c").alias("c"))
     cut = lambda s, c: F.greatest(F.ceil(s / F.lit(float(BLOCK))), F.ceil(c / F.lit(float(TEXTS))), F.lit(1)).cast("int")
     n_main, n_rest = cut(F.col("main.s"), F.col("main.c")), cut(F.col("s") - F.col("main.s"), F.col("c") - F.col("main.c"))
     about = sizes.select("g", "c", F.struct(F.col("main.p").alias("main"), n_main.alias("k"), n_rest.alias("r")).alias("d"))
-    large = F.col("c") > max(64, groups.count() // HUBS)
+    large = F.col("c") > max(64, lists.count() // HUBS)
     marked = texts.join(F.broadcast(about.where(large).select("g", "d")), "g", "left")
-    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "t", "shingles", "d.*")
+    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "t", "n", "bits", "d.*")
     is_main = F.col("p") == F.col("main")
     block = F.when(is_main, F.pmod(F.xxhash64("t"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("t"), "r")).cast("int")
     other = F.when(is_main, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
-    sent = dealt.select("g", "p", "id", "shingles", block.alias("b"), F.explode(other).alias("o"))
-    pairs = sent.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "p", "b", "shingles").alias("x"))
+    sent = dealt.select("g", "p", "id", "t", "n", "bits", block.alias("b"), F.explode(other).alias("o"))
+    pairs = sent.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "t", "p", "b", "n", "bits").alias("x"))
     return pairs.repartition("g", "lo", "hi").groupBy("g", "lo", "hi").agg(F.collect_list("x").alias("m"))
 
 
-def _side(members: pa.StructArray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All shingles of the members `at`, and to which of them each belongs."""
-    lists = members.field(3).take(pa.array(at))
-    return lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(at)), lists.value_lengths().to_numpy(zero_copy_only=False))
-
-
-def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
-    """Sizes of the intersections of all sets on one side with all on the other."""
-    shared = np.intersect1d(a[0], b[0])
-    out = np.zeros(rows, np.float32)
-    sides = []
-    for tokens, owner in (a, b):
-        k = np.minimum(np.searchsorted(shared, tokens), max(0, len(shared) - 1))
-        good = shared[k] == tokens if len(shared) else np.zeros(len(tokens), bool)
-        order = np.argsort(k[good], kind="stable")
-        sides.append((k[good][order], owner[good][order]))
-    for start in range(0, len(shared), 2048):
-        dense = []
-        for (k, owner), n in zip(sides, rows, strict=True):
-            lo, hi = np.searchsorted(k, (start, start + 2048))
-            x = np.zeros((n, min(2048, len(shared) - start)), np.float32)
-            x[owner[lo:hi], k[lo:hi] - start] = 1
-            dense.append(x)
-        out += dense[0] @ dense[1].T
-    return out
-
-
-def block_links(paired: DataFrame) -> DataFrame:
-    """(a, b): for each two components with a link between the two blocks, one such link."""
+def _near(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a text of `left` and one of `right` whose bitmaps and sizes allow for a link."""
+    sizes = np.array([len(b) for b in bits])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in np.unique(sizes[right]):
+        these = right[sizes[right] == size]
+        own = np.frombuffer(b"".join(bits[k] for k in these), np.uint8).reshape(len(these), size)
+        for i in left:
+            small = min(size, sizes[i])
+            if max(size, sizes[i]) > 2 * small:  # too unlike in size
+                continue
+            x = folded(np.frombuffer(bits[i], np.uint8)[None], small)
+            differ = np.bitwise_count((own if small == size else folded(own, small)) ^ x).sum(axis=1, dtype=np.int64)
+            fits = (differ * (100 + SIMILARITY) <= (n[these] + n[i]) * (100 - SIMILARITY)) & (np.minimum(n[these], n[i]) * 100 >= np.maximum(n[these], n[i]) * SIMILARITY)
+            at = these[fits]
+            found.append((np.full(len(at), i), at))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def block_pairs(paired: DataFrame) -> DataFrame:
+    """Distinct pairs (texts a, b; ids ia, ib) of different components in two blocks that may be links by their bitmaps."""
 
     def run(batches):
         for batch in batches:
-            found: list[list[int]] = [[], []]
             for row in range(batch.num_rows):
                 lo, hi, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values
-                ids, comp, block = (members.field(i).to_numpy() for i in range(3))
-                n = members.field(3).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                ids, texts, comp, block, n = (members.field(i).to_numpy() for i in range(5))
                 left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
                 if not len(left) or not len(right) or len(np.unique(comp)) < 2:
                     continue
-                common = _common(_side(members, left), _side(members, right), (len(left), len(right))).astype(np.int64)
-                near = common * 100 >= (n[left][:, None] + n[right][None, :] - common) * SIMILARITY
-                i, j = np.nonzero(near & (comp[left][:, None] != comp[right][None, :]))
-                x, y = left[i], right[j]
-                key = np.stack([np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])])
-                _, one = np.unique(key, axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
-                found[0] += np.minimum(ids[x[one]], ids[y[one]]).tolist()
-                found[1] += np.maximum(ids[x[one]], ids[y[one]]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
+                i, j = _near(members.field(5).to_pylist(), n, left, right)
+                good = (comp[i] != comp[j]) & ((ids[i] < ids[j]) | (lo != hi))
+                i, j = i[good], j[good]
+                swap = ids[i] > ids[j]
+                i, j = np.where(swap, j, i), np.where(swap, i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (texts[i], texts[j], ids[i], ids[j])], names=["a", "b", "ia", "ib"])
 
-    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long")
+    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long, ia long, ib long").distinct()
 
 
 def same_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -383,21 +380,16 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     placed = written(shared_buckets(reps, bands), "buckets")
     # The full set of one row of each text that has a bucket, found by its id; an id's other texts come along and are left out by their hash.
     wanted = placed.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(text_sets(docs.join(wanted, "doc_id", "left_semi"), size).join(placed.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("shingles").alias("shingles")), "sets")
+    sets = written(text_sets(docs.join(wanted, "doc_id", "left_semi"), size).join(placed.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
     links = written(confirm(stars(placed), sets).unionByName(same_ids(real, reps)), "links")
     comp = components(links)
     opened = written(open_texts(placed, comp), "open")
     if not opened.isEmpty():
         lists = written(rare_lists(opened, sets), "lists")
-        more = written(confirm(short_pairs(lists).unionByName(stars(with_first(lists))).distinct(), sets), "links")
+        pairs = written(block_pairs(blocks(sets, lists)), "pairs")
+        more = written(confirm(pairs, sets), "links")
         if not more.isEmpty():
-            links = links.union(more)
-            comp = components(links)
-        groups = written(still_open(lists, comp), "open")
-        if not groups.isEmpty():
-            rest = written(block_links(blocks(sets, groups)), "links")
-            if not rest.isEmpty():
-                comp = components(links.union(rest))
+            comp = components(links.union(more))
     member = reps.select(F.col("t").alias("text_hash"), "id").join(comp, "id", "left").select("text_hash", F.coalesce("component", "id").alias("_component"))
     named = signed.select("doc_id", "text_hash", "n_shingles").join(member, "text_hash", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))

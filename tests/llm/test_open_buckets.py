@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from loomframe.llm import neardup
@@ -30,7 +31,6 @@ def near_texts(seed, families, members):
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_a_template(spark, monkeypatch, seed):
     monkeypatch.setattr(neardup, "TEXTS", 7)
-    monkeypatch.setattr(neardup, "FEW", 3)
     texts = near_texts(seed, 12, 8)
     # With one row a band nearly all texts share buckets, so that what is open is compared by lists and blocks.
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
@@ -45,7 +45,7 @@ def test_lists_are_complete(spark):
     frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     found = neardup.text_sets(frame, 2).join(neardup.signatures(frame, 2).selectExpr("text_hash AS t", "doc_id AS id", "n_shingles AS n"), "t").distinct()
     rows = found.selectExpr("t", "id", "n", "id AS p")
-    lists = neardup.rare_lists(rows, found.select("t", "shingles").dropDuplicates(["t"])).collect()
+    lists = neardup.rare_lists(rows, found.select("t", "shingles", "bits").dropDuplicates(["t"])).collect()
     at = {}
     for r in lists:
         at.setdefault(r.bucket, set()).add(r.id)
@@ -55,6 +55,25 @@ def test_lists_are_complete(spark):
     assert linked and all(p in meet for p in linked)
 
 
+def test_bitmaps_lose_no_link():
+    """A bitmap's distance is at most the sets' own, however many bits either has; and blocks find what full sets say."""
+    draw = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(draw.integers(1, 400))
+        x = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[draw.random(len(x)) > draw.random() * 0.4], draw.integers(0, 2**63, int(draw.integers(0, 60))).astype(np.uint64)]))
+        if not len(y):
+            continue
+        a, b = (np.frombuffer(neardup.parity(v), np.uint8)[None] for v in (x, y))
+        size = min(a.shape[1], b.shape[1])
+        far = int(np.bitwise_count(neardup.folded(a, size) ^ neardup.folded(b, size)).sum())
+        common = len(np.intersect1d(x, y))
+        assert far <= len(x) + len(y) - 2 * common
+        linked = common * 100 >= (len(x) + len(y) - common) * 80
+        i, j = neardup._near([neardup.parity(x), neardup.parity(y)], np.array([len(x), len(y)]), np.array([0]), np.array([1]))
+        assert not linked or (i.tolist(), j.tolist()) == ([0], [1])
+
+
 def test_unlike_texts_of_one_template(spark):
     """Thousands of log lines, no two of them linked: the lists stay short, so nothing is compared in blocks."""
     draw = random.Random(1)
