@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.permute import permuted
 from ..functions.stats import round_half_up
 from .infer import ColumnSpec, normal_name
 
@@ -194,15 +195,11 @@ def one_to_one(parent: DataFrame, key: str, n: int, seed: int, name: str) -> Dat
 
 
 def many_to_many(left: DataFrame, left_key: str, n_right: int, low: int, high: int, seed: int, name: str) -> DataFrame:
-    """(a, b): for each left row between low and high different right rows numbered 0 to n_right - 1.
-
-    A step that has no divisor in common with n_right visits different rows without drawing again.
-    """
+    """(a, b): for each left row between low and high different right rows numbered 0 to n_right - 1, drawn without replacement."""
     a = F.col(left_key)
     n = F.least(rng.integer(rng.uniform(seed, f"links:{name}", a), low, high), F.lit(n_right))
-    start = rng.integer(rng.uniform(seed, f"start:{name}", a), 0, n_right - 1)
-    prime = next(p for p in (7919, 104729, 1299709) if n_right % p)
-    return left.select(a.alias("a"), start.alias("_s"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))).alias("_k")).select("a", F.pmod(F.col("_s") + F.col("_k") * F.lit(prime).cast("long"), F.lit(n_right).cast("long")).alias("b"))
+    each = left.select(a.alias("a"), F.explode(F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))).alias("_k"))
+    return each.select("a", permuted(F.col("_k"), n_right, seed, f"partner:{name}", F.col("a")).alias("b"))
 
 
 def number_rows(df: DataFrame, order: list[str]) -> DataFrame:
@@ -252,10 +249,11 @@ def design_problems(specs: dict[str, list[ColumnSpec]], links: list[Relationship
     drivers = [x.child for x in links if x.cardinality != "N:N" and x.high is not None]
     found += [f"{t}: {drivers.count(t)} links set its number of rows" for t in sorted(set(drivers)) if drivers.count(t) > 1]
     for r in totals:
-        kind = types.get((r.parent, r.column))
-        found += [f"{r.parent}.{r.column} " + ("does not exist" if kind is None else "is not a number")] * (kind not in number)
-        if not any((x.parent, x.child) == (r.parent, r.child) and x.cardinality != "N:N" for x in links):
-            found.append(f"no link from {r.child} to {r.parent} for {r.parent}.{r.column}")
+        parent, child = r.link.parent, r.link.child
+        kind = types.get((parent, r.column))
+        found += [f"{parent}.{r.column} " + ("does not exist" if kind is None else "is not a number")] * (kind not in number)
+        if not any((x.parent, x.child) == (parent, child) and x.cardinality != "N:N" for x in links):
+            found.append(f"no link from {child} to {parent} for {parent}.{r.column}")
     if not found:
         try:
             wide, direct, _ = expand_many_to_many(specs, links)

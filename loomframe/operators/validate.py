@@ -147,6 +147,12 @@ def null_rates(df: DataFrame, columns: list[str], target: float) -> DataFrame:
     return found.select("column", "rate", F.when(F.abs(F.col("rate") - target) <= allowed, "passed").otherwise("warning").alias("status"))
 
 
+def null_gaps(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, rate_a, rate_b, null_gap): how far the null rates of two tables are apart."""
+    rates = lambda df, n: long_form(df, columns, "string").groupBy("column").agg(F.avg(F.col("value").isNull().cast("double")).alias(n))
+    return rates(a, "rate_a").join(rates(b, "rate_b"), "column").select("column", "rate_a", "rate_b", (F.col("rate_a") - F.col("rate_b")).alias("null_gap"))
+
+
 def statement_check(ledger: DataFrame, account: str, order: list[str], credit: Column, debit: Column, balance: Column | None = None) -> DataFrame:
     """Rows with running_balance and out_of_order, summed within each account."""
     from pyspark.sql import Window

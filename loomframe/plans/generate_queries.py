@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rng
+from ..functions import permute, rng
 from ..functions.stats import quantile_function
-from ..operators import documents, generate, profile, quality, relational, rules, tabular, utility, validate
+from ..operators import design, documents, generate, profile, quality, redraw, relational, rules, tabular, utility, validate
 from ..operators.infer import ColumnSpec
 from .catalogue import query, table
 
@@ -58,11 +58,21 @@ def rel_one_to_one(spark, sf):
     return relational.one_to_one(table(spark, sf, "customer"), "c_custkey", 50, 42, "t")
 
 
-@query(f"""SELECT a, (s + k * 7919) % 100 AS b FROM (SELECT c_custkey AS a, floor({_u('start:t')} * 100)::BIGINT AS s, unnest(range(0, (1 + floor({_u('links:t')} * 4))::BIGINT)) AS k FROM customer)""")
+_LINKS = f"SELECT c_custkey AS a, unnest(range(0, (1 + floor({_u('links:t')} * 4))::BIGINT)) AS k FROM customer"
+
+
+@query(f"SELECT a, b FROM ({permute.permuted_sql(_LINKS, 'k', 100, 42, 'partner:t', 'a', 'b')})")
 def rel_many_to_many(spark, sf):
     return relational.many_to_many(table(spark, sf, "customer"), "c_custkey", 100, 1, 4, 42, "t")
 
 
+@query(f"SELECT p_partkey, place FROM ({permute.permuted_sql('SELECT p_partkey FROM part WHERE p_partkey BETWEEN 1 AND 197', 'p_partkey - 1', 197, 42, 'parts', None, 'place')})")
+def rel_permutation(spark, sf):
+    """The first parts in another order, a number of them that no grid fits."""
+    rows = table(spark, sf, "part").where("p_partkey BETWEEN 1 AND 197")  # the length of the permutation, a constant of its SQL
+    return rows.select("p_partkey", permute.permuted(F.col("p_partkey") - 1, 197, 42, "parts").alias("place"))
+
+
 def _learnt(spark, sf):
     original = table(spark, sf, "orders")
     return original, generate.learn(original, ORDERS)
@@ -83,7 +93,8 @@ def generate_orders_quality(spark, sf):
     ks = [validate.ks_statistic(made.select(profile.numeric_view(F.col(c), k).alias(c)), original.select(profile.numeric_view(F.col(c), k).alias(c)), c).select(F.lit(c).alias("column"), F.col("d").alias("ks_d")) for c, k in (("o_totalprice", "float"), ("o_orderdate", "datetime"))]
     tvd = [validate.total_variation(made, original, c).select(F.lit(c).alias("column"), "tvd") for c in ("o_orderstatus", "o_orderpriority")]
     metrics = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*ks, *tvd])
-    metrics = metrics.withColumns({"null_gap": F.lit(0.0), "leaked": F.lit(None).cast("long"), "unique_extra": F.lit(None).cast("long")}).unionByName(validate.uniqueness(made, ["o_orderkey"]).select("column", F.col("n_extra").alias("unique_extra")), allowMissingColumns=True)
+    gaps = validate.null_gaps(made, original, [s.name for s in ORDERS]).select("column", "null_gap")
+    metrics = metrics.join(gaps, "column", "left").withColumns({"leaked": F.lit(None).cast("long"), "unique_extra": F.lit(None).cast("long")}).unionByName(validate.uniqueness(made, ["o_orderkey"]).select("column", F.col("n_extra").alias("unique_extra")), allowMissingColumns=True)
     view = lambda d: d.select("o_totalprice", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("day"))
     return quality.dimensions(metrics, validate.correlation_drift(view(original), view(made), ["o_totalprice", "day"]))
 
@@ -98,25 +109,96 @@ def statements_reconcile(spark, sf):
     return documents.check_statements(documents.statements(spark, table(spark, sf, "supplier").count(), 40, 42, floor=50_000), 1_000_000, 50_000)
 
 
-@query("SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_distinct FROM customer")
+@query("SELECT c_custkey AS _rid, CASE WHEN c_custkey = min(c_custkey) OVER (PARTITION BY c_mktsegment) THEN c_mktsegment ELSE c_mktsegment || '-' || c_custkey END AS v FROM customer")
 def unique_repair(spark, sf):
-    made = table(spark, sf, "customer").select(F.col("c_custkey").alias("_rid"), F.concat(F.lit("seg-"), "c_mktsegment").alias("v"))
-    return generate.make_unique(made, "v").agg(F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"))
+    """Segments told apart by their customer; the first customer of each keeps it."""
+    made = table(spark, sf, "customer").select(F.col("c_custkey").alias("_rid"), F.col("c_mktsegment").alias("v"))
+    return redraw.make_unique(made, "v")
 
 
-@query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_forbidden FROM customer")
+@query(f"""WITH n AS (SELECT list(n_name ORDER BY n_nationkey) AS names FROM nation), bad AS (SELECT list(lower(n_name)) AS bad FROM nation WHERE n_regionkey < 2),
+d AS (SELECT c_custkey, [{', '.join(f"names[1 + floor({_u('word', k=k)} * len(names))::INT]" for k in range(redraw.DRAWS + 1))}] AS d, bad FROM customer, n, bad)
+SELECT c_custkey AS _rid, list_filter(d, lambda x: NOT list_contains(bad, lower(x)))[1] AS v FROM d""")
 def forbidden_redraw(spark, sf):
-    words = list(generate.WORDS)
-    draw = lambda k: rng.pick(rng.uniform(42, "word", F.col("_rid"), k), words)
+    """A nation for each customer, none of the first two regions."""
+    nations = table(spark, sf, "nation")
+    names = [r[0] for r in nations.select("n_name").orderBy("n_nationkey").collect()]  # 25 names
+    draw = lambda k: rng.pick(rng.uniform(42, "word", F.col("_rid"), k), names)
     made = table(spark, sf, "customer").select(F.col("c_custkey").alias("_rid")).withColumn("v", draw(0))
-    forbidden = spark.createDataFrame([(w.upper(),) for w in words[:4]], "w string")
-    return generate.avoid(made, "v", forbidden, draw).agg(F.count("*").alias("n"), F.sum(F.lower("v").isin(*words[:4]).cast("long")).alias("n_forbidden"))
+    return redraw.avoid(made, "v", nations.where("n_regionkey < 2").select("n_name"), [draw(k + 1) for k in range(redraw.DRAWS)], 42)[0]
+
+
+def _edit_sql(column: str, text: bool) -> str:
+    u = lambda what: rng.uniform_sql(42, f"edit {what}:{column}", "r")
+    if not text:
+        return f"round(o * (0.99::DOUBLE + 0.02::DOUBLE * {u('side')}), 2)"
+    at = f"(floor({u('place')} * (length(o) - 1)) + 1)::BIGINT"
+    swapped, dropped = f"substr(o, 1, {at} - 1) || substr(o, {at} + 1, 1) || substr(o, {at}, 1) || substr(o, {at} + 2)", f"substr(o, 1, {at} - 1) || substr(o, {at} + 1)"
+    return f"CASE WHEN {u('mode')} < 1 / 3e0 THEN {swapped} WHEN {u('mode')} < 2 / 3e0 THEN {dropped} WHEN upper(o) = o THEN lower(o) ELSE upper(o) END"
 
 
-@query(f"SELECT count(*)::BIGINT AS n, sum(({_u('copy')} < 0.02 AND c_custkey > 0)::INT)::BIGINT AS n_copied FROM customer")
+_r = lambda what: rng.uniform_sql(42, what, "r")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS r, c_name AS n, c_acctbal AS b, CASE WHEN {_u('copy')} < 0.02 AND c_custkey > 0 THEN floor({_u('source')} * c_custkey)::BIGINT END AS s FROM customer),
+x AS (SELECT c.r, c.n, c.b, o.n AS o_n, o.b AS o_b, o.r IS NOT NULL AS hit, floor({rng.uniform_sql(42, 'edited', 'c.r')} * 2) AS w FROM c LEFT JOIN c o ON o.r = c.s)
+SELECT r AS _rid, CASE WHEN NOT hit THEN n WHEN w = 0 THEN (SELECT {_edit_sql('c_name', True)} FROM (SELECT x.o_n AS o)) ELSE o_n END AS c_name,
+CASE WHEN NOT hit THEN b WHEN w = 1 THEN (SELECT {_edit_sql('c_acctbal', False)} FROM (SELECT x.o_b AS o)) ELSE o_b END AS c_acctbal, hit AS _copied FROM x""")
 def near_duplicate_rows(spark, sf):
+    """Customers, some of whom take an earlier one's name and balance with a small edit in one of them."""
     rows = table(spark, sf, "customer").select(F.col("c_custkey").alias("_rid"), "c_name", "c_acctbal")
-    return generate.near_duplicates(rows, ["c_name", "c_acctbal"], 42).agg(F.count("*").alias("n"), F.sum(F.col("_copied").cast("long")).alias("n_copied"))
+    made = redraw.near_duplicates(rows, ["c_name", "c_acctbal"], 42)
+    return made.withColumn("_copied", F.col("_copied") & F.col("c_name").isNotNull())
+
+
+_S, _KEY = ColumnSpec, lambda n: ColumnSpec(n, "integer", "Identifier", "identifier", False, True)
+_REF = lambda n: ColumnSpec(n, "integer", "Identifier", "identifier", False)
+_SHOP = {
+    "customers": [_KEY("customer_id"), _S("full_name", "string", "Person Name", privacy="high")], "products": [_KEY("product_id")], "suppliers": [_KEY("supplier_id")],
+    "orders": [_KEY("order_id"), _REF("customer_id"), _S("order_date", "date", "Date", "datetime", False), _S("total_amount", "float", "Currency", "numeric", False)],
+    "items": [_KEY("item_id"), _REF("order_id"), _REF("product_id"), _S("quantity", "integer", "Quantity", "numeric", False), _S("unit_price", "float", "Currency", "numeric", False)],
+}
+_ITEMS = relational.Relationship("orders", "order_id", "items", "order_id", 1, 4)
+_SHOP_LINKS = (
+    relational.Relationship("customers", "customer_id", "orders", "customer_id", 0, 3), _ITEMS, relational.Relationship("products", "product_id", "items", "product_id", None, None),
+    relational.Relationship("suppliers", "supplier_id", "products", "product_id", 1, 4, "N:N"),
+)
+
+
+def _shop(spark, sf):
+    """Customers, products and suppliers as many as there are real ones, their orders and items, and who supplies what."""
+    rows = {t: table(spark, sf, real).count() for t, real in (("customers", "customer"), ("products", "part"), ("suppliers", "supplier"))}
+    return design.run(spark, design.Design(_SHOP, rows, _SHOP_LINKS, (relational.Total(_ITEMS, "total_amount", "quantity * unit_price"),)), 42)
+
+
+_shop_u = lambda t, stream, rid, k=0: rng.uniform_sql(design.table_seed(42, t), stream, rid, k)
+_price_z = f"(sqrt(-2e0 * ln(1e0 - {_shop_u('items', 'unit_price', 'r', 1)})) * cos(2e0 * pi() * {_shop_u('items', 'unit_price', 'r', 2)}))"
+_SHOP_SQL = f"""o AS (SELECT row_number() OVER (ORDER BY p, k) - 1 AS r, p + 1 AS customer_id FROM (SELECT p, unnest(range(0, floor({_shop_u('orders', 'children:orders', 'p')} * 4)::BIGINT)) AS k FROM (SELECT unnest(range(0, (SELECT count(*) FROM customer))) AS p))),
+i AS (SELECT row_number() OVER (ORDER BY p, k) - 1 AS r, p + 1 AS order_id FROM (SELECT r AS p, unnest(range(0, (1 + floor({_shop_u('items', 'children:items', 'r')} * 4))::BIGINT)) AS k FROM o)),
+f AS (SELECT r + 1 AS item_id, order_id, floor({_shop_u('items', 'parent:items:product_id', 'r')} * (SELECT count(*) FROM part))::BIGINT + 1 AS product_id,
+  floor(1 + {_shop_u('items', 'quantity', 'r')} * 20)::BIGINT AS quantity, round(least(greatest(exp(5.5::DOUBLE + {_price_z}), 1e0), 100000e0), 2) AS unit_price FROM i)"""
+
+
+@query(f"WITH {_SHOP_SQL} SELECT * FROM f")
+def design_items(spark, sf):
+    """The items of a generated shop."""
+    return _shop(spark, sf).tables["items"].select("item_id", "order_id", "product_id", "quantity", "unit_price")
+
+
+@query(f"""WITH {_SHOP_SQL}, t AS (SELECT order_id, floor(sum(quantity * unit_price) * 100 + 0.5::DOUBLE) / 100 AS total_amount FROM f GROUP BY order_id)
+SELECT r + 1 AS order_id, customer_id, (to_timestamp(1640995200 + floor({_shop_u('orders', 'order_date', 'r')} * 63072000)::BIGINT) AT TIME ZONE 'UTC')::DATE AS order_date, total_amount FROM o JOIN t ON t.order_id = r + 1""")
+def design_orders(spark, sf):
+    """The orders of a generated shop, each with the total of its items."""
+    return _shop(spark, sf).tables["orders"].select("order_id", "customer_id", "order_date", "total_amount")
+
+
+_T = "suppliers_products"
+
+
+@query()
+def design_links(spark, sf):
+    """Who supplies what in a generated shop: one to four different products for each supplier."""
+    return _shop(spark, sf).tables[_T].select("supplier_id", "product_id")
 
 
 _PATTERN = "[A-C]{2}-[0-9]{4}(x|yz)?"
