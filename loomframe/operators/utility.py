@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.stats import running_totals
+from .infer import ColumnSpec
+from .profile import order_statistics, top_values, value_counts
 
 
 def split(df: DataFrame, key: str, seed: int, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -117,13 +121,186 @@ def predictable(kind: str, real: float, base: float = 0.0) -> bool:
     return real >= 0.6 if kind == "auc" else real >= 0.1 if kind == "r2" else real - base >= 0.05
 
 
-def rank_targets(columns: list[tuple[str, str, int]]) -> list[str]:
-    """Candidate targets from (name, kind, distinct): outcomes first, people's traits last; identifiers and texts are left out."""
-    outcome = ("churn", "default", "fraud", "status", "label", "target", "outcome", "returned", "approved")
-    trait = ("age", "gender", "city", "country", "region")
-    good = [(n, k) for n, k, d in columns if k in ("categorical", "boolean", "numeric") and d > 1]
-    order = lambda x: (not any(w in x[0].lower() for w in outcome), any(w in x[0].lower() for w in trait), x[1] == "numeric", x[0])
-    return [n for n, _ in sorted(good, key=order)]
+@dataclass(frozen=True)
+class Target:
+    """A column that a model could predict: `task` is binary, classes or regression; `score` says how likely a person would pick it."""
+
+    column: str
+    task: str
+    score: float
+    reasons: tuple[str, ...]
+
+
+#: Most classes of a target, and fewest rows of each and of all.
+MOST_CLASSES, LEAST_ROWS = 20, 50
+
+
+def targets(specs: list[ColumnSpec], facts: dict[str, dict]) -> tuple[list[Target], dict[str, str]]:
+    """Columns that can be targets, the likeliest first, and why each other one can't be.
+
+    facts: for each column n_rows, n (not null), n_distinct and `least`, the rows of its rarest value. What speaks for a column is found in its
+    values and its place: two values are an outcome more often than a trait, an uneven share of them more often still, and what
+    is decided last tends to stand last in a table; a number is rather measured than decided, a class with many values rather a label.
+    """
+    good, out = [], {}
+    for i, s in enumerate(specs):
+        f = facts[s.name]
+        why = (
+            "identifies rows" if s.kind == "identifier" or s.semantic == "Identifier" else "personal" if s.privacy == "high" else "free text" if s.kind == "text" else "a date" if s.kind == "datetime"
+            else "one value" if f["n_distinct"] < 2 else "too few rows" if f["n"] < LEAST_ROWS else "too many classes" if s.kind != "numeric" and f["n_distinct"] > MOST_CLASSES else None
+        )
+        if why:
+            out[s.name] = why
+            continue
+        numeric = s.kind == "numeric" and f["n_distinct"] > 2
+        task = "regression" if numeric else "binary" if f["n_distinct"] == 2 else "classes"
+        place = (i + 1) / len(specs)
+        steps = [
+            (3.0, "two values", task == "binary"), (1.0, "a yes or a no", s.kind == "boolean"), (1.0, "one of them is rarer", task == "binary" and f["least"] / f["n"] < 0.4), (1.5, "a few classes", task == "classes" and f["n_distinct"] <= 6),
+            (0.5, "a number", numeric), (place, "stands late in the table", place > 0.5), (-1.0, "a trait of people or places", s.semantic in ("Age", "City", "Country", "Address")), (-1.0, "often missing", f["n"] < 0.8 * f["n_rows"]),
+        ]
+        hold = [(x, why) for x, why, holds in steps if holds]
+        good.append(Target(s.name, task, round(sum(x for x, _ in hold), 3), tuple(w for _, w in hold)))
+    return sorted(good, key=lambda t: (-t.score, t.column)), out
+
+
+def target_facts(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """n_rows, n, n_distinct and the rows of the rarest value of each column: a row a column."""
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])))
+    found = values.groupBy("column", "v").agg(F.count("*").alias("n")).groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("v").isNotNull(), F.col("n"))), F.lit(0)).alias("n"), F.count("v").alias("n_distinct"), F.min(F.when(F.col("v").isNotNull(), F.col("n"))).alias("least"),
+    )
+    return {r["column"]: r.asDict() for r in found.collect()}
+
+
+BINS, MOST_CATEGORIES = 32, 30
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """Cuts of numbers and codes of categories, learnt from the training rows and used for all tables."""
+
+    cuts: dict[str, list[float]]
+    codes: dict[str, list[str]]
+
+
+def encoder(train: DataFrame, numbers: list[str], categories: list[str], bins: int = BINS) -> Encoder:
+    """Exact quantiles of the numbers, and the most frequent categories."""
+    cuts: dict[str, list[float]] = {c: [] for c in numbers}
+    if numbers:
+        for r in order_statistics(value_counts(train, numbers), [i / bins for i in range(1, bins)]).orderBy("column", "k").collect():  # `bins` rows a column
+            if not cuts[r["column"]] or cuts[r["column"]][-1] < r["q"]:
+                cuts[r["column"]].append(r["q"])
+    codes: dict[str, list[str]] = {c: [] for c in categories}
+    if categories:
+        for r in top_values(train.select(*[_key(c).alias(c) for c in categories]), categories, MOST_CATEGORIES).orderBy("column", "rank").collect():
+            codes[r["column"]].append(r["value"])
+    return Encoder(cuts, codes)
+
+
+def _key(c: str) -> Column:
+    return F.lower(F.trim(F.col(f"`{c}`").cast("string")))
+
+
+def encoded(df: DataFrame, e: Encoder, label: Column) -> DataFrame:
+    """_label and a column for each feature: a number's bin from 1, a category's code from 2; 0 for null, 1 for a category not known."""
+    columns = [label.alias("_label")]
+    for c, cuts in e.cuts.items():
+        x = F.col(f"`{c}`").cast("double")
+        bin_ = F.lit(1.0)
+        for q in cuts:
+            bin_ = bin_ + (x >= F.lit(float(q))).cast("double")
+        columns.append(F.when(x.isNull() | F.isnan(x), 0.0).otherwise(bin_).alias(f"b_{c}"))
+    for c, values in e.codes.items():
+        code = F.when(_key(c).isNull(), 0.0)
+        for k, v in enumerate(values):
+            code = code.when(_key(c) == v, float(k + 2))
+        # Named as a class, so that trees split it by sets of values.
+        columns.append(code.otherwise(1.0).alias(f"c_{c}", metadata={"ml_attr": {"type": "nominal", "vals": [str(k) for k in range(len(values) + 2)]}}))
+    return df.select(*columns).where("_label IS NOT NULL")
+
+
+def _forest(train: DataFrame, test: DataFrame, task: str, seed: int) -> DataFrame:
+    """(label, predicted, score) of encoded test rows; labels are numbers, score is the chance of label 1."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.regression import RandomForestRegressor
+
+    assemble = VectorAssembler(inputCols=[c for c in train.columns if c != "_label"], outputCol="features")
+    setting = {"labelCol": "_label", "numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": max(BINS, MOST_CATEGORIES) + 2, "seed": seed}
+    if task == "regression":
+        out = RandomForestRegressor(featureSubsetStrategy="onethird", **setting).fit(assemble.transform(train)).transform(assemble.transform(test))
+        return out.select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"), F.lit(None).cast("double").alias("score"))
+    out = RandomForestClassifier(featureSubsetStrategy="sqrt", **setting).fit(assemble.transform(train)).transform(assemble.transform(test))
+    return out.select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+
+
+@dataclass(frozen=True)
+class Comparison:
+    """What a model learnt from synthetic rows is worth, next to one learnt from real ones; utility is None where real rows show no skill."""
+
+    target: str
+    task: str
+    metric: str
+    base: float
+    real: float
+    synthetic: float
+    utility: float | None
+    rating: str
+    features: tuple[str, ...]
+    excluded: dict[str, str]
+    n_train: int
+    n_test: int
+
+
+def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: str | None = None) -> Comparison:
+    """Train on synthetic, test on real. A quarter of the rows, by a draw from their key, is left aside: the generator and both models learn from
+    the rest only, and so do the bins and codes that all three tables share. Without `target` the likeliest one is taken."""
+    from . import generate as G
+
+    facts = target_facts(df, [s.name for s in specs])
+    found, why = targets(specs, facts)
+    if target is None and not found:
+        raise ValueError(f"no column can be predicted: {why}")
+    goal = next((t for t in found if t.column == target), None) if target else found[0]
+    if goal is None:
+        raise ValueError(f"{target} can't be predicted: {why.get(target, 'not a column')}")
+    kinds = {s.name: s for s in specs}
+    hidden = {s.name: f"its values are {s.transform}ed" for s in specs if s.transform in ("mask", "hash")}
+    left_out = {n: x for n, x in {**why, **hidden}.items() if x not in ("a date", "one value", "too few rows")} | {s.name: "a date" for s in specs if s.kind == "datetime"}
+    usable = [s.name for s in specs if s.name not in left_out and s.name != goal.column]
+    numbers, categories = [c for c in usable if kinds[c].kind == "numeric"], [c for c in usable if kinds[c].kind != "numeric"]
+    train, test = split(df, key, seed)
+    wanted = [s for s in specs if s.name in (*usable, goal.column)]
+    n_train, n_test = train.count(), test.count()
+    made = G.cells(df.sparkSession, wanted, n_train, seed, G.learn(train, wanted))
+    e = encoder(train, numbers, categories)
+    if goal.task == "regression":
+        label = F.col(f"`{goal.column}`").cast("double")
+    else:
+        classes = [r[0] for r in train.select(_key(goal.column).alias("v")).where("v IS NOT NULL").groupBy("v").count().orderBy("v").limit(MOST_CLASSES).collect()]
+        label = F.lit(None).cast("double")
+        for k, v in enumerate(classes):
+            label = F.when(_key(goal.column) == v, float(k)).otherwise(label)
+    real, ready = encoded(train, e, label), encoded(test, e, label)
+    metric = {"binary": "auc", "classes": "accuracy", "regression": "r2"}[goal.task]
+    base = {"auc": 0.5, "r2": 0.0}.get(metric)
+    if base is None:
+        share = real.groupBy("_label").count().agg((F.max("count") / F.sum("count")).alias("x")).first()
+        base = share["x"] or 0.0
+
+    def score(rows: DataFrame) -> float:
+        out = _forest(rows, ready, goal.task, seed)
+        if metric == "auc":
+            return auc(out, "score", "label").first()["auc"] or 0.5
+        if metric == "accuracy":
+            return accuracy(out, "predicted", "label").first()["accuracy"] or 0.0
+        return regression(out, "predicted", "label").first()["r2"] or 0.0
+
+    on_real, on_made = score(real), score(encoded(made, e, label))
+    worth = utility(on_real, on_made, base) if predictable(metric, on_real, base) else None
+    return Comparison(goal.column, goal.task, metric, base, on_real, on_made, worth, "n/a" if worth is None else rating(worth), tuple(usable), left_out, n_train, n_test)
 
 
 def latest(df: DataFrame, by: str, order: str) -> DataFrame:

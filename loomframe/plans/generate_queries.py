@@ -230,16 +230,35 @@ def relational_end_to_end(spark, sf):
     return broken.agg(F.sum("n_orphans").alias("n_orphans")).crossJoin(off.select("n_off"))
 
 
+_COMPARED = "target string, metric string, trained_on string, score double, utility double, rating string"
+
+
+def _compared(spark, found: utility.Comparison):
+    sides = (("real", found.real), ("synthetic", found.synthetic))
+    return spark.createDataFrame([(found.target, found.metric, n, round(x, 4), None if found.utility is None else round(found.utility, 4), found.rating) for n, x in sides], _COMPARED)
+
+
 @query()
 def tstr_orders(spark, sf):
-    """Train on synthetic and on real orders to tell costly ones, score both on real ones left aside."""
-    real = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority").withColumn("costly", (F.col("o_totalprice") > 150_000).cast("string"))
-    specs = [*ORDERS, ColumnSpec("costly", "string", "Category", "categorical")]
-    train, test = utility.split(real, "o_orderkey", 7)
-    made = generate.generate(spark, specs, train.count(), 7, generate.learn(train, specs))
-    ready = lambda d: d.select("o_totalprice", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("day"), (F.col("costly") == "true").cast("int").alias("costly"))
-    scores = [utility.auc(utility.forest_scores(ready(d), ready(test), ["o_totalprice", "day"], "costly"), "score", "label").select(F.lit(n).alias("trained_on"), F.round("auc", 4).alias("auc")) for n, d in (("real", train), ("synthetic", made))]
-    return reduce(DataFrame.unionByName, scores)
+    """Can an order's status be told from price, date and priority, and as well from synthetic orders? Without skill there is no utility."""
+    orders = table(spark, sf, "orders").select(*[s.name for s in ORDERS])
+    return _compared(spark, utility.tstr(orders, ORDERS, "o_orderkey", 7, "o_orderstatus"))
+
+
+_SIGNS = [
+    ColumnSpec("doc_id", "integer", "Identifier", "identifier", False, True), ColumnSpec("n_chars", "integer", "Quantity", "numeric"), ColumnSpec("lang", "string", "Category", "categorical"),
+    ColumnSpec("capitals", "float", "Other", "numeric"), ColumnSpec("signs", "float", "Other", "numeric"), ColumnSpec("word_length", "float", "Other", "numeric"), ColumnSpec("quality", "string", "Category", "categorical"),
+]
+
+
+@query()
+def tstr_documents(spark, sf):
+    """Does a model of documents' quality, learnt from synthetic rows of simple measures, work on real ones?"""
+    share = lambda pattern: F.round(1 - F.length(F.regexp_replace("text", pattern, "")) / F.greatest(F.length("text"), F.lit(1)), 4)
+    words = F.greatest(F.size(F.split(F.trim("text"), "[ \\n\\t]+")), F.lit(1))
+    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    rows = docs.select("doc_id", "n_chars", "lang", share("[A-Z]").alias("capitals"), share("[#*$%&|<>!]").alias("signs"), F.round(F.length("text") / words, 3).alias("word_length"), F.col("quality").cast("string").alias("quality"))
+    return _compared(spark, utility.tstr(rows, _SIGNS, "doc_id", 7, "quality"))
 
 
 @query()
