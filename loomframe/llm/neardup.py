@@ -11,7 +11,9 @@
    with a similarity of 0.8 must meet in a list (of two sets that are so alike, one of the |x| - ceil(0.8 |x|) + 1 rarest of each
    is common). Lists of one text, or of one component, are done; a template's own words are in no list, as they are not rare. The texts
    of a list are dealt into blocks of at most about `TEXTS` texts and `BLOCK` bytes of their parity bitmaps, and a task compares all
-   texts of two blocks by these. Nothing is capped: all open texts are compared wherever they can be similar enough.
+   texts of two blocks by these. A text's nearest pairs are confirmed first, and its others only if they are still of different
+   components then, so pairs don't grow with the square of a group. Nothing is capped: rounds go on until every pair has been
+   confirmed, refuted, or is of one component.
 5. A text's parity bitmap has about one bit for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
    most as many bits as the sets differ in shingles, so pairs that differ in too many are no links; only the others are confirmed on
    the full sets, which are 64 times as large.
@@ -38,6 +40,8 @@ BANDS = 12
 #: Bytes of bitmaps, and texts, in a block of texts that are compared with all texts of another one.
 BLOCK = 1 << 20
 TEXTS = 1500
+#: Nearest pairs of a text that are confirmed first; where a text has more, lists that are still open are compared again with 16 times as many.
+NEAREST = 2
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -323,10 +327,10 @@ def blocks(sets: DataFrame, lists: DataFrame) -> DataFrame:
     return pairs.repartition("g", "lo", "hi").groupBy("g", "lo", "hi").agg(F.collect_list("x").alias("m"))
 
 
-def _near(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a text of `left` and one of `right` whose bitmaps and sizes allow for a link."""
+def _near(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of a text of `left` and one of `right` whose bitmaps and sizes allow for a link, and how far the bitmaps are apart."""
     sizes = np.array([len(b) for b in bits])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    found = [(np.zeros(0, np.int64),) * 3]
     for size in np.unique(sizes[right]):
         these = right[sizes[right] == size]
         own = np.frombuffer(b"".join(bits[k] for k in these), np.uint8).reshape(len(these), size)
@@ -338,14 +342,26 @@ def _near(bits: list[bytes], n: np.ndarray, left: np.ndarray, right: np.ndarray)
             differ = np.bitwise_count((own if small == size else folded(own, small)) ^ x).sum(axis=1, dtype=np.int64)
             fits = (differ * (100 + SIMILARITY) <= (n[these] + n[i]) * (100 - SIMILARITY)) & (np.minimum(n[these], n[i]) * 100 >= np.maximum(n[these], n[i]) * SIMILARITY)
             at = these[fits]
-            found.append((np.full(len(at), i), at))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+            found.append((np.full(len(at), i), at, differ[fits]))
+    i, j, far = (np.concatenate(x) for x in zip(*found, strict=True))
+    return i, j, far
 
 
-def block_pairs(paired: DataFrame) -> DataFrame:
-    """Distinct pairs (texts a, b; ids ia, ib) of different components in two blocks that may be links by their bitmaps."""
+def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, bool]:
+    """Which pairs are among the k nearest of either of their texts, and whether a text has more of them."""
+    keep, more = np.zeros(len(i), bool), False
+    for own, other in ((i, j), (j, i)):
+        order = np.lexsort((other, far, own))
+        starts = np.flatnonzero(np.r_[True, np.diff(own[order]) != 0]) if len(own) else np.zeros(0, np.int64)
+        rank = np.arange(len(own)) - np.repeat(starts, np.diff(np.r_[starts, len(own)]))
+        keep[order[rank < k]] = True
+        more |= bool((rank >= k).any())
+    return keep, more
+
+
+def block_pairs(paired: DataFrame, k: int) -> DataFrame:
+    """Distinct pairs (texts a, b; ids ia, ib) of different components in two blocks that may be links by their bitmaps: each text's `k`
+    nearest ones. A row of nulls but for `more` says that a text has further ones."""
 
     def run(batches):
         for batch in batches:
@@ -355,14 +371,24 @@ def block_pairs(paired: DataFrame) -> DataFrame:
                 left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
                 if not len(left) or not len(right) or len(np.unique(comp)) < 2:
                     continue
-                i, j = _near(members.field(5).to_pylist(), n, left, right)
+                i, j, far = _near(members.field(5).to_pylist(), n, left, right)
                 good = (comp[i] != comp[j]) & ((ids[i] < ids[j]) | (lo != hi))
-                i, j = i[good], j[good]
+                i, j, far = i[good], j[good], far[good]
+                keep, more = _nearest(i, j, far, k)
+                i, j = i[keep], j[keep]
                 swap = ids[i] > ids[j]
                 i, j = np.where(swap, j, i), np.where(swap, i, j)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (texts[i], texts[j], ids[i], ids[j])], names=["a", "b", "ia", "ib"])
+                rest = [None] * more
+                yield pa.RecordBatch.from_arrays([*[pa.array([*c.tolist(), *rest], pa.int64()) for c in (texts[i], texts[j], ids[i], ids[j])], pa.array([False] * len(i) + [True] * more, pa.bool_())], names=["a", "b", "ia", "ib", "more"])
+
+    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long, ia long, ib long, more boolean").distinct()
+
 
-    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long, ia long, ib long").distinct()
+def still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components by now."""
+    now = lists.drop("p").join(comp, "id", "left").withColumn("p", F.coalesce("component", "id")).drop("component")
+    split = now.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("bucket")
+    return now.join(split, "bucket")
 
 
 def same_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -385,11 +411,19 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     comp = components(links)
     opened = written(open_texts(placed, comp), "open")
     if not opened.isEmpty():
-        lists = written(rare_lists(opened, sets), "lists")
-        pairs = written(block_pairs(blocks(sets, lists)), "pairs")
-        more = written(confirm(pairs, sets), "links")
-        if not more.isEmpty():
-            comp = components(links.union(more))
+        lists, tested, k = written(rare_lists(opened, sets), "lists"), None, NEAREST
+        while True:
+            # Of texts that are much alike most become one component by their nearest pairs, so the others need not be emitted.
+            pairs = written(block_pairs(blocks(sets, lists), k), "pairs")
+            fresh = pairs.where("NOT more").drop("more")
+            more = written(confirm(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), sets), "links")
+            if not more.isEmpty():
+                links = links.union(more)
+                comp = components(links)
+            if pairs.where("more").isEmpty():
+                break
+            tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
+            lists, k = written(still_open(lists, comp), "lists"), 16 * k
     member = reps.select(F.col("t").alias("text_hash"), "id").join(comp, "id", "left").select("text_hash", F.coalesce("component", "id").alias("_component"))
     named = signed.select("doc_id", "text_hash", "n_shingles").join(member, "text_hash", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))

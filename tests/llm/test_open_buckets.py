@@ -31,6 +31,7 @@ def near_texts(seed, families, members):
 @pytest.mark.parametrize("seed", range(3))
 def test_components_of_a_template(spark, monkeypatch, seed):
     monkeypatch.setattr(neardup, "TEXTS", 7)
+    monkeypatch.setattr(neardup, "NEAREST", 1)
     texts = near_texts(seed, 12, 8)
     # With one row a band nearly all texts share buckets, so that what is open is compared by lists and blocks.
     docs = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
@@ -70,10 +71,18 @@ def test_bitmaps_lose_no_link():
         common = len(np.intersect1d(x, y))
         assert far <= len(x) + len(y) - 2 * common
         linked = common * 100 >= (len(x) + len(y) - common) * 80
-        i, j = neardup._near([neardup.parity(x), neardup.parity(y)], np.array([len(x), len(y)]), np.array([0]), np.array([1]))
+        i, j, _ = neardup._near([neardup.parity(x), neardup.parity(y)], np.array([len(x), len(y)]), np.array([0]), np.array([1]))
         assert not linked or (i.tolist(), j.tolist()) == ([0], [1])
 
 
+def test_nearest_pairs():
+    i, j, far = np.array([0, 0, 1, 1]), np.array([2, 3, 2, 3]), np.array([1, 2, 3, 4])
+    keep, more = neardup._nearest(i, j, far, 1)
+    assert keep.tolist() == [True, True, True, False] and more
+    assert neardup._nearest(i, j, far, 3)[0].all() and not neardup._nearest(i, j, far, 3)[1]
+    assert neardup._nearest(i[:0], j[:0], far[:0], 1)[1] is False
+
+
 def test_unlike_texts_of_one_template(spark):
     """Thousands of log lines, no two of them linked: the lists stay short, so nothing is compared in blocks."""
     draw = random.Random(1)
