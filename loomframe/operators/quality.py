@@ -49,3 +49,8 @@ def column_status(column_metrics: DataFrame) -> DataFrame:
     """(column, status): `issue` where a warning is high, `warning` where there is another one, else `ok`."""
     worst = warnings(column_metrics).groupBy("column").agg(F.max((F.col("severity") == "high").cast("int")).alias("_w"))
     return column_metrics.select("column").distinct().join(worst, "column", "left").select("column", F.when(F.col("_w") == 1, "issue").when(F.col("_w") == 0, "warning").otherwise("ok").alias("status"))
+
+
+def linked(metrics: dict[str, DataFrame]) -> DataFrame:
+    """The column metrics of several tables under each other, each column named `table.column`."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [m.withColumn("column", F.concat(F.lit(f"{t}."), "column")) for t, m in metrics.items()])

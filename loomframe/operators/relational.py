@@ -118,6 +118,31 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame
     return joined.agg(F.sum(some.cast("long")).alias("n_fk"), F.sum((~some).cast("long")).alias("n_null"), F.sum((some & F.col("_here").isNull()).cast("long")).alias("n_orphans"))
 
 
+def link_report(tables: dict[str, DataFrame], links: list[Relationship]) -> DataFrame:
+    """A row for each link (named `child.column -> parent.column`): keys, null ones and orphans, parents without children, least and most children,
+    parents with fewer or more than the link allows, its status and its integrity in percent. One shuffle a link: children are counted by
+    key before they meet the parents.
+    """
+    def one(x: Relationship) -> DataFrame:
+        keys = tables[x.parent].select(F.col(f"`{x.parent_column}`").cast("string").alias("_k")).where("_k IS NOT NULL").distinct().withColumn("_p", F.lit(True))
+        counts = tables[x.child].select(F.col(f"`{x.child_column}`").cast("string").alias("_k")).groupBy("_k").agg(F.count("*").alias("_n"))
+        both = counts.join(keys, "_k", "full").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        here, n, null = F.coalesce("_p", F.lit(False)), F.col("_n"), F.col("_k").isNull()
+        low, high = (x.low or 0, x.high) if x.cardinality != "1:1" else (0, 1)
+        total = lambda test, what=n: F.coalesce(F.sum(F.when(test, what)), F.lit(0)).cast("long")
+        one_ = F.lit(1)
+        facts = both.agg(
+            total(~null).alias("n_fk"), total(null).alias("n_null"), total(~null & ~here).alias("n_orphans"), total(here & (n == 0), one_).alias("n_childless"), F.min(F.when(here, n)).alias("min_children"), F.max(F.when(here, n)).alias("max_children"),
+            total(here & (n < low), one_).alias("n_under"), (total(here & (n > high), one_) if high is not None else F.lit(0).cast("long")).alias("n_over"),
+        )
+        off = F.col("n_under") + F.col("n_over")
+        status = F.when(F.col("n_orphans") > 0, "failed").when((off > 0) | (F.col("n_null") > 0), "warning").otherwise("passed")
+        score = round_half_up(100.0 * (F.col("n_fk") - F.col("n_orphans")) / F.nullif(F.col("n_fk") + F.col("n_null"), F.lit(0)), 1)
+        return facts.select(F.lit(f"{x.child}.{x.child_column} -> {x.parent}.{x.parent_column}").alias("link"), *facts.columns, status.alias("status"), score.alias("integrity"))
+
+    return reduce(DataFrame.unionByName, [one(x) for x in links])
+
+
 def pair_duplicates(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.groupBy(a, b).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_extra"))
 

@@ -179,6 +179,40 @@ def invoice_reconcile(spark, sf):
     return found.select("l_orderkey", "subtotal_cents", F.floor(F.col("subtotal_cents") * 17.0 / 100 + 0.5).cast("long").alias("tax_cents"), "n_lines")
 
 
+_LINKED = (("orders", "o_custkey", "customer", "c_custkey", 1, 20), ("lineitem", "l_orderkey", "orders", "o_orderkey", 1, 4), ("customer", "c_nationkey", "nation", "n_nationkey", None, None))
+
+
+def _link_sql(child: str, fk: str, parent: str, key: str, low: int | None, high: int | None) -> str:
+    over = f"count(*) FILTER (here AND n > {high})" if high is not None else "0"
+    return f"""SELECT '{child}.{fk} -> {parent}.{key}' AS link, sum(n) FILTER (k IS NOT NULL)::BIGINT AS n_fk, coalesce(sum(n) FILTER (k IS NULL), 0)::BIGINT AS n_null, coalesce(sum(n) FILTER (k IS NOT NULL AND NOT here), 0)::BIGINT AS n_orphans,
+count(*) FILTER (here AND n = 0)::BIGINT AS n_childless, min(n) FILTER (here)::BIGINT AS min_children, max(n) FILTER (here)::BIGINT AS max_children, count(*) FILTER (here AND n < {low or 0})::BIGINT AS n_under, {over}::BIGINT AS n_over
+FROM (SELECT coalesce(c.k, p.k) AS k, coalesce(c.n, 0) AS n, p.k IS NOT NULL AS here FROM (SELECT {fk} AS k, count(*) AS n FROM {child} GROUP BY 1) c FULL JOIN (SELECT DISTINCT {key} AS k FROM {parent} WHERE {key} IS NOT NULL) p ON c.k = p.k)"""
+
+
+@query(f"""SELECT *, CASE WHEN n_orphans > 0 THEN 'failed' WHEN n_under + n_over + n_null > 0 THEN 'warning' ELSE 'passed' END AS status, floor(1000e0 * (n_fk - n_orphans) / (n_fk + n_null) + 0.5::DOUBLE) / 10 AS integrity
+FROM ({' UNION ALL '.join(_link_sql(*x) for x in _LINKED)})""")
+def link_report(spark, sf):
+    """Orders' customers (1 to 20 orders each), items' orders (1 to 4 items each) and customers' nations, checked."""
+    names = {t for child, _, parent, *_ in _LINKED for t in (child, parent)}
+    links = [relational.Relationship(parent, key, child, fk, low, high) for child, fk, parent, key, low, high in _LINKED]
+    return relational.link_report({t: table(spark, sf, t) for t in names}, links)
+
+
+_GAPS = (("orders", "o_totalprice", "CASE WHEN o_orderkey % 10 = 1 THEN NULL ELSE o_totalprice END"), ("customer", "c_acctbal", "c_acctbal"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.{c}' AS \"column\", round(avg(({x} IS NULL)::INT) - avg(({c} IS NULL)::INT), 9)::DOUBLE AS null_gap, (count({c}) - count(DISTINCT {c}))::BIGINT AS unique_extra, CASE WHEN count({c}) > count(DISTINCT {c}) THEN 'issue' WHEN abs(avg(({x} IS NULL)::INT) - avg(({c} IS NULL)::INT)) > 0.05 THEN 'warning' ELSE 'ok' END AS status FROM {t}" for t, c, x in _GAPS))
+def linked_quality(spark, sf):
+    """One report over two tables: null gaps of a thinned copy against the table itself, and repeats, by `table.column`."""
+    metrics = {}
+    for t, c, x in _GAPS:
+        real = table(spark, sf, t)
+        gaps = validate.null_gaps(real.select(F.expr(x).alias(c)), real.select(c), [c]).select("column", "null_gap")
+        metrics[t] = gaps.join(validate.uniqueness(real, [c]).withColumnRenamed("n_extra", "unique_extra"), "column")
+    whole = quality.linked(metrics).withColumns({k: F.lit(None).cast("double") for k in ("ks_d", "tvd", "leaked")})
+    return whole.join(quality.column_status(whole), "column").select("column", F.round("null_gap", 9).alias("null_gap"), "unique_extra", "status")
+
+
 @query("""SELECT 'fidelity' AS dimension, 80.0::DOUBLE AS score UNION ALL SELECT 'uniqueness', 50.0 UNION ALL SELECT 'null_distribution', 80.0 UNION ALL SELECT 'privacy', NULL UNION ALL SELECT 'referential', round(100e0 * (count(*) - sum((o_custkey % 10 = 3)::INT)) / count(*), 1) FROM orders
 UNION ALL SELECT 'overall', floor((80 + 50 + 80 + (SELECT round(100e0 * (count(*) - sum((o_custkey % 10 = 3)::INT)) / count(*), 1) FROM orders)) / 4 * 10 + 0.5) / 10""")
 def quality_dimensions(spark, sf):
