@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import permute, rng
 from ..functions.stats import quantile_function
-from ..operators import design, documents, generate, profile, quality, redraw, relational, rules, tabular, utility, validate
+from ..operators import design, documents, generate, ledger, profile, quality, redraw, relational, rules, tabular, utility, validate
 from ..operators.infer import ColumnSpec
 from .catalogue import query, table
 
@@ -99,6 +100,39 @@ def generate_orders_quality(spark, sf):
     return quality.dimensions(metrics, validate.correlation_drift(view(original), view(made), ["o_totalprice", "day"]))
 
 
+_LEDGER = ledger.Plan("checking", date(2026, 1, 15), date(2026, 4, 30), 30, 60_000, 20_000, 10.0, 1500.0, 1.5)
+
+
+def _ledger_sql(plan: ledger.Plan, seed: int, ids: str) -> str:
+    """The plan's rows, and their balances by recursion."""
+    u = lambda what: rng.uniform_sql(seed, what, "(s || ':' || q)")
+    fixed, mix = ledger.fixed_rows(plan), [x for x in ledger.MIXES[plan.account] if not x.day]
+    amount = lambda what, item: "({0} + floor({2} * ({1} - {0} + 1)))::BIGINT".format(*ledger.bounds(item, plan), u(what))
+    total, so_far, steps = float(sum(x.weight for x in mix)), 0.0, []
+    for x in mix[:-1]:
+        so_far += x.weight
+        steps.append(f"WHEN {u('category')} < {so_far / total!r}::DOUBLE THEN '{x.category}'")
+    listed = ", ".join(f"{{'q': {k}, 'day': DATE '{at}', 'category': '{item.category}'}}" for k, (at, item) in enumerate(fixed))
+    cents = " ".join(f"WHEN '{x.category}' THEN {x.sign} * {amount('amount', x)}" for x in ledger.MIXES[plan.account])
+    credit = max((x for x in mix if x.sign > 0), key=lambda x: x.weight)
+    least, room = round((plan.least or 0.01) * 100), f"(b - {plan.floor})"
+    move = f"CASE WHEN c >= 0 OR b + c >= {plan.floor} THEN c WHEN {room} >= {least} THEN -{room} ELSE refill END"
+    return f"""WITH RECURSIVE ids AS ({ids}),
+raw AS (SELECT s, x.q AS q, x.day AS day, x.category AS category FROM (SELECT s, unnest([{listed}]) AS x FROM ids) UNION ALL SELECT s, unnest(range({len(fixed)}, {plan.rows})) AS q, NULL, NULL FROM ids),
+named AS (SELECT s, q, coalesce(day, DATE '{plan.first}' + floor({u('day')} * {(plan.last - plan.first).days + 1})::INT) AS day, coalesce(category, CASE {' '.join(steps)} ELSE '{mix[-1].category}' END) AS category FROM raw),
+priced AS (SELECT *, CASE category {cents} END AS c, {amount('refill', credit)} AS refill, row_number() OVER (PARTITION BY s ORDER BY day, q) AS k FROM named),
+walk AS (SELECT s, 0::BIGINT AS k, NULL::BIGINT AS cents, {plan.opening}::BIGINT AS balance FROM ids
+  UNION ALL SELECT s, k, m, b + m FROM (SELECT s, k, b, {move} AS m FROM (SELECT p.s, p.k, p.c, p.refill, w.balance AS b FROM walk w JOIN priced p ON p.s = w.s AND p.k = w.k + 1)))
+SELECT s AS statement, q AS seq, day, CASE WHEN c < 0 AND cents > 0 THEN 'transfer in' ELSE category END AS category, cents, balance FROM priced JOIN walk USING (s, k)"""
+
+
+@query(_ledger_sql(_LEDGER, 42, "SELECT s_suppkey::BIGINT AS s FROM supplier"))
+def ledger_statements(spark, sf):
+    """A statement for each supplier: wages and rent by month, everyday rows, no balance under the floor."""
+    made = ledger.statements(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("statement")), _LEDGER, 42)
+    return made.withColumn("seq", F.col("seq").cast("long"))
+
+
 @query("SELECT count(*)::BIGINT AS n, 0::BIGINT AS n_bad, 0::BIGINT AS n_repeated FROM customer")
 def invoices_reconcile(spark, sf):
     return documents.check_invoices(documents.invoices(spark, table(spark, sf, "customer").count(), 42))
