@@ -12,6 +12,11 @@ from ..functions.stats import round_half_up
 SENSITIVITY = 0.05
 
 
+def allowed_transforms(kind: str) -> tuple[str, ...]:
+    """The transforms that make sense for a type: numbers can get noise, other values can be masked."""
+    return ("preserve", "noise" if kind in ("integer", "float") else "mask", "hash", "synthetic")
+
+
 def mask(c: Column, semantic: str = "Other") -> Column:
     """The mask that fits a column's meaning, or what its values look like."""
     if semantic == "Email":

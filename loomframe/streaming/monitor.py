@@ -63,6 +63,46 @@ def admitted_stream(df: DataFrame, key: str, ts: str, limit: int = LIMIT, second
     return df.groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, admitted boolean", "recent array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def _in_order(pending: list[int], recent: list[int], watermark: int, limit: int, window: int) -> tuple[list[tuple[int, bool]], list[int], list[int]]:
+    """Decisions on the requests up to the watermark, and what stays: the others, and the admitted ones that can still count."""
+    out = []
+    for t in sorted(x for x in pending if x <= watermark):
+        recent = [x for x in recent if x > t - window]
+        good = len(recent) < limit
+        out.append((t, good))
+        if good:
+            recent.append(t)
+    return out, [x for x in pending if x > watermark], [x for x in recent if x > watermark - window]
+
+
+def admitted_by_event_time(df: DataFrame, key: str, ts: str, delay: str = "30 seconds", limit: int = LIMIT, seconds: int = WINDOW_S) -> DataFrame:
+    """The rate limit on a stream whose requests arrive out of order: (key, ts, admitted), each decided once the watermark has passed it.
+
+    Until then it waits in its visitor's state, so decisions are those of the ordered table however rows fall into batches. A visitor is
+    called again by a timer when the watermark reaches its first waiting request, and its state goes when no admitted request can count
+    any more. Requests that come later than `delay` are dropped by the watermark: they are neither decided nor counted. A request without
+    a time is dropped too.
+    """
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pending, recent = (list(x) for x in state.get) if state.exists else ([], [])
+        for b in batches:
+            pending += b["_t"].tolist()
+        watermark = state.getCurrentWatermarkMs() * 1000
+        done, pending, recent = _in_order(pending, recent, watermark, limit, seconds * 1_000_000)
+        if pending or recent:
+            state.update((pending, recent))
+            wake = min(pending) if pending else max(recent) + seconds * 1_000_000
+            state.setTimeoutTimestamp(max(wake // 1000 + 1, watermark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: [k[0]] * len(done), "_t": [t for t, _ in done], "admitted": [g for _, g in done]})
+
+    timed = df.where(F.col(ts).isNotNull()).withWatermark(ts, delay).select(key, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"))
+    kind = dict(df.dtypes)[key]
+    out = timed.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, _t long, admitted boolean", "pending array<long>, recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return out.select(key, F.timestamp_micros("_t").alias(ts), "admitted")
+
+
 def check_batches(stream: DataFrame, rules: list[Rule], report: Callable[[int, DataFrame], None]):
     """Start a query that checks every micro-batch against the rules and hands the one-row result to `report`."""
     return stream.writeStream.foreachBatch(lambda batch, number: report(number, check(batch, rules)))
