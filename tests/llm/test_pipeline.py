@@ -80,3 +80,20 @@ def test_hard_rows(spark, sf):
         for name, stage in corpus_pipeline.STAGES:
             table = written(stage(spark, table, sf), name.replace(" ", "-"))
         table.count()
+
+    # What each stage says it does with them, on its own input.
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id) for r in df.select("doc_id").collect())
+    docs = spark.createDataFrame(rows, kind)
+    clean = written(corpus_pipeline.quality_rules(spark, docs, sf), "clean")
+    assert ids(clean) == [(False, 2), (False, 2), (True, None)] and clean.columns == docs.columns and {r.text for r in clean.collect()} == {long}
+    assert ids(corpus_pipeline.near_duplicates(spark, clean, sf)) == [(False, 2), (True, None)]
+    assert ids(corpus_pipeline.near_duplicates(spark, docs, sf)) == [(False, 1), (False, 2), (True, None), (True, None)], "empty texts are no duplicates"
+    said = [(1, "en", "the cat sat on the mat and the dog ran"), (3, "en", "the bird flew over the house"), (5, None, None), (6, "en", "123 456"), (7, None, "the cat and the bird")]
+    spoken = spark.createDataFrame([(i, t, lang, "s", 1, 1, "k") for i, lang, t in said], kind)
+    assert {i for _, i in ids(corpus_pipeline.language(spark, spoken, sf))} & {5, 6} == set(), "no letters, no language"
+    mail = spark.createDataFrame([(1, "write to a.b@c.de now", "en", "s", 9, 1, "k"), (2, None, "en", "s", 9, 1, "k"), (2, None, "en", "s", 9, 1, "k")], kind)
+    out = {r.doc_id: r for r in corpus_pipeline.personal_data(spark, mail, sf).collect()}
+    assert out[1].text == "write to <EMAIL> now" and out[1].n_chars == len(out[1].text) and out[2].text is None
+    pieces = corpus_pipeline.pack(spark, docs, sf).collect()
+    tokens = {(): 1, (long,): len(brute.word_ids(long)) + 1}
+    assert sum(r.length for r in pieces) == 2 * tokens[()] + 3 * tokens[(long,)] and all(r.offset + r.length <= 2048 for r in pieces)
