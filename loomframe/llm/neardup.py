@@ -14,9 +14,9 @@
    texts of two blocks by these. A text's nearest pairs are confirmed first, and its others only if they are still of different
    components then, so pairs don't grow with the square of a group. Nothing is capped: rounds go on until every pair has been
    confirmed, refuted, or is of one component.
-5. A text's parity bitmap has about one bit for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
+5. A text's parity bitmap has some bits for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
    most as many bits as the sets differ in shingles, so pairs that differ in too many are no links; only the others are confirmed on
-   the full sets, which are 64 times as large.
+   the full sets, which are an order of magnitude larger.
 
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
@@ -41,7 +41,9 @@ BANDS = 12
 BLOCK = 1 << 20
 TEXTS = 1500
 #: Nearest pairs of a text that are confirmed first; where a text has more, lists that are still open are compared again with 16 times as many.
-NEAREST = 2
+NEAREST = 8
+#: Bits of a bitmap for each hash, at least: the more there are, the closer is its distance to that of the sets.
+BITS = 4
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -157,8 +159,8 @@ def signatures(docs: DataFrame, size: int, rows: int = ROWS, bands: int = BANDS)
 
 
 def parity(s: np.ndarray) -> bytes:
-    """The parity bitmap of a set of hashes: a power of two of bits, 64 at least and no fewer than there are hashes."""
-    n = max(64, 1 << int(len(s) - 1).bit_length())
+    """The parity bitmap of a set of hashes: a power of two of bits, four to eight for each hash and 64 at least."""
+    n = max(64, BITS << int(len(s) - 1).bit_length())
     return np.packbits(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).tobytes()
 
 
