@@ -101,7 +101,7 @@ def components(texts, size):
     return {k: (len(sets[k]), find(k)) for k in texts}
 
 
-RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("allow", "example.net/de/8"), ("block", "org/es/")]
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def url_rule(url):
