@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..functions.stored import stored
 
-#: Draws that a forbidden value and a repeat get, and suffixes that are looked up together.
+#: Draws that a forbidden value and a repeat get, those of them that are looked up first, and suffixes that are looked up together.
 DRAWS = 20
+FIRST = 4
 REDRAWN = 3
 SUFFIXES = 12
 LOG = "column string, _rid long, draws int, suffixes int"
@@ -33,23 +34,27 @@ def avoid(df: DataFrame, column: str, forbidden: DataFrame, draws: list[Column],
     """The rows with another value where `forbidden` (one column) holds theirs, and the log of what was done.
 
     `draws` are further draws as functions of `_rid`. A row that is hit takes its first free draw, or, if none is free, the last of them
-    with the first free suffix, which is looked up as well. Only rows that are hit have candidates, all looked up in one join; should
-    every candidate of a row be taken, more suffixes follow. The log (column, _rid, draws, suffixes) holds no values, and replay() with it
-    gives the same table without `forbidden`.
+    with the first free suffix, which is looked up as well. Only rows that are hit have candidates: the first few draws, then, for rows
+    without a free one among them, the other draws, and suffixes, more and more of them, for rows that are still left. The log
+    (column, _rid, draws, suffixes) holds no values, and replay() with it gives the same table without `forbidden`.
     """
     kind = dict(df.dtypes)[column]
     taken = stored(forbidden.select(normal(F.col(forbidden.columns[0])).alias("_v")).where("_v IS NOT NULL").distinct(), "taken")
     left = stored(df.withColumn("_v", normal(F.col(f"`{column}`"))).join(taken, "_v", "left_semi").select("_rid"), "hit")
-    log, past = None, 0
+    log, drawn, past = None, 0, 0
     while not left.isEmpty():
-        further = suffixed(draws[-1], kind, seed, column, SUFFIXES, past)
-        candidates = further if past else F.concat(F.array(*[d.cast(kind) for d in draws]), further)
+        upto = min(len(draws), drawn + FIRST) if not drawn else len(draws)
+        if drawn < len(draws):
+            candidates = F.array(*[d.cast(kind) for d in draws[drawn:upto]])
+        else:
+            candidates = suffixed(draws[-1], kind, seed, column, SUFFIXES, past)
         each = left.select("_rid", F.posexplode(candidates).alias("_k", "_c")).select("_rid", "_k", normal(F.col("_c")).alias("_v"))
         free = each.join(taken, "_v", "left_anti").groupBy("_rid").agg((F.min("_k") + 1).alias("_k"))
-        steps = (F.lit(len(draws)), F.col("_k") + past) if past else (F.least("_k", F.lit(len(draws))), F.greatest(F.col("_k") - len(draws), F.lit(0)))
+        steps = (F.col("_k") + drawn, F.lit(0)) if drawn < len(draws) else (F.lit(len(draws)), F.col("_k") + past)
         rows = stored(free.select(F.lit(column).alias("column"), "_rid", steps[0].cast("int").alias("draws"), steps[1].cast("int").alias("suffixes")), "log")
         log = rows if log is None else log.unionByName(rows)
-        left, past = stored(left.join(rows, "_rid", "left_anti"), "hit"), past + SUFFIXES
+        past = past if drawn < len(draws) else past + SUFFIXES
+        left, drawn = stored(left.join(rows, "_rid", "left_anti"), "hit"), upto
     log = df.sparkSession.createDataFrame([], LOG) if log is None else log
     return replay(df, column, log, draws, seed), log
 
@@ -58,10 +63,12 @@ def replay(df: DataFrame, column: str, log: DataFrame, draws: list[Column], seed
     """The rows with the redraws of a log made again."""
     kind = dict(df.dtypes)[column]
     own = log.where(F.col("column") == column).select("_rid", F.col("draws").alias("_d"), F.col("suffixes").alias("_s"))
-    most = own.agg(F.max("_s")).first()[0]
+    most, last = own.agg(F.max("_s"), F.max("_d")).first()
     if most is None:
         return df
-    value = F.element_at(F.array(*[d.cast(kind) for d in draws]), F.col("_d"))
+    value = F.lit(None).cast(kind)
+    for k in range(last, 0, -1):  # only the draw that the log names is made
+        value = F.when(F.col("_d") == k, draws[k - 1].cast(kind)).otherwise(value)
     if most:
         value = F.when(F.col("_s") > 0, F.element_at(suffixed(draws[-1], kind, seed, column, most), F.greatest("_s", F.lit(1)))).otherwise(value)
     changed = F.when(F.col("_d").isNotNull(), value).otherwise(F.col(f"`{column}`"))
