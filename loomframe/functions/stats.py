@@ -82,14 +82,24 @@ def quantile_function(u: Column, quantiles: list[float]) -> Column:
 
 
 def distribution(x: Column, quantiles: list[float]) -> Column:
-    """Where x lies among evenly spaced quantiles, from 0 to 1: the middle of the steps that it spans."""
-    n = len(quantiles)
-    table = F.array(*[F.lit(float(q)) for q in quantiles])
-    below, upto = F.size(F.filter(table, lambda q: q < x)), F.size(F.filter(table, lambda q: q <= x))
-    low, high = F.element_at(table, F.greatest(below, F.lit(1))), F.element_at(table, F.least(below + 1, F.lit(n)))
-    part = F.when((below == upto) & (high > low), (x - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.0)
-    step = F.when(below == upto, F.greatest(below - 1, F.lit(0)) + part).otherwise((below + upto - 1) / 2)
-    return F.least(step / (n - 1), F.lit(1.0))
+    """Where x lies among evenly spaced quantiles, from 0 to 1: the middle of the steps that it spans. Found by halving, a few comparisons a row."""
+    q, n = [float(v) for v in quantiles], len(quantiles)
+
+    def step(below: int) -> Column:
+        """The steps under x, with `below` quantiles less than it."""
+        if below == n:
+            return F.lit(float(n - 1))
+        upto = sum(v <= q[below] for v in q)
+        between = F.lit(float(below - 1)) + (x - q[below - 1]) / (q[below] - q[below - 1]) if below and q[below] > q[below - 1] else F.lit(float(max(below - 1, 0)))
+        return F.when(x == q[below], (below + upto - 1) / 2).otherwise(between)
+
+    def halved(low: int, high: int) -> Column:
+        if low == high:
+            return step(low)
+        middle = (low + high) // 2
+        return F.when(x > q[middle], halved(middle + 1, high)).otherwise(halved(low, middle))
+
+    return F.least(halved(0, n) / (n - 1), F.lit(1.0))
 
 
 def running_totals(df: DataFrame, order: str, values: list[str], parts: int = 64) -> DataFrame:

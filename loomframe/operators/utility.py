@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..functions.stats import running_totals
+from ..functions.stored import stored
 from .infer import ColumnSpec
 from .profile import order_statistics, top_values, value_counts
 
@@ -79,6 +80,39 @@ def forest_scores(train: DataFrame, test: DataFrame, features: list[str], label:
     return model.transform(assemble.transform(ready(test))).select("label", vector_to_array("probability")[1].alias("score"))
 
 
+#: Shares of the rows of one combination of features that a forest draws by themselves.
+SHARES = 256
+
+
+def condensed(df: DataFrame, features: list[str], label: str, regression: bool) -> DataFrame:
+    """Weighted rows (features, label, _w) that all splits of a tree measure as they measure the rows themselves.
+
+    Rows of equal features are dealt to `SHARES` shares. A class's rows in a share become one with their number as weight; numbers become
+    two, at the mean plus and minus the deviation, which keep count, sum and sum of squares. So every row counts, a forest's passes do not grow
+    with the table once all combinations are full, and a forest still draws its trees' rows by share, by row where a share has one.
+    """
+    plain = df.select(*[F.col(c).alias(c, metadata={}) for c in features], label)  # what the codes mean is of no use here
+    dealt = plain.withColumn("_share", F.monotonically_increasing_id() % SHARES)
+    if not regression:
+        return dealt.groupBy(*features, label, "_share").agg(F.count("*").cast("double").alias("_w")).drop("_share")
+    y = F.col(label)
+    sums = dealt.groupBy(*features, "_share").agg(F.count("*").cast("double").alias("_n"), F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_off"))
+    apart = F.array(F.struct((F.col("_mean") - F.col("_off")).alias(label), (F.col("_n") / 2).alias("_w")), F.struct((F.col("_mean") + F.col("_off")).alias(label), (F.col("_n") / 2).alias("_w")))
+    one = F.array(F.struct(F.col("_mean").alias(label), F.col("_n").alias("_w")))
+    return sums.select(*features, F.inline(F.when(F.col("_off") > 0, apart).otherwise(one)))
+
+
+def _coded(c: str, n: int) -> Column:
+    """A column of codes below n, named as a class."""
+    return F.col(c).alias(c, metadata={"ml_attr": {"type": "nominal", "vals": [str(k) for k in range(n)]}})
+
+
+def _by_vector(df: DataFrame, model, assemble, features: list[str], out: list[str]) -> DataFrame:
+    """The rows with a model's output columns, worked out once for each combination of features."""
+    found = model.transform(assemble.transform(df.select(*features).distinct())).select(*features, *out)
+    return df.join(found, features)
+
+
 def forest_values(train: DataFrame, test: DataFrame, numbers: list[str], categories: list[str], label: str, regression: bool = False, seed: int = 1, most: int = 32) -> DataFrame:
     """(label, predicted) of the test rows by a forest of 25 trees on numbers and categories, for a number or, by its text, a class.
 
@@ -86,12 +120,15 @@ def forest_values(train: DataFrame, test: DataFrame, numbers: list[str], categor
     share the code of unknown ones, and nulls have one of their own. Null numbers are -1 with a flag.
     """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     key = lambda c: F.coalesce(F.lower(F.trim(F.col(c).cast("string"))), F.lit("\x00"))
-    both = train.select(*categories).unionByName(test.select(*categories))
-    frequent = {c: [r[0] for r in both.groupBy(key(c).alias("v")).count().orderBy(F.desc("count"), "v").limit(most - 2).collect()] for c in categories}
+    frequent: dict[str, list[str]] = {c: [] for c in categories}
+    if categories:
+        both = train.select(*categories).unionByName(test.select(*categories))
+        for r in top_values(both.select(*[key(c).alias(c) for c in categories]), categories, most - 2).orderBy("column", "rank").collect():
+            frequent[r["column"]].append(r["value"])
 
     def ready(df: DataFrame) -> DataFrame:
         cols = [F.col(label).cast("double" if regression else "string").alias("_label")]
@@ -103,16 +140,19 @@ def forest_values(train: DataFrame, test: DataFrame, numbers: list[str], categor
     train, test = ready(train), ready(test)
     names = [n for c in numbers for n in (f"x_{c}", f"m_{c}")]
     if categories:
-        codes = StringIndexer(inputCols=[f"c_{c}" for c in categories], outputCols=[f"k_{c}" for c in categories]).fit(train.drop("_label").unionByName(test.drop("_label")))
+        codes = StringIndexerModel.from_arrays_of_labels([[*frequent[c], "\x01"] for c in categories], [f"c_{c}" for c in categories], [f"k_{c}" for c in categories])
         train, test, names = codes.transform(train), codes.transform(test), names + [f"k_{c}" for c in categories]
     assemble = VectorAssembler(inputCols=names, outputCol="features")
-    setting = {"numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": most, "seed": seed}
+    setting = {"numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": most, "weightCol": "_w", "seed": seed}
+    own = stored(condensed(train, names, "_label", regression), "condensed")
+    # Codes are named as classes, so that trees split them by sets of values.
+    own = own.select(*[_coded(c, len(frequent[c[2:]]) + 1) if c.startswith("k_") else F.col(c) for c in names], "_label", "_w")
     if regression:
-        model = RandomForestRegressor(labelCol="_label", featureSubsetStrategy="onethird", **setting).fit(assemble.transform(train))
-        return model.transform(assemble.transform(test)).select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"))
-    classes = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(train)
-    model = RandomForestClassifier(labelCol="_y", featureSubsetStrategy="sqrt", **setting).fit(assemble.transform(classes.transform(train)))
-    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes.labels).transform(model.transform(assemble.transform(test)))
+        model = RandomForestRegressor(labelCol="_label", featureSubsetStrategy="onethird", **setting).fit(assemble.transform(own))
+        return _by_vector(test, model, assemble, names, ["prediction"]).select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"))
+    classes = StringIndexer(inputCol="_label", outputCol="_y", stringOrderType="alphabetAsc").fit(own)
+    model = RandomForestClassifier(labelCol="_y", featureSubsetStrategy="sqrt", **setting).fit(assemble.transform(classes.transform(own)))
+    named = IndexToString(inputCol="prediction", outputCol="predicted", labels=classes.labels).transform(_by_vector(test, model, assemble, names, ["prediction"]))
     return named.select(F.col("_label").alias("label"), "predicted")
 
 
@@ -215,24 +255,27 @@ def encoded(df: DataFrame, e: Encoder, label: Column) -> DataFrame:
         code = F.when(_key(c).isNull(), 0.0)
         for k, v in enumerate(values):
             code = code.when(_key(c) == v, float(k + 2))
-        # Named as a class, so that trees split it by sets of values.
-        columns.append(code.otherwise(1.0).alias(f"c_{c}", metadata={"ml_attr": {"type": "nominal", "vals": [str(k) for k in range(len(values) + 2)]}}))
+        columns.append(code.otherwise(1.0).alias(f"c_{c}"))
     return df.select(*columns).where("_label IS NOT NULL")
 
 
-def _forest(train: DataFrame, test: DataFrame, task: str, seed: int) -> DataFrame:
-    """(label, predicted, score) of encoded test rows; labels are numbers, score is the chance of label 1."""
+def _forest(train: DataFrame, test: DataFrame, task: str, seed: int, sizes: dict[str, int]) -> DataFrame:
+    """(label, predicted, score) of encoded test rows; `sizes` is how many codes a class column has; labels are numbers, score is the chance of label 1."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import RandomForestRegressor
 
-    assemble = VectorAssembler(inputCols=[c for c in train.columns if c != "_label"], outputCol="features")
-    setting = {"labelCol": "_label", "numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": max(BINS, MOST_CATEGORIES) + 2, "seed": seed}
+    names = [c for c in train.columns if c != "_label"]
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    setting = {"labelCol": "_label", "weightCol": "_w", "numTrees": 25, "maxDepth": 10, "minInstancesPerNode": 3, "maxBins": max(BINS, MOST_CATEGORIES) + 2, "seed": seed}
+    own = stored(condensed(train, names, "_label", task == "regression"), "condensed")
+    own = assemble.transform(own.select(*[_coded(c, sizes[c]) if c in sizes else F.col(c) for c in names], "_label", "_w"))
     if task == "regression":
-        out = RandomForestRegressor(featureSubsetStrategy="onethird", **setting).fit(assemble.transform(train)).transform(assemble.transform(test))
-        return out.select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"), F.lit(None).cast("double").alias("score"))
-    out = RandomForestClassifier(featureSubsetStrategy="sqrt", **setting).fit(assemble.transform(train)).transform(assemble.transform(test))
+        model = RandomForestRegressor(featureSubsetStrategy="onethird", **setting).fit(own)
+        return _by_vector(test, model, assemble, names, ["prediction"]).select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"), F.lit(None).cast("double").alias("score"))
+    model = RandomForestClassifier(featureSubsetStrategy="sqrt", **setting).fit(own)
+    out = _by_vector(test, model, assemble, names, ["prediction", "probability"])
     return out.select(F.col("_label").alias("label"), F.col("prediction").alias("predicted"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
 
 
@@ -291,7 +334,7 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
         base = share["x"] or 0.0
 
     def score(rows: DataFrame) -> float:
-        out = _forest(rows, ready, goal.task, seed)
+        out = _forest(rows, ready, goal.task, seed, {f"c_{c}": len(v) + 2 for c, v in e.codes.items()})
         if metric == "auc":
             return auc(out, "score", "label").first()["auc"] or 0.5
         if metric == "accuracy":
