@@ -52,19 +52,37 @@ def _reads(v: Column, n: Column, kind: str) -> Column:
     return v.isNull() | F.coalesce(tests.get(kind, F.lit(True)), F.lit(False))
 
 
+def _typed(c: Column, held: str, kind: str) -> Column | None:
+    """Whether the text of a value that Spark holds as a number, date or time reads as `kind`; None where the text itself must be read.
+
+    A number's text is a literal, but for NaN, which is a missing cell, and the infinities, which are no numbers. The text of a date or time
+    is an ISO one as long as its year has four digits.
+    """
+    if held in ("tinyint", "smallint", "int", "bigint") and kind in ("integer", "float"):
+        return F.lit(True)
+    if held == "double" and kind in ("integer", "float"):
+        finite = F.abs(c) != float("inf")
+        return F.coalesce(F.isnan(c) | (finite & (c == F.floor(c)) if kind == "integer" else finite), F.lit(True))
+    if held in ("date", "timestamp", "timestamp_ntz") and kind in DATED:
+        return F.coalesce(F.year(c).between(0, 9999), F.lit(True))
+    return None
+
+
 def type_validity(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """(column, n_values, n_invalid): cells that do not read as their column's type.
 
-    Dates take long to read and repeat: their different texts are counted first and read once. All other columns are read in one
-    aggregation, each by its own test only.
+    Dates in texts take long to read and repeat: their different texts are counted first and read once. All other columns are read in one
+    aggregation, each by its own test only; numbers, dates and times that Spark holds as such are not made texts for it.
     """
-    dated, other = [c for c, k in types.items() if k in DATED], [c for c, k in types.items() if k not in DATED]
+    held = {c: t for c, t in df.dtypes if c in types}
+    typed = {c: test for c, k in types.items() if (test := _typed(F.col(f"`{c}`"), held[c], k)) is not None}
+    dated, other = [c for c, k in types.items() if k in DATED and c not in typed], [c for c, k in types.items() if k not in DATED or c in typed]
     text = lambda c: F.col(f"`{c}`").cast("string")
     out = []
     if other:
-        read = df.select(*[x for i, c in enumerate(other) for x in (text(c).alias(f"t{i}"), T.cell(text(c)).alias(f"v{i}"))])
-        read = read.select("*", *[T.number(F.col(f"v{i}")).alias(f"n{i}") for i, c in enumerate(other) if types[c] in ("integer", "float")])
-        wrong = [F.sum((~_reads(F.col(f"v{i}"), F.col(f"n{i}"), types[c])).cast("long")) for i, c in enumerate(other)]
+        read = df.select(*[x for i, c in enumerate(other) for x in ((F.col(f"`{c}`").alias(f"t{i}"), typed[c].alias(f"v{i}")) if c in typed else (text(c).alias(f"t{i}"), T.cell(text(c)).alias(f"v{i}")))])
+        read = read.select("*", *[T.number(F.col(f"v{i}")).alias(f"n{i}") for i, c in enumerate(other) if types[c] in ("integer", "float") and c not in typed])
+        wrong = [F.sum((~(F.col(f"v{i}") if c in typed else _reads(F.col(f"v{i}"), F.col(f"n{i}"), types[c]))).cast("long")) for i, c in enumerate(other)]
         row = read.agg(F.count("*").alias("_all"), *[F.count(f"t{i}").alias(f"a{i}") for i in range(len(other))], *[x.alias(f"b{i}") for i, x in enumerate(wrong)])
         each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a{i}").alias("n_values"), F.col(f"b{i}").alias("n_invalid")) for i, c in enumerate(other)])
         out.append(row.where("_all > 0").select(F.inline(each)))
@@ -76,10 +94,18 @@ def type_validity(df: DataFrame, types: dict[str, str]) -> DataFrame:
 
 
 def worst(checks: DataFrame) -> DataFrame:
-    """The checks and a last row `overall` with the worst status."""
+    """The checks and a last row `overall` with the worst status.
+
+    The checks, a handful of rows, are gathered in one row, so that what they measure is worked out once and not again for the last row.
+    """
     rank = F.array_position(F.array(*[F.lit(s) for s in STATUS]), F.col("status"))
-    overall = checks.agg(F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.coalesce(F.max(rank), F.lit(1)).cast("int")).alias("status"))
-    return checks.unionByName(overall.select(F.lit("overall").alias("check"), "status", F.lit(None).cast("double").alias("measured")), allowMissingColumns=True)
+    names = [*checks.columns, *({"check", "status", "measured"} - set(checks.columns))]
+    kinds = {"check": "string", "status": "string", "measured": "double"} | dict(checks.dtypes)
+    whole = checks.select(*[F.col(c) if c in checks.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names], rank.alias("_rank"))
+    found = whole.agg(F.collect_list(F.struct(*names)).alias("_rows"), F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.coalesce(F.max("_rank"), F.lit(1)).cast("int")).alias("_worst"))
+    own = {"check": F.lit("overall"), "status": F.col("_worst")}
+    overall = F.struct(*[own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in names])
+    return found.select(F.inline(F.concat("_rows", F.array(overall))))
 
 
 def report(df: DataFrame, specs: list[ColumnSpec], requested: int, original: DataFrame | None = None, rule_list: tuple = ()) -> DataFrame:
