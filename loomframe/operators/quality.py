@@ -31,7 +31,9 @@ def dimensions(column_metrics: DataFrame, correlation_pairs: DataFrame | None =
         if found is not None:
             rows.append(found.agg((1 - F.sum(bad) / F.nullif(F.sum(n), F.lit(0))).alias("s")).select(F.lit(name).alias("dimension"), "s"))
     scored = reduce(DataFrame.unionByName, rows).select("dimension", round_half_up(F.when(F.col("s") < 0, 0.0).otherwise(F.col("s")) * 100, 1).alias("score"))
-    return scored.unionByName(scored.agg(round_half_up(F.avg("score"), 1).alias("score")).select(F.lit("overall").alias("dimension"), "score"))
+    # A handful of rows, gathered in one, so that the measures are worked out once and not again for their mean.
+    found = scored.agg(F.collect_list(F.struct("dimension", "score")).alias("_rows"), round_half_up(F.avg("score"), 1).alias("_mean"))
+    return found.select(F.inline(F.concat("_rows", F.array(F.struct(F.lit("overall").alias("dimension"), F.col("_mean").alias("score"))))))
 
 
 def warnings(column_metrics: DataFrame) -> DataFrame:
