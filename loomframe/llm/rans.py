@@ -52,7 +52,12 @@ _MASK = np.uint64((1 << PRECISION) - 1)
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and frequencies that sum to 2**PRECISION, each at least 1."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if int(ids.max()) < 1 << 22:  # counted, not sorted, as ids of a vocabulary are small
+        every = np.bincount(ids)
+        symbols = np.flatnonzero(every)
+        counts = every[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     total = 1 << PRECISION
     if len(symbols) > total // 2:
         raise ValueError("too many symbols for the precision")
