@@ -16,7 +16,8 @@
    confirmed, refuted, or is of one component.
 5. A text's parity bitmap has some bits for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
    most as many bits as the sets differ in shingles, so pairs that differ in too many are no links; only the others are confirmed on
-   the full sets, which are an order of magnitude larger.
+   the full sets, which are an order of magnitude larger. A long text's bitmap goes to its lists with a quarter of its bits, folded, which
+   says less but never too much; the whole bitmap is asked afterwards, pair by pair.
 
 A pair with a similarity of 0.8 is missed by all tables with a probability below 2 * (1 - 0.8 ** ROWS) ** BANDS.
 
@@ -44,6 +45,8 @@ TEXTS = 1500
 NEAREST = 8
 #: Bits of a bitmap for each hash, at least: the more there are, the closer is its distance to that of the sets.
 BITS = 4
+#: Bytes of a bitmap that is not shortened where texts are compared in blocks.
+SHORT = 64
 #: Percent of the union that the intersection must reach.
 SIMILARITY = 80
 
@@ -169,19 +172,25 @@ def folded(bits: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, size), axis=1)
 
 
+def brief(bits: bytes) -> bytes:
+    """A bitmap with one or two bits for each hash instead of four to eight, but not under SHORT bytes, nor longer than it was."""
+    return folded(np.frombuffer(bits, np.uint8)[None], min(len(bits), max(SHORT, len(bits) // BITS))).tobytes()
+
+
 def text_sets(docs: DataFrame, size: int) -> DataFrame:
-    """t, the hash of the word sequence, the full set of shingle hashes of each text, and its parity bitmap."""
+    """t, the hash of the word sequence, the full set of shingle hashes of each text, its parity bitmap, and the brief one."""
 
     def run(batches):
         for b in batches:
             texts = b.column(0).to_pylist()
             sets = [shingles(t, size) for t in texts]
+            bits = [parity(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([text_hash(word_hashes(t)) for t in texts], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s) for s in sets], pa.binary())],
-                names=["t", "shingles", "bits"],
+                [pa.array([text_hash(word_hashes(t)) for t in texts], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array([brief(b) for b in bits], pa.binary())],
+                names=["t", "shingles", "bits", "brief"],
             )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, shingles array<long>, bits binary")
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "t long, shingles array<long>, bits binary, brief binary")
 
 
 def buckets(reps: DataFrame, bands: int = BANDS) -> DataFrame:
@@ -310,22 +319,23 @@ def blocks(sets: DataFrame, lists: DataFrame) -> DataFrame:
 
     The texts of a list's largest component have blocks of their own, which are not paired with each other. Lists with more than one in
     `HUBS` of all rows, so fewer than that, are broadcast to their texts; block pairs are dealt by list and blocks, so a list's pairs
-    are spread over all tasks.
+    are spread over all tasks. Bitmaps, the brief ones, join last, so they are sent once; until then their bytes are taken as the most
+    that they can be for a set's size.
     """
-    texts = lists.withColumnRenamed("bucket", "g").join(sets.select("t", "bits"), "t").select("g", "p", "id", "t", "n", "bits")
-    parts = texts.groupBy("g", "p").agg(F.sum(F.length("bits")).alias("s"), F.count("*").alias("c"))
+    texts = lists.select(F.col("bucket").alias("g"), "p", "id", "t", "n")
+    parts = texts.groupBy("g", "p").agg(F.sum(F.greatest(F.lit(SHORT), F.col("n") / 4)).alias("s"), F.count("*").alias("c"))
     sizes = parts.groupBy("g").agg(F.max_by(F.struct("p", "s", "c"), F.struct("s", "p")).alias("main"), F.sum("s").alias("s"), F.sum("c").alias("c"))
     cut = lambda s, c: F.greatest(F.ceil(s / F.lit(float(BLOCK))), F.ceil(c / F.lit(float(TEXTS))), F.lit(1)).cast("int")
     n_main, n_rest = cut(F.col("main.s"), F.col("main.c")), cut(F.col("s") - F.col("main.s"), F.col("c") - F.col("main.c"))
     about = sizes.select("g", "c", F.struct(F.col("main.p").alias("main"), n_main.alias("k"), n_rest.alias("r")).alias("d"))
     large = F.col("c") > max(64, lists.count() // HUBS)
     marked = texts.join(F.broadcast(about.where(large).select("g", "d")), "g", "left")
-    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "t", "n", "bits", "d.*")
+    dealt = marked.where("d IS NOT NULL").unionByName(marked.where("d IS NULL").drop("d").join(about.where(~large).select("g", "d"), "g")).select("g", "p", "id", "t", "n", "d.*")
     is_main = F.col("p") == F.col("main")
     block = F.when(is_main, F.pmod(F.xxhash64("t"), "k")).otherwise(F.col("k") + F.pmod(F.xxhash64("t"), "r")).cast("int")
     other = F.when(is_main, F.sequence(F.col("k"), F.col("k") + F.col("r") - 1)).otherwise(F.sequence(F.lit(0), F.col("k") + F.col("r") - 1))
-    sent = dealt.select("g", "p", "id", "t", "n", "bits", block.alias("b"), F.explode(other).alias("o"))
-    pairs = sent.select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "t", "p", "b", "n", "bits").alias("x"))
+    sent = dealt.select("g", "p", "id", "t", "n", block.alias("b"), F.explode(other).alias("o"))
+    pairs = sent.join(sets.select("t", F.col("brief").alias("bits")), "t").select("g", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), F.struct("id", "t", "p", "b", "n", "bits").alias("x"))
     return pairs.repartition("g", "lo", "hi").groupBy("g", "lo", "hi").agg(F.collect_list("x").alias("m"))
 
 
@@ -408,7 +418,7 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     placed = written(shared_buckets(reps, bands), "buckets")
     # The full set of one row of each text that has a bucket, found by its id; an id's other texts come along and are left out by their hash.
     wanted = placed.select(F.col("id").alias("doc_id")).distinct()
-    sets = written(text_sets(docs.join(wanted, "doc_id", "left_semi"), size).join(placed.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits")), "sets")
+    sets = written(text_sets(docs.join(wanted, "doc_id", "left_semi"), size).join(placed.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.first("shingles").alias("shingles"), F.first("bits").alias("bits"), F.first("brief").alias("brief")), "sets")
     links = written(confirm(stars(placed), sets).unionByName(same_ids(real, reps)), "links")
     comp = components(links)
     opened = written(open_texts(placed, comp), "open")
