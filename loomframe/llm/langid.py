@@ -154,7 +154,10 @@ def sample(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> DataFram
 
 
 def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
-    """Train on rows where `learn` holds and text and lang are not null."""
+    """Train on rows where `learn` holds and text and lang are not null.
+
+    One task trains on the sample, which is bounded; only the model, 64 KB a language, comes to the driver.
+    """
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -162,9 +165,19 @@ def fit(docs: DataFrame, learn: Column, per_lang: int = PER_LANG) -> Model:
             bags = [bag(t) if t else (np.zeros(0, np.int32), np.zeros(0, np.float32)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x.tobytes() for x, _ in bags], pa.binary()), pa.array([w.tobytes() for _, w in bags], pa.binary())], names=["lang", "h", "at", "share"])
 
-    found = sample(docs, learn, per_lang).select("text", "lang", "h").mapInArrow(run, "lang string, h long, at binary, share binary").toArrow().to_pylist()
-    found = sorted((r for r in found if r["at"]), key=lambda r: (r["lang"], r["h"]))
-    return train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found], [r["lang"] for r in found])
+    def learnt(batches):
+        found = [r for b in batches for r in b.to_pylist() if r["at"]]
+        found.sort(key=lambda r: (r["lang"], r["h"]))
+        m = train([(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in found], [r["lang"] for r in found])
+        columns = ([m.langs], [m.logits.tobytes()], [m.bias.astype(np.float64).tobytes()], [m.temperature], [m.cut])
+        kinds = (pa.list_(pa.string()), pa.binary(), pa.binary(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["langs", "logits", "bias", "temperature", "cut"])
+
+    bags = sample(docs, learn, per_lang).select("text", "lang", "h").mapInArrow(run, "lang string, h long, at binary, share binary")
+    row = bags.repartition(1).mapInArrow(learnt, "langs array<string>, logits binary, bias binary, temperature double, cut double").first()
+    if row is None or not row["langs"]:
+        return train([], [])
+    return Model(list(row["langs"]), np.frombuffer(bytes(row["logits"]), np.float32).reshape(BUCKETS, -1), np.frombuffer(bytes(row["bias"])), row["temperature"], row["cut"])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
