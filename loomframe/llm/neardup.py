@@ -11,9 +11,10 @@
    with a similarity of 0.8 must meet in a list (of two sets that are so alike, one of the |x| - ceil(0.8 |x|) + 1 rarest of each
    is common). Lists of one text, or of one component, are done; a template's own words are in no list, as they are not rare. The texts
    of a list are dealt into blocks of at most about `TEXTS` texts and `BLOCK` bytes of their parity bitmaps, and a task compares all
-   texts of two blocks by these. A text's nearest pairs are confirmed first, and its others only if they are still of different
-   components then, so pairs don't grow with the square of a group. Nothing is capped: rounds go on until every pair has been
-   confirmed, refuted, or is of one component.
+   texts of two blocks by these. Texts that a chain of open pairs holds together are a group, which is named by its texts, so it is
+   worked on once however many lists it is found in. A task gets a group's full sets, and confirms or refutes each of its pairs that are
+   not of one component by then, the nearest ones first. Rows that come out of a step are texts, or links between components that
+   were apart, and not pairs, so they don't grow with the square of a group. Nothing is capped.
 5. A text's parity bitmap has some bits for each shingle: a bit says whether an odd number of shingles fall on it. Two bitmaps differ in at
    most as many bits as the sets differ in shingles, so pairs that differ in too many are no links; only the others are confirmed on
    the full sets, which are an order of magnitude larger. A long text's bitmap goes to its lists with a quarter of its bits, folded, which
@@ -39,10 +40,12 @@ from .shared import bounded_batches, forget, written
 ROWS = 3
 BANDS = 12
 #: Bytes of bitmaps, and texts, in a block of texts that are compared with all texts of another one.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 TEXTS = 1500
-#: Nearest pairs of a text that are confirmed first; where a text has more, lists that are still open are compared again with 16 times as many.
+#: Nearest pairs of a text that are confirmed first; its others follow, 16 times as many at a time, if they are still of different components.
 NEAREST = 8
+#: Texts of a group that are compared with all others before the next ones: bounds the pairs in memory.
+ROUND = 256
 #: Bits of a bitmap for each hash, at least: the more there are, the closer is its distance to that of the sets.
 BITS = 4
 #: Bytes of a bitmap that is not shortened where texts are compared in blocks.
@@ -371,36 +374,102 @@ def _nearest(i: np.ndarray, j: np.ndarray, far: np.ndarray, k: int) -> tuple[np.
     return keep, more
 
 
-def block_pairs(paired: DataFrame, k: int) -> DataFrame:
-    """Distinct pairs (texts a, b; ids ia, ib) of different components in two blocks that may be links by their bitmaps: each text's `k`
-    nearest ones. A row of nulls but for `more` says that a text has further ones."""
+def _chained(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (of each text a smallest one of those it is known to belong with) after texts i and j were brought together, pair by pair."""
+    label = label.copy()
+    while True:
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
+            return label
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def near_groups(paired: DataFrame) -> DataFrame:
+    """h, t and p: the texts of two blocks that chains of pairs of different components, which may be links by their bitmaps, hold together.
+
+    h is a hash of such a group's texts, so a group that is found in many lists is one. A text is named once for two blocks, however many
+    pairs it has, so there are no more rows than were sent to be compared.
+    """
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
                 lo, hi, members = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].values
-                ids, texts, comp, block, n = (members.field(i).to_numpy() for i in range(5))
+                texts, comp, block, n = (members.field(i).to_numpy() for i in range(1, 5))
                 left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
                 if not len(left) or not len(right) or len(np.unique(comp)) < 2:
                     continue
-                i, j, far = _near(members.field(5).to_pylist(), n, left, right)
-                good = (comp[i] != comp[j]) & ((ids[i] < ids[j]) | (lo != hi))
-                i, j, far = i[good], j[good], far[good]
-                keep, more = _nearest(i, j, far, k)
-                i, j = i[keep], j[keep]
-                swap = ids[i] > ids[j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                rest = [None] * more
-                yield pa.RecordBatch.from_arrays([*[pa.array([*c.tolist(), *rest], pa.int64()) for c in (texts[i], texts[j], ids[i], ids[j])], pa.array([False] * len(i) + [True] * more, pa.bool_())], names=["a", "b", "ia", "ib", "more"])
-
-    return paired.select("lo", "hi", "m").mapInArrow(run, "a long, b long, ia long, ib long, more boolean").distinct()
+                i, j, _ = _near(members.field(5).to_pylist(), n, left, right)
+                good = comp[i] != comp[j]
+                i, j = i[good], j[good]
+                label = _chained(np.arange(len(texts)), i, j)
+                named = np.unique(np.r_[i, j])
+                sums = np.zeros(len(texts), np.uint64)
+                np.add.at(sums, label[named], _mix(texts[named].view(np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sums[label[named]].view(np.int64)), pa.array(texts[named]), pa.array(comp[named])], names=["h", "t", "p"])
+
+    return paired.select("lo", "hi", "m").mapInArrow(run, "h long, t long, p long").distinct()
+
+
+def _similar(codes: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the sets of texts i and j, pair by pair, are similar enough; text k's set is codes[ends[k] : ends[k + 1]], small numbers."""
+    out, inside = np.zeros(len(i), bool), np.zeros(int(codes.max()) + 1, bool)
+    order = np.argsort(i, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(i[order])) + 1) if len(i) else ():
+        own = codes[ends[i[at[0]]] : ends[i[at[0]] + 1]]
+        sizes = ends[j[at] + 1] - ends[j[at]]
+        inside[own] = True
+        hits = inside[np.concatenate([codes[ends[k] : ends[k + 1]] for k in j[at]])]
+        inside[own] = False
+        common = np.add.reduceat(hits, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+        out[at] = common * 100 >= (len(own) + sizes - common) * SIMILARITY
+    return out
+
+
+def _joined(codes: np.ndarray, ends: np.ndarray, bits: list[bytes], comp: np.ndarray) -> np.ndarray:
+    """For each component (a number in `comp`) of a group's texts, the smallest one that links lead to."""
+    n, every, label = np.diff(ends), np.arange(len(comp)), np.arange(int(comp.max()) + 1)
+    for start in range(0, len(comp), ROUND):
+        i, j, far = _near(bits, n, every[start : start + ROUND], every[start:])
+        apart, k = (i < j) & (label[comp[i]] != label[comp[j]]), NEAREST
+        i, j, far = i[apart], j[apart], far[apart]
+        # Where texts are much alike, most become one component by their nearest pairs, so the others need not be looked at.
+        while len(i):
+            keep, _ = _nearest(i, j, far, k)
+            linked = _similar(codes, ends, i[keep], j[keep])
+            label = _chained(label, comp[i[keep][linked]], comp[j[keep][linked]])
+            rest = ~keep & (label[comp[i]] != label[comp[j]])
+            i, j, far, k = i[rest], j[rest], far[rest], 16 * k
+    return label
+
+
+def group_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): components of a group (by their ids) which links between full sets lead from one to the other, the smallest one being b.
+
+    All pairs of a group are confirmed, refuted or of one component by then; of their links only those between components come out, fewer
+    than the group has texts.
+    """
+    held = groups.join(sets.select("t", "shingles"), "t").select("h", F.struct("p", "shingles").alias("x")).repartition("h").groupBy("h").agg(F.collect_list("x").alias("m"))
 
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                members = batch.column(0)[row].values
+                ids, comp = np.unique(members.field(0).to_numpy(), return_inverse=True)
+                lists = members.field(1)
+                ends = lists.offsets.to_numpy().astype(np.int64)
+                hashes = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint64)
+                ends = ends - ends[0]
+                bits = [parity(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                label = _joined(np.unique(hashes, return_inverse=True)[1], ends, bits, comp)
+                hung = np.flatnonzero(label != np.arange(len(ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hung]), pa.array(ids[label[hung]])], names=["a", "b"])
 
-def still_open(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of lists that hold several components by now."""
-    now = lists.drop("p").join(comp, "id", "left").withColumn("p", F.coalesce("component", "id")).drop("component")
-    split = now.groupBy("bucket").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo < hi").select("bucket")
-    return now.join(split, "bucket")
+    return held.select("m").mapInArrow(run, "a long, b long").distinct()
 
 
 def same_ids(signed: DataFrame, reps: DataFrame) -> DataFrame:
@@ -423,19 +492,11 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     comp = components(links)
     opened = written(open_texts(placed, comp), "open")
     if not opened.isEmpty():
-        lists, tested, k = written(rare_lists(opened, sets), "lists"), None, NEAREST
-        while True:
-            # Of texts that are much alike most become one component by their nearest pairs, so the others need not be emitted.
-            pairs = written(block_pairs(blocks(sets, lists), k), "pairs")
-            fresh = pairs.where("NOT more").drop("more")
-            more = written(confirm(fresh if tested is None else fresh.join(tested, ["a", "b"], "left_anti"), sets), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                comp = components(links)
-            if pairs.where("more").isEmpty():
-                break
-            tested = fresh.select("a", "b") if tested is None else tested.union(fresh.select("a", "b"))
-            lists, k = written(still_open(lists, comp), "lists"), 16 * k
+        lists = written(rare_lists(opened, sets), "lists")
+        groups = written(near_groups(blocks(sets, lists)), "groups")
+        more = written(group_links(groups, sets), "links")
+        if not more.isEmpty():
+            comp = components(links.union(more))
     member = reps.select(F.col("t").alias("text_hash"), "id").join(comp, "id", "left").select("text_hash", F.coalesce("component", "id").alias("_component"))
     named = signed.select("doc_id", "text_hash", "n_shingles").join(member, "text_hash", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component")).otherwise(F.col("doc_id"))
