@@ -403,11 +403,14 @@ def near_groups(paired: DataFrame) -> DataFrame:
                 left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
                 if not len(left) or not len(right) or len(np.unique(comp)) < 2:
                     continue
-                i, j, _ = _near(members.field(5).to_pylist(), n, left, right)
-                good = comp[i] != comp[j]
-                i, j = i[good], j[good]
-                label = _chained(np.arange(len(texts)), i, j)
-                named = np.unique(np.r_[i, j])
+                bits, label, open_ = members.field(5).to_pylist(), np.arange(len(texts)), np.zeros(len(texts), bool)
+                for start in range(0, len(left), ROUND):
+                    i, j, _ = _near(bits, n, left[start : start + ROUND], right)
+                    good = comp[i] != comp[j]
+                    i, j = i[good], j[good]
+                    label = _chained(label, i, j)
+                    open_[i] = open_[j] = True
+                named = np.flatnonzero(open_)
                 sums = np.zeros(len(texts), np.uint64)
                 np.add.at(sums, label[named], _mix(texts[named].view(np.uint64)))
                 yield pa.RecordBatch.from_arrays([pa.array(sums[label[named]].view(np.int64)), pa.array(texts[named]), pa.array(comp[named])], names=["h", "t", "p"])
@@ -415,6 +418,14 @@ def near_groups(paired: DataFrame) -> DataFrame:
     return paired.select("lo", "hi", "m").mapInArrow(run, "h long, t long, p long").distinct()
 
 
+def finer_groups(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups of near_groups(), told apart by whole bitmaps before their sets, an order of magnitude larger, are sent."""
+    whole = sets.select("t", F.size("shingles").cast("long").alias("n"), "bits")
+    x = F.struct(F.lit(0).cast("long").alias("id"), "t", "p", F.lit(0).alias("b"), "n", "bits")
+    held = groups.join(whole, "t").select("h", x.alias("x")).repartition("h").groupBy("h").agg(F.collect_list("x").alias("m"))
+    return near_groups(held.select(F.lit(0).alias("lo"), F.lit(0).alias("hi"), "m"))
+
+
 def _similar(codes: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the sets of texts i and j, pair by pair, are similar enough; text k's set is codes[ends[k] : ends[k + 1]], small numbers."""
     out, inside = np.zeros(len(i), bool), np.zeros(int(codes.max()) + 1, bool)
@@ -494,6 +505,7 @@ def classes(docs: DataFrame, size: int = 5, rows: int = ROWS, bands: int = BANDS
     if not opened.isEmpty():
         lists = written(rare_lists(opened, sets), "lists")
         groups = written(near_groups(blocks(sets, lists)), "groups")
+        groups = written(finer_groups(groups, sets), "groups")
         more = written(group_links(groups, sets), "links")
         if not more.isEmpty():
             comp = components(links.union(more))

@@ -17,13 +17,13 @@ def unlike(q):
 
 
 def made(spark, monkeypatch, texts):
-    """Rows made by each step of Python over batches, by its columns; and the components."""
+    """Rows made by each step of Python over batches, by its number and columns; and the components."""
     counts, frame = {}, spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     kind = type(frame)
     plain = kind.mapInArrow
 
     def counted(self, run, schema, *rest, **more):
-        seen = counts.setdefault(schema, spark.sparkContext.accumulator(0))
+        seen = counts.setdefault((len(counts), schema), spark.sparkContext.accumulator(0))
 
         def each(batches):
             for b in run(batches):
