@@ -297,11 +297,18 @@ class Comparison:
     n_test: int
 
 
+def _rows(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as a table of their own: they are read many times, and whatever they are worked out from only once."""
+    kinds = dict(df.dtypes)
+    return stored(df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c] == "void" else F.col(f"`{c}`") for c in columns]), "rows")  # Parquet has no void
+
+
 def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: str | None = None) -> Comparison:
     """Train on synthetic, test on real. A quarter of the rows, by a draw from their key, is left aside: the generator and both models learn from
     the rest only, and so do the bins and codes that all three tables share. Without `target` the likeliest one is taken."""
     from . import generate as G
 
+    df = _rows(df, list(dict.fromkeys([key, *[s.name for s in specs]])))
     facts = target_facts(df, [s.name for s in specs])
     found, why = targets(specs, facts)
     if target is None and not found:
@@ -326,7 +333,7 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
         label = F.lit(None).cast("double")
         for k, v in enumerate(classes):
             label = F.when(_key(goal.column) == v, float(k)).otherwise(label)
-    real, ready = encoded(train, e, label), encoded(test, e, label)
+    real, ready = stored(encoded(train, e, label), "train"), stored(encoded(test, e, label), "test")
     metric = {"binary": "auc", "classes": "accuracy", "regression": "r2"}[goal.task]
     base = {"auc": 0.5, "r2": 0.0}.get(metric)
     if base is None:
@@ -334,7 +341,7 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
         base = share["x"] or 0.0
 
     def score(rows: DataFrame) -> float:
-        out = _forest(rows, ready, goal.task, seed, {f"c_{c}": len(v) + 2 for c, v in e.codes.items()})
+        out = stored(_forest(rows, ready, goal.task, seed, {f"c_{c}": len(v) + 2 for c, v in e.codes.items()}), "predictions")
         if metric == "auc":
             return auc(out, "score", "label").first()["auc"] or 0.5
         if metric == "accuracy":
