@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from ..functions.dates import date_evidence, read_date
 from ..functions.stats import running_totals
 from ..functions.stored import stored
 from .infer import ColumnSpec
-from .profile import order_statistics, top_values, value_counts
+from .profile import numeric_view, order_statistics, top_values, value_counts
 
 
 def split(df: DataFrame, key: str, seed: int, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -303,12 +304,23 @@ def _rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return stored(df.select(*[F.col(f"`{c}`").cast("string").alias(c) if kinds[c] == "void" else F.col(f"`{c}`") for c in columns]), "rows")  # Parquet has no void
 
 
+def _dated(df: DataFrame, specs: list[ColumnSpec]) -> tuple[DataFrame, list[ColumnSpec]]:
+    """Texts of date columns read as dates, the day first where their values show it; null for what is none."""
+    texts = [s.name for s in specs if s.kind == "datetime" and dict(df.dtypes)[s.name] == "string"]
+    if not texts:
+        return df, specs
+    first = {c: bool(date_evidence(df, f"`{c}`").first()["day_first"]) for c in texts}
+    read = df.select(*[read_date(F.col(f"`{c}`"), first[c]).alias(c) if c in first else F.col(f"`{c}`") for c in df.columns])
+    return stored(read, "dated"), [replace(s, type=s.type if s.type == "date" else "datetime") if s.name in first else s for s in specs]
+
+
 def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: str | None = None) -> Comparison:
     """Train on synthetic, test on real. A quarter of the rows, by a draw from their key, is left aside: the generator and both models learn from
-    the rest only, and so do the bins and codes that all three tables share. Without `target` the likeliest one is taken."""
+    the rest only, and so do the bins and codes that all three tables share. Without `target` the likeliest one is taken. Dates speak as the numbers
+    that they count; of the columns that can't be targets, only what identifies, is personal, hidden, free text or has too many categories is no feature."""
     from . import generate as G
 
-    df = _rows(df, list(dict.fromkeys([key, *[s.name for s in specs]])))
+    df, specs = _dated(_rows(df, list(dict.fromkeys([key, *[s.name for s in specs]]))), specs)
     facts = target_facts(df, [s.name for s in specs])
     found, why = targets(specs, facts)
     if target is None and not found:
@@ -318,14 +330,17 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
         raise ValueError(f"{target} can't be predicted: {why.get(target, 'not a column')}")
     kinds = {s.name: s for s in specs}
     hidden = {s.name: f"its values are {s.transform}ed" for s in specs if s.transform in ("mask", "hash")}
-    left_out = {n: x for n, x in {**why, **hidden}.items() if x not in ("a date", "one value", "too few rows")} | {s.name: "a date" for s in specs if s.kind == "datetime"}
+    as_feature = {n for n, x in why.items() if x in ("a date", "one value", "too few rows") or (x == "too many classes" and facts[n]["n_distinct"] <= MOST_CATEGORIES)}
+    left_out = {n: x for n, x in {**why, **hidden}.items() if n not in as_feature or n in hidden}
     usable = [s.name for s in specs if s.name not in left_out and s.name != goal.column]
-    numbers, categories = [c for c in usable if kinds[c].kind == "numeric"], [c for c in usable if kinds[c].kind != "numeric"]
+    dates = [c for c in usable if kinds[c].kind == "datetime"]
+    numbers, categories = [c for c in usable if kinds[c].kind in ("numeric", "datetime")], [c for c in usable if kinds[c].kind not in ("numeric", "datetime")]
+    counted = lambda rows: rows.withColumns({c: numeric_view(F.col(f"`{c}`"), kinds[c].type) for c in dates}) if dates else rows
     train, test = split(df, key, seed)
     wanted = [s for s in specs if s.name in (*usable, goal.column)]
     n_train, n_test = train.count(), test.count()
     made = G.cells(df.sparkSession, wanted, n_train, seed, G.learn(train, wanted))
-    e = encoder(train, numbers, categories)
+    e = encoder(counted(train), numbers, categories)
     if goal.task == "regression":
         label = F.col(f"`{goal.column}`").cast("double")
     else:
@@ -333,7 +348,7 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
         label = F.lit(None).cast("double")
         for k, v in enumerate(classes):
             label = F.when(_key(goal.column) == v, float(k)).otherwise(label)
-    real, ready = stored(encoded(train, e, label), "train"), stored(encoded(test, e, label), "test")
+    real, ready = stored(encoded(counted(train), e, label), "train"), stored(encoded(counted(test), e, label), "test")
     metric = {"binary": "auc", "classes": "accuracy", "regression": "r2"}[goal.task]
     base = {"auc": 0.5, "r2": 0.0}.get(metric)
     if base is None:
@@ -348,7 +363,7 @@ def tstr(df: DataFrame, specs: list[ColumnSpec], key: str, seed: int, target: st
             return accuracy(out, "predicted", "label").first()["accuracy"] or 0.0
         return regression(out, "predicted", "label").first()["r2"] or 0.0
 
-    on_real, on_made = score(real), score(encoded(made, e, label))
+    on_real, on_made = score(real), score(encoded(counted(made), e, label))
     worth = utility(on_real, on_made, base) if predictable(metric, on_real, base) else None
     return Comparison(goal.column, goal.task, metric, base, on_real, on_made, worth, "n/a" if worth is None else rating(worth), tuple(usable), left_out, n_train, n_test)
 
